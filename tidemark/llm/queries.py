@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from . import linededup, mixing, rules, simhash
 
 
 def queries() -> dict:
     return {
+        "op4_simhash": simhash.query,
+        "op6_line_dedup": linededup.query,
         "op8_quality_rules": rules.query,
         "op10_mix_sources": mixing.query,
     }
@@ -14,6 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_line_dedup": linededup.SQL,
         "op8_quality_rules": rules.SQL,
         "op10_mix_sources": mixing.SQL,
     }
