@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, rules, simhash
+from . import linededup, mixing, packing, rules, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_simhash": simhash.query,
         "op6_line_dedup": linededup.query,
         "op8_quality_rules": rules.query,
+        "op9_pack": packing.query,
         "op10_mix_sources": mixing.query,
     }
 
