@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, packing, rules, simhash
+from . import fingerprint, linededup, mixing, packing, quality, rules, simhash
 
 
 def queries() -> dict:
     return {
         "op4_simhash": simhash.query,
+        "op5_quality": quality.query,
         "op6_line_dedup": linededup.query,
+        "op7_fingerprints": fingerprint.query,
         "op8_quality_rules": rules.query,
         "op9_pack": packing.query,
         "op10_mix_sources": mixing.query,
