@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, linededup, mixing, packing, quality, rules, simhash
+from . import chat, fingerprint, linededup, mixing, packing, quality, rules, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.query,
+        "op3_chat": chat.query,
         "op4_simhash": simhash.query,
         "op5_quality": quality.query,
         "op6_line_dedup": linededup.query,
@@ -19,6 +21,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.SQL,
+        "op3_chat": chat.SQL,
         "op6_line_dedup": linededup.SQL,
         "op8_quality_rules": rules.SQL,
         "op10_mix_sources": mixing.SQL,
