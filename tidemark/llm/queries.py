@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, linededup, mixing, packing, quality, rules, simhash, warc
+from . import chat, fingerprint, linededup, lm, mixing, packing, quality, rules, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.query,
+        "op2_lm_score": lm.query,
         "op3_chat": chat.query,
         "op4_simhash": simhash.query,
         "op5_quality": quality.query,
