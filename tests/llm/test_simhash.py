@@ -26,10 +26,10 @@ def brute_components(values):
     return {v: root(v) for v in values}
 
 
-def found_components(spark, values):
+def found_components(spark, values, crowd=sh.CROWD):
     nodes = spark.createDataFrame([(v,) for v in values], "fp long")
     out = {v: v for v in values}
-    out |= {r.node: r.root for r in sh.components(sh.links(nodes)).collect()}
+    out |= {r.node: r.root for r in sh.components(sh.links(nodes, crowd)).collect()}
     return out
 
 
@@ -49,7 +49,9 @@ def test_crowded_and_sparse_clusters(spark):
     for i in range(0, 60, 2):
         chain ^= 3 << i
         values.add(signed(chain))
-    assert found_components(spark, values) == brute_components(values)
+    want = brute_components(values)
+    for crowd in (2, 16, sh.CROWD):
+        assert found_components(spark, values, crowd) == want
 
 
 def test_all_neighbours_of_one_value(spark):

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from ..session import discard, few, stored
 from .text import py_lower_words
 
-CROWD = 16
+#: Comparing a node with up to so many under each of its 64 keys costs less than 2,016 rows for it.
+CROWD = 256
 #: Key rows are 16 bytes, so that this many may be broadcast.
 FEW_KEYS = 300_000
 
@@ -84,18 +85,21 @@ def two_wildcard_keys(nodes: DataFrame) -> DataFrame:
     return ij.select("fp", F.expr("i * 64 + j").alias("mask"), F.expr("fp & ~(shiftleft(1L, i) | shiftleft(1L, j))").alias("key"))
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(u, v), u < v: every two of the distinct fp in nodes that differ in 2 bits or fewer (near ones perhaps by way of a third, within a key of four)."""
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
+    # Two that link share up to 33 keys; only the first of these gives the pair.
+    first = "(case bit_count(({x} ^ {y}) & 4294967295L) when 0 then 0 when 1 then if(shiftright(key, 32) < 32 and (({x} ^ {y}) & 4294967295L) = shiftleft(1L, cast(shiftright(key, 32) as int)), shiftright(key, 32), -1) else 32 end) = shiftright(key, 32)"
+    near = "bit_count({x} ^ {y}) <= 2 and " + first
     keys = one_wildcard_keys(nodes)
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n >= 2"), "simhash-keys")
-    direct = shared.where("n = 2").where(near).select("u", "v")
+    direct = shared.where("n = 2").where(near.format(x="u", y="v")).select("u", "v")
     members = stored(keys.join(few(shared.where("n > 2").select("key", "n"), FEW_KEYS), "key"), "simhash-members")
-    small = members.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_list("fp").alias("l"))
-    pairs = F.expr("flatten(transform(l, x -> transform(filter(l, y -> y > x and bit_count(x ^ y) <= 2), y -> struct(x as u, y as v))))")
+    small = members.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("l"))
+    pairs = F.expr(f"flatten(transform(l, x -> transform(filter(l, y -> y > x and {near.format(x='x', y='y')}), y -> struct(x as u, y as v))))")
     few_each = small.select(F.explode(pairs).alias("p")).select("p.u", "p.v")
-    crowded = members.where(F.col("n") > CROWD).select("fp").distinct()
+    crowded = members.where(F.col("n") > crowd).select("fp").distinct()
     cliques = two_wildcard_keys(crowded).groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("w"), F.bit_xor("fp").alias("x")).where("n >= 2")
+    cliques = stored(cliques, "simhash-cliques")
     # Up to four share a key.  The least and the greatest are the ends of n = 2; for 3 and 4 the star needs them all.
     pair = cliques.where("n = 2").select("u", F.col("w").alias("v"))
     third = cliques.where("n = 3").select("u", F.explode(F.array("w", F.expr("x ^ u ^ w"))).alias("v"))
