@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext  # noqa: F401  (documents that all this runs inside tasks)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

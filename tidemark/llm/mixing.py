@@ -26,6 +26,8 @@ from .text import words
 
 #: Sources in code-point order (null last) weigh these, repeating.
 CYCLE = (3, 1, 2)
+#: Columns that mix() adds or needs; columns of docs with these names are replaced.
+ADDED = ("size", "place", "source_size", "target", "repetitions", "taken", "whole", "extra", "prefix", "take_cut", "_s", "_copy")
 #: Hex digits of the hash that each pass of the search for a cut decides, and the passes: 60 bits.
 DIGITS, PASSES = 3, 5
 
@@ -92,7 +94,7 @@ def cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target (its source's), repetitions and taken (size x repetitions), one row per input row."""
-    own = [c for c in docs.columns if c not in {"size", "place", "source_size", "target", "repetitions", "taken"}]
+    own = [c for c in docs.columns if c not in ADDED]
     sized = sizes(docs.select(*own), seed)
     keys = stored(sized.select("source", "place", "size"), "mix-size")
     per_source = stored(keys.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-source")
