@@ -71,3 +71,9 @@ def discard(df: DataFrame) -> None:
 def few(df: DataFrame, at_most: int = 50_000) -> DataFrame:
     """The frame with a broadcast hint if it has few rows, counted here; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.limit(at_most + 1).count() <= at_most else df
+
+
+def aside(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns of these names renamed out of the way, and the renaming that brings them back."""
+    moved = {c: f"_aside_{c}" for c in df.columns if c in set(names)}
+    return df.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
