@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import few, stored
+from ..session import aside, few, stored
 
 BITS_PER_LINE, MAX_BITS, PROBES, CHUNK_BITS = 8, 1 << 30, 4, 1 << 19
 
@@ -170,7 +170,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, in_docs: int = 3, max_bits: in
     A key of at least `least` code points held by `in_docs` or more documents keeps its lines in the
     largest doc_id alone.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_gone")
+    docs, back = aside(docs.drop("n_lines", "n_dropped"), ("_id", "_gone"))
     shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, least, max_bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     suspects = stored(docs.select("doc_id", "text").mapInArrow(_suspects(shared, least), f"doc_id {kind}, digest binary").distinct(), "line-suspects")
@@ -179,7 +179,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, in_docs: int = 3, max_bits: in
     gone = stored(losers.groupBy("doc_id").agg(F.collect_set("digest").alias("_gone")).withColumnRenamed("doc_id", "_id"), "line-gone")
     joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
-    return joined.mapInArrow(_drop(least), schema)
+    return joined.mapInArrow(_drop(least), schema).withColumnsRenamed(back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import few, stored
+from ..session import aside, few, stored
 from .text import words
 
 #: Sources in code-point order (null last) weigh these, repeating.
 CYCLE = (3, 1, 2)
-#: Columns that mix() adds or needs; columns of docs with these names are replaced.
-ADDED = ("size", "place", "source_size", "target", "repetitions", "taken", "whole", "extra", "prefix", "take_cut", "_s", "_copy")
+#: Columns that mix() adds; columns of docs with these names are replaced.
+ADDED = ("size", "source_size", "target", "repetitions", "taken")
 #: Hex digits of the hash that each pass of the search for a cut decides, and the passes: 60 bits.
 DIGITS, PASSES = 3, 5
 
@@ -94,6 +94,7 @@ def cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target (its source's), repetitions and taken (size x repetitions), one row per input row."""
+    docs, back = aside(docs, ("place", "whole", "extra", "prefix", "take_cut", "_s"))
     own = [c for c in docs.columns if c not in ADDED]
     sized = sizes(docs.select(*own), seed)
     keys = stored(sized.select("source", "place", "size"), "mix-size")
@@ -102,13 +103,14 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, cycle=CYCL
     c = few(chosen.withColumnRenamed("source", "_s"))
     j = sized.join(c, F.col("source").eqNullSafe(F.col("_s")), "left")
     more = F.col("extra") & ((F.col("place") < F.col("prefix")) | ((F.col("place") == F.col("prefix")) & F.col("take_cut")))
-    return j.withColumn("repetitions", F.col("whole") + more.cast("long")).withColumn("taken", F.col("size") * F.col("repetitions")).select(*own, "size", "source_size", "target", "repetitions", "taken")
+    return j.withColumn("repetitions", F.col("whole") + more.cast("long")).withColumn("taken", F.col("size") * F.col("repetitions")).select(*own, "size", "source_size", "target", "repetitions", "taken").withColumnsRenamed(back)
 
 
 def mixed_rows(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, in docs' columns."""
-    m = mix(docs, **params)
-    return m.withColumn("_copy", F.explode(F.expr("if(repetitions > 0, sequence(1L, repetitions), array())"))).select(*docs.columns)
+    moved, back = aside(docs, ADDED)
+    m = mix(moved, **params)
+    return m.withColumn("_copy", F.explode(F.expr("if(repetitions > 0, sequence(1L, repetitions), array())"))).drop("_copy", *ADDED).withColumnsRenamed(back).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

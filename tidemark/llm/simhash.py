@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, few, stored
+from ..session import aside, discard, few, stored
 from .text import py_lower_words
 
 #: Comparing a node with up to so many under each of its 64 keys costs less than 2,016 rows for it.
@@ -153,12 +153,13 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
     """docs with one row of each component: that of its least doc_id, and of rows that repeat this, one."""
+    docs, back = aside(docs, ("_id",))
     found = near_duplicates(docs, k)
     kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_id"), "simhash-kept")
     out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     if kept.where("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
-    return out
+    return out.withColumnsRenamed(back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
