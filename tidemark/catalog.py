@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import market
+
+MODULES = (market,)
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
