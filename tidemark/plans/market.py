@@ -66,12 +66,13 @@ def dense_panel(spark, sf_dir: str) -> DataFrame:
     return the_panel(spark, sf_dir).select("code", "ord", "d", "close", "vol", "amount", "suspended", "px")
 
 
+DIGITS = {"amihud_20": 2, "turnover_20": 9}
 FACTOR_NAMES = ["reversal_20", "momentum_120_20", "volatility_60", "turnover_20", "amihud_20", "max_ret_20"]
 
 
 def price_factors(spark, sf_dir: str) -> DataFrame:
     f = fac.price_factors(the_panel(spark, sf_dir))
-    return f.select("code", "d", *[F.round(n, 2 if n == "amihud_20" else 6).alias(n) for n in FACTOR_NAMES])
+    return f.select("code", "d", *[F.round(n, DIGITS.get(n, 6)).alias(n) for n in FACTOR_NAMES])
 
 
 def holding_change(spark, sf_dir: str) -> DataFrame:
@@ -228,7 +229,7 @@ SQL = {
     "trading_calendar": f"""WITH {PANEL} SELECT *, next_d IS NULL OR date_trunc('month', next_d) <> date_trunc('month', d) AS month_end,
         next_d IS NULL OR year(next_d) <> year(d) AS year_end FROM cal""",
     "dense_panel": f"WITH {PANEL} SELECT code, ord, d, close, vol, amount, suspended, px FROM panel",
-    "price_factors": f"WITH {PANEL}, {RETURNS}, {FACTORS} SELECT code, d, {', '.join(f'round({n}, {2 if n == "amihud_20" else 6}) AS {n}' for n in FACTOR_NAMES)} FROM fac",
+    "price_factors": f"WITH {PANEL}, {RETURNS}, {FACTORS} SELECT code, d, {', '.join(f'round({n}, {DIGITS.get(n, 6)}) AS {n}' for n in FACTOR_NAMES)} FROM fac",
     "holding_change": f"""WITH {PANEL}, h AS (
         SELECT *, last_value(ratio IGNORE NULLS) OVER (PARTITION BY code ORDER BY ord ROWS 30 PRECEDING) AS held
         FROM (SELECT *, CASE WHEN vol > 0 THEN returned / vol END AS ratio FROM panel WHERE d >= DATE '1996-01-01'))
