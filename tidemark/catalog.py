@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import market, pit
+from .plans import market, pit, tools
 
-MODULES = (market, pit)
+MODULES = (market, pit, tools)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
