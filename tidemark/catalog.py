@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import backtests, market, pit, streams, tools
+from .plans import backtests, desk, market, pit, streams, tools
 
-MODULES = (market, pit, tools, backtests, streams)
+MODULES = (market, pit, tools, desk, backtests, streams)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
