@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import cross_section as xs
 from ..operators import factors as fac
 from ..session import table
 from ..sources import cache
-from .market import FACTORS, MONTH, PANEL, RETURNS, month_ends, the_panel
+from .market import ALL, FACTORS, MONTH, PANEL, RETURNS, exposures, month_ends, the_panel
 
 #: Dimension: factor, value scored 0, value scored 100, weight in percent.
 DIMENSIONS = {"momentum_120_20": (-1.0, 1.0, 30), "reversal_20": (-1.0, 1.0, 25), "volatility_60": (2.0, 0.0, 20), "turnover_20": (0.0, 0.1, 15), "max_ret_20": (10.0, 0.0, 10)}
@@ -52,12 +53,37 @@ def cache_missing(spark, sf_dir: str) -> DataFrame:
     return cache.days_missing(*cached(spark, sf_dir))
 
 
-QUERIES = {"composite_score": composite, "announcements": announcements, "factor_cache_hits": cache_hits, "factor_cache_missing": cache_missing}
+def industry_attribution(spark, sf_dir: str) -> DataFrame:
+    """The equal-weighted best 20 of each month end by sector: weight against the universe's, and contribution to the return."""
+    e = exposures(spark, sf_dir).where(F.col("reversal_20").isNotNull()).withColumn("s", F.round("reversal_20", 9))
+    rank = F.row_number().over(Window.partitionBy("d").orderBy(F.col("s").desc(), "code"))
+    e = e.withColumn("top", rank <= 20)
+    day = Window.partitionBy("d")
+    w = F.when(F.col("top"), 1.0).otherwise(0.0) / F.sum(F.col("top").cast("int")).over(day)
+    g = e.withColumn("w", w).withColumn("u", 1.0 / F.count("*").over(day)).groupBy("d", "sector")
+    return g.agg(F.round(F.sum("w"), 6).alias("weight"), F.round(F.sum("w") - F.sum("u"), 6).alias("exposure"), F.round(F.sum(F.col("w") * F.coalesce("fwd", F.lit(0.0))), 6).alias("contribution"))
+
+
+def style_premium(spark, sf_dir: str) -> DataFrame:
+    """Slope of the next return on size at each month end, and its mean with a Newey-West t."""
+    e = exposures(spark, sf_dir).where(F.col("fwd").isNotNull() & F.col("log_mv").isNotNull())
+    slopes = e.groupBy("d").agg(F.count("*").alias("n"), F.regr_slope("fwd", "log_mv").alias("slope")).where("n >= 5")
+    return xs.newey_west(slopes, "slope", "d").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "ir", "t", "nw_t")])
+
+
+QUERIES = {"industry_attribution": industry_attribution, "style_premium": style_premium, "composite_score": composite, "announcements": announcements, "factor_cache_hits": cache_hits, "factor_cache_missing": cache_missing}
 
 _TERMS = " + ".join(f"coalesce(greatest(least(({x} - ({lo})::DOUBLE) / ({hi - lo})::DOUBLE * 100, 100), 0), 50) * {w}" for x, (lo, hi, w) in DIMENSIONS.items())
 CACHE = f"""WITH {PANEL}, {RETURNS}, {FACTORS}, l AS (SELECT code, d, unnest(['reversal_20', 'max_ret_20']) AS factor FROM fac WHERE d IN {MONTH}),
   c AS (SELECT *, CASE WHEN year(d) < 1998 THEN 's1' WHEN year(d) = 1999 THEN 'gone' ELSE 's2' END AS snapshot FROM l WHERE NOT (code = 3 AND month(d) = 6) AND year(d) < 2000)"""
 SQL = {
+    "industry_attribution": f"""{ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY round(reversal_20, 9) DESC, code) <= 20 AS top FROM expo WHERE reversal_20 IS NOT NULL),
+        w AS (SELECT *, CASE WHEN top THEN 1.0::DOUBLE ELSE 0 END / count(CASE WHEN top THEN 1 END) OVER (PARTITION BY d) AS w, 1.0::DOUBLE / count(*) OVER (PARTITION BY d) AS u FROM r)
+        SELECT d, sector, round(sum(w), 6) AS weight, round(sum(w) - sum(u), 6) AS exposure, round(sum(w * coalesce(fwd, 0)), 6) AS contribution FROM w GROUP BY ALL""",
+    "style_premium": f"""{ALL}, s AS (SELECT row_number() OVER (ORDER BY d) AS i, v FROM (SELECT d, regr_slope(fwd, log_mv) AS v FROM expo WHERE fwd IS NOT NULL AND log_mv IS NOT NULL GROUP BY d HAVING count(*) >= 5)),
+        a AS (SELECT count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd, floor(4 * pow(greatest(count(*), 1) / 100.0, 2.0 / 9)) AS lags FROM s WHERE v IS NOT NULL),
+        g AS (SELECT sum((x.v - m) * (y.v - m) * CASE WHEN x.i = y.i THEN 1 ELSE 2 * (1 - (x.i - y.i) / (lags + 1)) END) AS total FROM s x JOIN s y ON x.i >= y.i CROSS JOIN a WHERE x.i - y.i <= lags)
+        SELECT n, round(m, 6) AS mean, round(m / sd, 6) AS ir, round(m * sqrt(n) / sd, 6) AS t, round(CASE WHEN total > 0 THEN m / sqrt(total / n / n) END, 6) AS nw_t FROM a, g""",
     "composite_score": f"""WITH {PANEL}, {RETURNS}, {FACTORS}, s AS (SELECT code, d, ({_TERMS}) / 100 AS s FROM fac WHERE d IN {MONTH})
         SELECT code, d, round(s, 6) AS score, CASE WHEN s >= 60 THEN 'A' WHEN s >= 45 THEN 'B' ELSE 'C' END AS rating FROM s""",
     "announcements": """WITH g AS (SELECT l_suppkey, l_shipdate::DATE AS day, count(*) AS n, round(sum(l_extendedprice), 2) AS amount FROM lineitem WHERE l_shipdate > TIMESTAMP '1998-06-30' GROUP BY ALL)
