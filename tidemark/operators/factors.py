@@ -21,13 +21,13 @@ def with_returns(panel: DataFrame) -> DataFrame:
     return panel.withColumn("lr", F.ln(F.try_divide(F.col("px"), lagged("px", 1)))).withColumn("rr", F.try_divide(real, before) - 1).withColumn("rlr", F.ln(F.try_divide(real, before)))
 
 
-def price_factors(panel: DataFrame) -> DataFrame:
-    """reversal_20, momentum_120_20, volatility_60, turnover_20, amihud_20, max_ret_20; null without enough observations."""
+def price_factors(panel: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """reversal_20, momentum_120_20, volatility_60, turnover_20, amihud_20, max_ret_20, beside the columns to keep; null without enough observations."""
     p = with_returns(panel)
     turnover = F.when(F.col("vol") > 0, F.col("vol") / 1000)
     illiquid = F.when(F.col("amount") > 0, F.abs("rlr") / F.col("amount"))
     return p.select(
-        "code", "d", "ord",
+        "code", "d", "ord", *keep,
         covered("close", -(F.try_divide(F.col("px"), lagged("px", 20)) - 1), -20).alias("reversal_20"),
         covered("close", F.try_divide(lagged("px", 20), lagged("px", 120)) - 1, -120, -20).alias("momentum_120_20"),
         covered("close", F.stddev_samp("lr").over(frame(-59)), -60).alias("volatility_60"),

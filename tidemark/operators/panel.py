@@ -48,9 +48,9 @@ def listing(panel_bars: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def densify(panel_bars: DataFrame, cal: DataFrame) -> DataFrame:
-    """A row for every period of each code's listing; periods without a bar are suspended, with vol and amount 0."""
+    """A row for every period of each code's listing, with the calendar's month_end; periods without a bar are suspended, with vol and amount 0."""
     grid = listing(panel_bars, cal).select("code", F.explode(F.sequence("first_ord", "last_ord")).alias("ord"))
-    dense = grid.join(cal.select("ord", "d"), "ord").join(panel_bars, ["code", "d"], "left")
+    dense = grid.join(cal.select("ord", "d", "month_end"), "ord").join(panel_bars, ["code", "d"], "left")
     return dense.withColumn("suspended", F.col("close").isNull()).fillna(0.0, ["vol", "amount", "returned"])
 
 

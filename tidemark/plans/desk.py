@@ -17,7 +17,7 @@ DIMENSIONS = {"momentum_120_20": (-1.0, 1.0, 30), "reversal_20": (-1.0, 1.0, 25)
 
 def composite(spark, sf_dir: str) -> DataFrame:
     """Month ends: each dimension on a line from 0 to 100, clamped, 50 if unknown; their weighted mean and a rating."""
-    f = month_ends(fac.price_factors(the_panel(spark, sf_dir)))
+    f = month_ends(fac.price_factors(the_panel(spark, sf_dir), ("month_end",)))
     part = lambda x, lo, hi: F.coalesce(F.greatest(F.least((F.col(x) - lo) / (hi - lo) * 100, F.lit(100.0)), F.lit(0.0)), F.lit(50.0))
     total = None
     for x, (lo, hi, w) in DIMENSIONS.items():
@@ -37,7 +37,7 @@ def announcements(spark, sf_dir: str) -> DataFrame:
 
 def cached(spark, sf_dir: str):
     """The cache of two factors at month ends: rows of before 1998 from an old snapshot, of 1999 from one no longer valid, some lost."""
-    f = month_ends(fac.price_factors(the_panel(spark, sf_dir)))
+    f = month_ends(fac.price_factors(the_panel(spark, sf_dir), ("month_end",)))
     long = f.select("code", "d", F.explode(F.create_map(F.lit("reversal_20"), F.col("reversal_20"), F.lit("max_ret_20"), F.col("max_ret_20"))).alias("factor", "value"))
     snapshot = F.when(F.year("d") < 1998, "s1").when(F.year("d") == 1999, "gone").otherwise("s2")
     lost = (F.col("code") == 3) & (F.month("d") == 6)

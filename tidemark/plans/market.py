@@ -95,9 +95,8 @@ attr AS (SELECT s_suppkey AS code, abs(s_acctbal) + 1000 AS shares, n_name AS in
 
 
 def month_ends(df: DataFrame) -> DataFrame:
-    """Rows of the last period of each month."""
-    last = df.select("d").distinct().groupBy(F.trunc("d", "month").alias("_m")).agg(F.max("d").alias("d")).select("d")
-    return df.join(F.broadcast(last), "d", "left_semi")  # one row per month
+    """Rows of the last period of each month, as the panel's calendar marks them."""
+    return df.where("month_end").drop("month_end")
 
 
 MONTH = "(SELECT max(d) FROM cal GROUP BY date_trunc('month', d))"
@@ -109,13 +108,12 @@ def size_and_industry(spark, sf_dir: str) -> DataFrame:
     return fac.collapse_rare(p, "industry", "d").select("code", "d", F.round(F.ln(F.when(mv > 0, mv)), 6).alias("log_mv"), "industry")
 
 
-def exposures(spark, sf_dir: str, factor: str = "reversal_20") -> DataFrame:
-    """Month-end cross-sections of one factor with log_mv, sector and the return to the next month end."""
-    f = month_ends(fac.price_factors(the_panel(spark, sf_dir)).select("code", "d", *FACTOR_NAMES))
-    p = month_ends(the_panel(spark, sf_dir)).select("code", "d", "px")
+def exposures(spark, sf_dir: str) -> DataFrame:
+    """Month-end cross-sections of the factors with log_mv, sector and the return to the next month end."""
+    f = month_ends(fac.price_factors(the_panel(spark, sf_dir), ("px", "month_end")))
     nxt = F.lead("px").over(Window.partitionBy("code").orderBy("d"))
-    p = p.withColumn("fwd", F.try_divide(nxt, F.col("px")) - 1)
-    out = f.join(p, ["code", "d"]).join(attributes(spark, sf_dir), "code")
+    f = f.withColumn("fwd", F.try_divide(nxt, F.col("px")) - 1)
+    out = f.join(attributes(spark, sf_dir), "code")
     return out.withColumn("log_mv", F.ln(F.col("px") * F.col("shares")))
 
 
