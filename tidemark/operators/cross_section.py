@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 def winsorize_mad(df: DataFrame, x: str, by: list[str], n: float = 3.0) -> DataFrame:
     """x clipped to median +- n * 1.4826 * MAD of its group; unchanged where that is 0 or unknown."""
-    middle = df.groupBy(*by).agg(F.median(x).alias("_m"))
-    a = df.join(middle, by, "left")
-    spread = a.groupBy(*by).agg((F.median(F.abs(F.col(x) - F.col("_m"))) * 1.4826 * n).alias("_s"))
-    a = a.join(spread, by, "left")
+    w = Window.partitionBy(*by)
+    a = df.withColumn("_m", F.median(x).over(w))
+    a = a.withColumn("_s", F.median(F.abs(F.col(x) - F.col("_m"))).over(w) * 1.4826 * n)
     low, high = F.col("_m") - F.col("_s"), F.col("_m") + F.col("_s")
     return a.withColumn(x, F.when((F.col("_s") > 0) & F.col(x).isNotNull(), F.greatest(F.least(F.col(x), high), low)).otherwise(F.col(x))).drop("_m", "_s")
 
