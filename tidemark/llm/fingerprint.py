@@ -32,8 +32,8 @@ from .text import py_lower_words
 SHINGLE, FRACTION, FLOOR = 5, 16, 32
 BITS = 48
 THRESHOLD = (1 << BITS) // FRACTION
-#: Bytes of text that one range of ids holds when neighbours are brought together.
-RANGE_BYTES = 16 << 20
+#: Bytes of text that a partition holds when neighbours are brought together, and ranges of ids in each: several, so that their hashes even out.
+PARTITION_BYTES, RANGES_EACH = 16 << 20, 8
 
 Sketch = tuple[int, np.ndarray]  # distinct shingles, kept hashes in order
 
@@ -187,16 +187,16 @@ def beside_next(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     n_bytes, n, first = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id"), F.max("doc_id")).first()
     spark = docs.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((n_bytes or 0) / RANGE_BYTES))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((n_bytes or 0) / PARTITION_BYTES))
     cuts: list[int] = []
     if n:
-        ranges = min(ranges, n)
+        ranges = min(RANGES_EACH * partitions, n)
         at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5))
         cuts = docs.agg(F.percentile_approx("doc_id", at, F.lit(max(10_000, 20 * ranges)))).first()[0]
     known = np.unique(np.array(cuts, np.int64))
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = docs.mapInArrow(_in_ranges(known, first), f"bucket int, tail int, doc_id {kind}, text string")
-    ordered = placed.repartition(ranges, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    ordered = placed.repartition(partitions, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "text")
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(_beside_next, schema)
 
