@@ -87,3 +87,15 @@ def test_documents_end_to_end(spark):
     assert sh.keep_one(docs).columns == docs.columns
     assert sh.near_duplicates(docs.limit(0)).count() == 0
     assert sh.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_under_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (1, d), (8, e), (8, e), (9, a + " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _fp", "2 AS _kept")
+    assert len({sh.simhash(t) for t in (a, b, c, d, e)}) == 5
+    kept = sh.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(9, a + " "), (None, b), (7, c), (1, d), (8, e)], key=str)
+    nulls = sh.keep_one(docs.where("doc_id is null"))
+    assert sorted(r.text for r in nulls.collect()) == [a, b]

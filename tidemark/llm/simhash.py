@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import aside, discard, few, stored
 from .text import py_lower_words
@@ -140,25 +141,51 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def _labelled(fps: DataFrame) -> DataFrame:
+    """(fp, lo, root) of every distinct fp: its least doc_id and the least fp that links reach."""
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("lo")), "simhash-nodes")
+    roots = components(links(nodes))
+    return stored(nodes.join(few(roots.withColumnRenamed("node", "fp"), FEW_KEYS), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id of those that links reach."""
     fps = stored(fingerprints(docs, k), "simhash-fp")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("lo")), "simhash-nodes")
-    roots = components(links(nodes))
-    labelled = stored(nodes.join(few(roots.withColumnRenamed("node", "fp"), FEW_KEYS), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    labelled = _labelled(fps)
     least = stored(labelled.groupBy("root").agg(F.min("lo").alias("component_id")), "simhash-least")
     chosen = stored(labelled.join(least, "root").select("fp", "component_id"), "simhash-chosen")
     return fps.join(chosen, "fp").select("doc_id", "fp", "component_id")
 
 
+def _with_fp(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([simhash(t.as_py(), k) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_fp"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs with one row of each component: that of its least doc_id, and of rows that repeat this, one."""
-    docs, back = aside(docs, ("_id",))
-    found = near_duplicates(docs, k)
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_id"), "simhash-kept")
-    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+    """docs with one row of each component: that of its least doc_id (null after all others), then of the least fp; of rows that repeat both, one.
+
+    A doc_id that one row holds names that row; rows under a null or repeated one are told apart by their fp.
+    """
+    docs, back = aside(docs, ("_id", "_fp", "_kept"))
+    fps = stored(fingerprints(docs, k), "simhash-fp")
+    first = F.min(F.struct(F.col("lo").isNull().alias("nil"), "lo", "fp"))
+    kept = stored(_labelled(fps).groupBy("root").agg(first.alias("v")).select(F.col("v.lo").alias("_id"), F.col("v.fp").alias("_kept")), "simhash-kept")
+    repeated = stored(fps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "simhash-repeated")
+    several, nameless = repeated.limit(1).count() > 0, fps.where("doc_id is null").limit(1).count() > 0
+    single = kept.join(few(repeated, FEW_KEYS), "_id", "left_anti") if several else kept
+    out = docs.join(single.where("_id is not null").hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    unclear = [docs.where("doc_id is null")] if nameless else []
+    if several:
+        unclear.append(docs.join(few(repeated, FEW_KEYS), F.col("doc_id") == F.col("_id"), "left_semi"))
+    for rows in unclear:
+        rows = rows.mapInArrow(_with_fp(k), StructType([*rows.schema, StructField("_fp", LongType())]))
+        rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")), "left_semi")
+        out = out.unionByName(rows.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
     return out.withColumnsRenamed(back)
 
 
