@@ -105,3 +105,22 @@ def test_versions(spark):
     assert v.current() == first and fingerprint(v.read()) == fingerprint(a.repartition(3)) != fingerprint(a.where("k = 1"))
     assert audited(a, spark.createDataFrame([(1, 1.5), (2, None), (3, 1.0)], "k long, x double"), ["k"], "x").count() == 2
     assert {r.x for r in latest_by(spark.createDataFrame([(1, 1.0), (1, 2.0)], "k long, x double"), ["k"], [__import__("pyspark.sql.functions", fromlist=["x"]).col("x").desc()]).collect()} == {2.0}
+
+
+def test_runs_see_the_whole_universe(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(d, c, ["a", "b", "c"][0 if c < 80 else c % 3], float(rng.normal() + (c < 80) * 9), float(rng.normal() / 20), 1.0) for d in range(6) for c in range(100)]
+    frame = spark.createDataFrame(rows, "d long, code long, sector string, reversal_20 double, fwd double, log_mv double")
+    monkeypatch.setattr(backtests, "exposures", lambda *a: frame)
+    monkeypatch.setattr(backtests.xs, "process", lambda e, *a: e)
+    s = backtests.scored(spark, "")
+    assert s.select("code").distinct().count() == 100
+    got = bt.run(s, backtests.grid(spark, [backtests.base("base"), backtests.base("perm", seed=3)])).toPandas()
+    day = bt.Window.partitionBy("at")
+    at = bt.F.row_number().over(day.orderBy(bt.F.xxhash64(bt.F.lit(3).cast("long"), "at", "code"), "code"))
+    perm = s.withColumn("score", bt.F.element_at(bt.F.array_sort(bt.F.collect_list(bt.F.struct("code", "score")).over(day)), at)["score"])
+    for name, whole in (("base", s), ("perm", perm)):
+        want = bt.simulate(whole.toPandas().assign(run_id=name, n=20, cap=8, budget=0.6, cost_rate=0.001))
+        mine = got[got.run_id == name].sort_values("at").reset_index(drop=True)
+        pd.testing.assert_frame_equal(mine, want.reset_index(drop=True), check_dtype=False)
+        assert want.n_held.iloc[0] == 20

@@ -1,7 +1,7 @@
 """Portfolio simulation: holdings of one date depend on those before, so a run is one sequential group.
 
 Everything that does not depend on holdings (scores, prices, tradability) is computed over all dates by
-Spark first; a run then only sees the codes that were candidates on some date.  Runs are independent and
+Spark first; a run then only sees the codes that it can reach on some date.  Runs are independent and
 are what is distributed: grids, permutations and folds are rows of a configuration table.
 """
 
@@ -64,26 +64,32 @@ def simulate(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[f.split()[0] for f in RUN.split(", ")])
 
 
-def candidates(scores: DataFrame, most: int) -> DataFrame:
-    """Only codes that are among the best `most` on some date: the others can never be held."""
-    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.col("score").desc_nulls_last(), "code"))
-    codes = scores.withColumn("_r", rank).where((F.col("_r") <= most) & F.col("score").isNotNull()).select("code").distinct()
-    return scores.join(codes, "code", "left_semi")
+def reached(rows: DataFrame) -> DataFrame:
+    """Per run all rows of the codes that targets() can choose on some date; the others are never held.
+
+    Of a sector's rows by score, those after the cap-th that can be bought and sold are out of reach: each of these
+    cap is chosen before them, whatever is held.
+    """
+    rank = F.when(~F.isnan("score"), F.col("score"))
+    before = Window.partitionBy("run_id", "at", "sector").orderBy(rank.desc_nulls_last(), "code").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.col("can_buy") & F.col("can_sell") & rank.isNotNull()
+    codes = rows.withColumn("_f", F.coalesce(F.sum(free.cast("int")).over(before), F.lit(0))).where(F.col("_f") < F.greatest(F.col("cap"), F.lit(1)))
+    return rows.join(codes.select("run_id", "code").distinct(), ["run_id", "code"], "left_semi")
 
 
 def run(scores: DataFrame, configs: DataFrame) -> DataFrame:
     """Every configuration over the scored dates: a row per run and date.
 
     scores: at, code, sector, score, fwd, can_buy, can_sell; configs: run_id, n, cap, budget, cost_rate, seed
-    (0: scores as they are, else permuted within each date by a seeded hash) and a range of dates, a row per run.
+    (0: scores as they are, else permuted within each date by a seeded hash, over all codes) and a range of dates, a row per run.
     """
-    j = scores.join(F.broadcast(configs), F.col("at").between(F.col("from_at"), F.col("to_at")))
-    day = Window.partitionBy("run_id", "at")
-    by_hash = F.row_number().over(day.orderBy(F.xxhash64("seed", "at", "code"), "code"))
-    permuted = F.element_at(F.array_sort(F.collect_list(F.struct("code", "score")).over(day)), by_hash)["score"]
-    j = j.withColumn("score", F.when(F.col("seed") == 0, F.col("score")).otherwise(permuted))
+    numbered = scores.withColumn("_i", F.row_number().over(Window.partitionBy("at").orderBy("code")))
+    j = numbered.join(F.broadcast(configs), F.col("at").between(F.col("from_at"), F.col("to_at")))
+    by_hash = F.row_number().over(Window.partitionBy("run_id", "at").orderBy(F.xxhash64("seed", "at", "code"), "code"))
+    mixed = j.where("seed <> 0").drop("score").withColumn("_i", by_hash).join(numbered.select("at", "_i", "score"), ["at", "_i"])
     columns = ["run_id", "at", "code", "sector", "score", "fwd", "can_buy", "can_sell", "n", "cap", "budget", "cost_rate"]
-    return j.select(*columns).groupBy("run_id").applyInPandas(simulate, RUN)
+    both = j.where("seed = 0").select(*columns).unionByName(mixed.select(*columns))
+    return reached(both).select(*columns).groupBy("run_id").applyInPandas(simulate, RUN)
 
 
 def summary(runs: DataFrame, per_year: int = 12) -> DataFrame:

@@ -21,7 +21,7 @@ def scored(spark, sf_dir: str) -> DataFrame:
     fwd = F.greatest(F.least(F.col("fwd"), F.lit(0.5)), F.lit(-0.5))
     blocked = F.pmod(F.xxhash64("code", "d"), F.lit(20))
     s = e.join(F.broadcast(dates), "d").select("at", "code", "sector", F.col("reversal_20").alias("score"), fwd.alias("fwd"), (blocked != 0).alias("can_buy"), (blocked != 1).alias("can_sell"))
-    return stored(bt.candidates(s, 60), "bt-scores")
+    return stored(s, "bt-scores")
 
 
 def grid(spark, rows) -> DataFrame:
