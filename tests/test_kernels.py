@@ -124,3 +124,17 @@ def test_runs_see_the_whole_universe(spark, monkeypatch):
         mine = got[got.run_id == name].sort_values("at").reset_index(drop=True)
         pd.testing.assert_frame_equal(mine, want.reset_index(drop=True), check_dtype=False)
         assert want.n_held.iloc[0] == 20
+
+
+def test_walk_forward_takes_the_size_that_training_prefers(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for at in range(1, 85):
+        for c in range(60):  # before month 61 the best ten alone gain, from then on the next twenty
+            good = c < 10 if at <= 60 else 10 <= c < 30
+            rows.append((at, c, f"s{c % 5}", float(60 - c), (0.05 if good else -0.03) + float(rng.normal() / 200), True, True))
+    s = spark.createDataFrame(rows, "at long, code long, sector string, score double, fwd double, can_buy boolean, can_sell boolean")
+    out = backtests.walk_forward(s, 84).toPandas()
+    assert sorted(out["at"]) == list(range(61, 85)) and out.run_id.nunique() == 2
+    assert set(out.n_held[out["at"] == 61]) == {10}
+    assert backtests.PERMUTATIONS == 200 and backtests.walk_forward(s, 71).count() == 0
