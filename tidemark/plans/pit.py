@@ -209,7 +209,7 @@ def upsert(spark, sf_dir: str) -> DataFrame:
 
 
 def merge_statements(spark, sf_dir: str) -> DataFrame:
-    """Full outer merge of three partial statements on (code, year), the announcement being the latest."""
+    """Full outer merge of three partial statements on (code, year), the announcement being the latest; of lines of a quantity over 48 only, as in its SQL."""
     li = table(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate")).withColumn("d", F.col("l_shipdate").cast("date"))
     part = lambda flag, name: li.where(F.col("l_returnflag") == flag).where(F.col("l_quantity") > 48).groupBy(F.col("l_suppkey").alias("code"), "y").agg(F.round(F.sum("l_extendedprice"), 2).alias(name), F.max("d").alias(f"d_{name}"))
     m = part("R", "returned").join(part("A", "accepted"), ["code", "y"], "full").join(part("N", "fresh"), ["code", "y"], "full")
