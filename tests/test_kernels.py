@@ -138,3 +138,17 @@ def test_walk_forward_takes_the_size_that_training_prefers(spark):
     assert sorted(out["at"]) == list(range(61, 85)) and out.run_id.nunique() == 2
     assert set(out.n_held[out["at"] == 61]) == {10}
     assert backtests.PERMUTATIONS == 200 and backtests.walk_forward(s, 71).count() == 0
+
+
+def test_scratch_keeps_what_it_is_told_to(spark):
+    from pathlib import Path
+
+    from tidemark.session import scratch, stored
+
+    there = lambda df: Path(df._stored_path.removeprefix("file://")).exists()
+    with scratch() as outer:
+        with scratch() as inner:
+            a, b = stored(spark.range(3), "scope-a"), inner.keep(stored(spark.range(4), "scope-b"))
+        assert not there(a) and there(b) and b.count() == 4
+        c = outer.keep(stored(b, "scope-c"))
+    assert not there(b) and there(c) and c.count() == 4

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +59,44 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    if (scope := _scope.get()) is not None:
+        scope.frames.append(out)
     return out
 
 
+class Scratch:
+    """The tables that stored() wrote in a scope."""
+
+    def __init__(self, outer: Scratch | None) -> None:
+        self.outer, self.frames = outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A frame of stored(), which outlives the scope: it belongs to the scope around it from now on."""
+        self.frames = [f for f in self.frames if f is not df]
+        if self.outer is not None:
+            self.outer.frames.append(df)
+        return df
+
+
+_scope: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Scratch]:
+    """What stored() writes within is deleted at the end, except for frames given to keep().
+
+    Around an operator and the write of its result, it leaves nothing behind but the result.
+    """
+    scope = Scratch(_scope.get())
+    token = _scope.set(scope)
+    try:
+        yield scope
+    finally:
+        _scope.reset(token)
+        for df in scope.frames:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_path", None)
