@@ -50,3 +50,24 @@ def test_odd_tables(spark):
     got = quality.score(docs, quality.fit(m, both)).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_fit_equals_one_dense_system(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 60, rng.integers(1, 80))) + "!" * int(rng.integers(0, 9))) for i in range(300)]
+    y = {i: int("w7 " in t or len(t) > 200) for i, t in rows}
+    m = quality.measured(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    model = quality.fit(m, spark.createDataFrame(list(y.items()), "doc_id long, quality int"))
+    known = m.where(~quality.held_out(F.col("doc_id"))).select("doc_id", "x", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("aside")).collect()
+    x, aside = np.array([r.x for r in known]), np.array([r.aside for r in known])
+    label = np.array([y[r.doc_id] for r in known], float)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3))
+    z = model.features(x[~aside])
+    penalty = np.append(np.full(quality.FEATURES, 1e-4), 1e-9) * len(z)
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ label[~aside]), atol=1e-6)
+    raw = model.raw(x[aside])
+    at = np.floor(np.clip(raw, -0.5, 1.5) * (quality.BINS / 2))
+    bins = np.unique(at)
+    count = np.array([(at == b).sum() for b in bins], float)
+    assert np.allclose(model.knots, [raw[at == b].mean() for b in bins])
+    assert np.allclose(model.values, quality.isotonic(count, np.array([label[aside][at == b].mean() for b in bins])))

@@ -99,3 +99,24 @@ def test_keep_one_under_null_and_repeated_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(9, a + " "), (None, b), (7, c), (1, d), (8, e)], key=str)
     nulls = sh.keep_one(docs.where("doc_id is null"))
     assert sorted(r.text for r in nulls.collect()) == [a, b]
+
+
+def test_keep_one_loses_no_component_whatever_the_partitions(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.choice((1, 3, 40)))) for _ in range(25)] + ["", None]
+    rows = [(rng.choice((None, None, 1, 2, 3, 4, 5)), rng.choice(texts)) for _ in range(120)]
+    fp = {t: sh.simhash(t) for t in texts}
+    root = brute_components(set(fp.values()))
+    members = {}
+    for doc, text in rows:
+        members.setdefault(root[fp[text]], []).append((doc is None, doc or 0, fp[text], text))
+    want = sorted((min(m)[:3] for m in members.values()))
+    seen = set()
+    for parts in (1, 2, 5, 11):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        kept = [(r.doc_id, r.text) for r in sh.keep_one(docs).collect()]
+        assert sorted((d is None, d or 0, fp[t]) for d, t in kept) == want
+        assert all((d, t) in rows for d, t in kept)
+        seen.add(tuple(sorted(kept, key=str)))
+    assert len(seen) == 1

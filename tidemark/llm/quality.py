@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch, stored
 
 FEATURES, BINS, SEED = 256, 1000, 11
 STATISTICS = 20
-#: Tasks that sum normal equations at most; each sends (FEATURES + 1)^2 numbers.
-SUMMING_TASKS = 64
 
 
 def statistics(text: str | None) -> list[float]:
@@ -69,16 +67,26 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = np.array([statistics(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, STATISTICS, dtype=np.int32)), pa.array(x))], names=["doc_id", "x"])
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
+
+
+def _rows_of(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
+
+
+def statistics_of(text: Column) -> Column:
+    """The statistics of each text, as an array; no other column goes to Python."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists(np.array([statistics(t.as_py()) for t in texts], np.float64).reshape(-1, STATISTICS))
+
+    return F.arrow_udf(run, "array<double>")(text)
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics of each text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", statistics_of(F.col("text")).alias("x"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -111,29 +119,37 @@ class Model:
         return np.clip(0.999 * np.interp(r, self.knots, self.values) + 0.001 / (1 + np.exp(-4 * (r - 0.5))), 0.0, 1.0)
 
 
-def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
-
-
 def _summed(model: Model):
     """Normal equations of a partition, one row for each of their lines; the last entry is the right-hand side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FEATURES + 1, FEATURES + 2))
+        n = 0
         for batch in batches:
-            z, y = model.features(_rows_of(batch)), batch.column("y").to_numpy()
+            z, y = model.features(_rows_of(batch.column("x"))), batch.column("y").to_numpy()
             total += z.T @ np.hstack([z, y[:, None]])
-        k = len(total)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)), pa.array(total.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), flat], names=["i", "line"])
+            n += len(y)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), _lists(total)], names=["i", "line"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each number added up; a task holds one sum for each of its numbers."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        lines = batch.column("line").flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES + 2)
+        for i, line in zip(batch.column("i").to_pylist(), lines, strict=True):
+            sums[i] = sums[i] + line if i in sums else line.copy()
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), _lists(np.array(list(sums.values())))], names=["i", "line"])
+
+
 def _raw_scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_rows_of(batch))), batch.column("y")], names=["r", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_rows_of(batch.column("x")))), batch.column("y")], names=["r", "y"])
 
     return run
 
@@ -154,7 +170,11 @@ def fit(measures: DataFrame, labels: DataFrame, ridge: float = 1e-4) -> Model:
     """The model of labelled rows that are not held out: all of them, three quarters for ridge, the rest for calibration."""
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").cast("double").alias("y"))
     rows = measures.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_id")).select("x", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("aside"))
-    rows = stored(rows, "quality-rows")
+    with scratch():
+        return _fit(stored(rows, "quality-rows"), ridge)
+
+
+def _fit(rows: DataFrame, ridge: float) -> Model:
     moments = rows.agg(F.count("*"), F.avg("y"), *[g(F.col("x")[i]) for i in range(STATISTICS) for g in (F.avg, F.stddev_pop)], F.min("y"), F.max("y")).first()
     rng = np.random.default_rng(SEED)
     mean, scale = np.array([x or 0.0 for x in moments[2:-2:2]]), np.array([x or 0.0 for x in moments[3:-2:2]])
@@ -165,11 +185,11 @@ def fit(measures: DataFrame, labels: DataFrame, ridge: float = 1e-4) -> Model:
     fitting, aside = rows.where(~F.col("aside")), rows.where("aside")
     if not fitting.limit(1).count() or not aside.limit(1).count():
         fitting = aside = rows
-    lines = fitting.coalesce(SUMMING_TASKS).mapInArrow(_summed(model), "i int, line array<double>")
-    sums = lines.select("i", F.posexplode("line").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    lines = fitting.mapInArrow(_summed(model), "i int, line array<double>")
+    sums = lines.repartition("i").mapInArrow(_added, "i int, line array<double>").collect()  # FEATURES + 1 rows
     system = np.zeros((FEATURES + 1, FEATURES + 2))
-    for i, j, v in sums:
-        system[i, j] = v
+    for i, line in sums:
+        system[i] = line
     n = system[-1, FEATURES]
     penalty = np.full(FEATURES + 1, ridge * n)
     penalty[-1] = 1e-9 * n
@@ -182,35 +202,21 @@ def fit(measures: DataFrame, labels: DataFrame, ridge: float = 1e-4) -> Model:
     return model
 
 
-def _scored(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [n for n in batch.schema.names if n != "x"]
-            if "x" in batch.schema.names:
-                x = _rows_of(batch)
-            else:
-                x = np.array([statistics(t.as_py()) for t in batch.column("text")], np.float64).reshape(-1, STATISTICS)
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
-
-    return run
-
-
-def score_measures(measures: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and predicted from statistics that were kept."""
-    kind = measures.schema["doc_id"].dataType.simpleString()
-    return measures.mapInArrow(_scored(model), f"doc_id {kind}, score double, predicted int")
+def score_of(model: Model, x: Column) -> Column:
+    """The score of each array of statistics."""
+    return F.arrow_udf(lambda xs: pa.array(model.score(_rows_of(xs)), pa.float64()), "double")(x)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted, in one pass over the texts."""
-    docs = docs.drop("score", "predicted", "x")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scored(model), schema + ", score double, predicted int")
+def score(docs: DataFrame, model: Model, x: Column | None = None) -> DataFrame:
+    """docs with score and predicted; x: the column of statistics where they are known, else they are taken of the text."""
+    docs = docs.drop("score", "predicted")
+    found = docs.withColumn("score", score_of(model, statistics_of(F.col("text")) if x is None else x))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: every document, by a model of the labelled rows with crc32(doc_id) mod 3 not 1."""
-    measures = stored(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-measures")
-    model = fit(measures, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_measures(measures, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    with scratch() as s:
+        measures = s.keep(stored(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-measures"))
+        model = fit(measures, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(measures, model, F.col("x")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

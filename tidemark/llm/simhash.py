@@ -17,6 +17,7 @@ copies; a component of null ids alone has a null id; an empty table gives no row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +25,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import aside, discard, few, stored
+from ..session import aside, discard, few, scratch, stored
 from .text import py_lower_words
 
 #: Comparing a node with up to so many under each of its 64 keys costs less than 2,016 rows for it.
 CROWD = 256
 #: Key rows are 16 bytes, so that this many may be broadcast.
 FEW_KEYS = 300_000
+#: Key rows that a task makes of its nodes.
+KEYS_PER_TASK = 1 << 21
 
 
 def shingle_digests(words: list[bytes], k: int, seed: int = 42) -> bytes:
@@ -61,16 +63,22 @@ def simhash(text: str | None, k: int = 3) -> int:
 def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(t.as_py(), k) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = pa.array([simhash(t.as_py(), k) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), found], names=["doc_id", "h", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id and fp (signed) of every whole text."""
+    """doc_id, h (a hash of the text, by which rows of one doc_id are told apart) and fp (signed) of every whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(k), f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_fingerprints(k), f"doc_id {kind}, h long, fp long")
+
+
+def spread(nodes: DataFrame, keys_each: int) -> DataFrame:
+    """Nodes dealt to as many tasks as their keys need: these are many times the nodes, which lie in few files."""
+    least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(max(least, math.ceil(nodes.count() * keys_each / KEYS_PER_TASK)), "fp")
 
 
 def one_wildcard_keys(nodes: DataFrame) -> DataFrame:
@@ -91,7 +99,7 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     # Two that link share up to 33 keys; only the first of these gives the pair.
     first = "(case bit_count(({x} ^ {y}) & 4294967295L) when 0 then 0 when 1 then if(shiftright(key, 32) < 32 and (({x} ^ {y}) & 4294967295L) = shiftleft(1L, cast(shiftright(key, 32) as int)), shiftright(key, 32), -1) else 32 end) = shiftright(key, 32)"
     near = "bit_count({x} ^ {y}) <= 2 and " + first
-    keys = one_wildcard_keys(nodes)
+    keys = one_wildcard_keys(spread(nodes.select("fp"), 64))
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n >= 2"), "simhash-keys")
     direct = shared.where("n = 2").where(near.format(x="u", y="v")).select("u", "v")
     members = stored(keys.join(few(shared.where("n > 2").select("key", "n"), FEW_KEYS), "key"), "simhash-members")
@@ -99,7 +107,8 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     pairs = F.expr(f"flatten(transform(l, x -> transform(filter(l, y -> y > x and {near.format(x='x', y='y')}), y -> struct(x as u, y as v))))")
     few_each = small.select(F.explode(pairs).alias("p")).select("p.u", "p.v")
     crowded = members.where(F.col("n") > crowd).select("fp").distinct()
-    cliques = two_wildcard_keys(crowded).groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("w"), F.bit_xor("fp").alias("x")).where("n >= 2")
+    crowded = stored(crowded, "simhash-crowded")
+    cliques = two_wildcard_keys(spread(crowded, 2016)).groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("w"), F.bit_xor("fp").alias("x")).where("n >= 2")
     cliques = stored(cliques, "simhash-cliques")
     # Up to four share a key.  The least and the greatest are the ends of n = 2; for 3 and 4 the star needs them all.
     pair = cliques.where("n = 2").select("u", F.col("w").alias("v"))
@@ -150,43 +159,55 @@ def _labelled(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id of those that links reach."""
-    fps = stored(fingerprints(docs, k), "simhash-fp")
-    labelled = _labelled(fps)
-    least = stored(labelled.groupBy("root").agg(F.min("lo").alias("component_id")), "simhash-least")
-    chosen = stored(labelled.join(least, "root").select("fp", "component_id"), "simhash-chosen")
+    with scratch() as s:
+        fps = s.keep(stored(fingerprints(docs, k), "simhash-fp"))
+        labelled = _labelled(fps)
+        least = labelled.groupBy("root").agg(F.min("lo").alias("component_id"))
+        chosen = s.keep(stored(labelled.join(least, "root").select("fp", "component_id"), "simhash-chosen"))
     return fps.join(chosen, "fp").select("doc_id", "fp", "component_id")
 
 
-def _with_fp(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([simhash(t.as_py(), k) for t in batch.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_fp"])
+def unkept(docs: DataFrame, k: int = 3) -> DataFrame:
+    """(doc_id, h, lost, n) of the rows that do not simply stay: those that go, and those that stay once though found n times.
 
-    return run
+    A component keeps its first row by doc_id (null after all others), fp and h.
+    """
+    fps = stored(fingerprints(docs, k), "simhash-fp")
+    labelled = _labelled(fps)
+    by_root = labelled.groupBy("root").agg(F.min(F.struct(F.col("lo").isNull().alias("nil"), "lo", "fp")).alias("v"))
+    first = by_root.select("root", F.col("v.lo").alias("keep_id"), F.col("v.fp").alias("keep_fp"))
+    keepers = stored(labelled.join(first, "root").select("fp", "keep_id", "keep_fp"), "simhash-keepers")
+    # Rows that share the keeper's doc_id and fp but not its text: the least h of them stays.
+    at = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))
+    rows = fps.join(keepers, "fp").groupBy("doc_id", "fp", "h", at.alias("at")).agg(F.count("*").alias("n"))
+    rows = stored(rows, "simhash-rows")
+    least = rows.where("at").groupBy("doc_id", "fp").agg(F.min("h").alias("least"), F.count("*").alias("texts"))
+    tied = stored(least.where("texts > 1"), "simhash-tied")
+    lost = ~F.col("at")
+    if tied.limit(1).count():
+        tied = few(tied.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_f"), "least"), FEW_KEYS)
+        rows = rows.join(tied, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_f")), "left")
+        lost = lost | (F.col("h") != F.coalesce("least", "h"))
+    return rows.select("doc_id", "h", lost.alias("lost"), "n").where("lost or n > 1")
 
 
 def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs with one row of each component: that of its least doc_id (null after all others), then of the least fp; of rows that repeat both, one.
+    """docs with one row of each component: the first by doc_id (null after all others), fp and a hash of the text; of rows alike in all, one.
 
-    A doc_id that one row holds names that row; rows under a null or repeated one are told apart by their fp.
+    Rows that go are looked up by doc_id and text: they are few beside those that stay, which are not moved unless
+    more than FEW_KEYS go.
     """
-    docs, back = aside(docs, ("_id", "_fp", "_kept"))
-    fps = stored(fingerprints(docs, k), "simhash-fp")
-    first = F.min(F.struct(F.col("lo").isNull().alias("nil"), "lo", "fp"))
-    kept = stored(_labelled(fps).groupBy("root").agg(first.alias("v")).select(F.col("v.lo").alias("_id"), F.col("v.fp").alias("_kept")), "simhash-kept")
-    repeated = stored(fps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "simhash-repeated")
-    several, nameless = repeated.limit(1).count() > 0, fps.where("doc_id is null").limit(1).count() > 0
-    single = kept.join(few(repeated, FEW_KEYS), "_id", "left_anti") if several else kept
-    out = docs.join(single.where("_id is not null").hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
-    unclear = [docs.where("doc_id is null")] if nameless else []
-    if several:
-        unclear.append(docs.join(few(repeated, FEW_KEYS), F.col("doc_id") == F.col("_id"), "left_semi"))
-    for rows in unclear:
-        rows = rows.mapInArrow(_with_fp(k), StructType([*rows.schema, StructField("_fp", LongType())]))
-        rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept")), "left_semi")
-        out = out.unionByName(rows.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
-    return out.withColumnsRenamed(back)
+    moved, back = aside(docs, ("_id", "_h", "_oh"))
+    with scratch() as s:
+        odd = s.keep(stored(unkept(docs.select("doc_id", "text"), k), "simhash-unkept"))
+    named = lambda d: few(d.select(F.col("doc_id").alias("_id"), F.col("h").alias("_oh")), FEW_KEYS)
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_oh"))
+    hashed = moved.withColumn("_h", F.xxhash64("text"))
+    out = hashed.join(named(odd), own, "left_anti")
+    again = odd.where("not lost")
+    if again.limit(1).count():
+        out = out.unionByName(hashed.join(named(again), own, "left_semi").dropDuplicates(["doc_id", "_h"]))
+    return out.drop("_h").withColumnsRenamed(back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
