@@ -32,21 +32,26 @@ def in_order(conv):
 
 def test_examples_and_reading_back(spark):
     talks = spark.createDataFrame(TALKS, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS position", "2 AS start", "3 AS target").repartition(4)
-    formatted = chat.expand(talks)
     want = []
     for conv in {t[0] for t in TALKS}:
         turns = in_order(conv)
         for i, (role, text) in enumerate(turns):
             if role == "assistant":
                 whole = "".join(by_hand_segment(*t) for t in turns[: i + 1])
-                want.append((conv, i, whole, chat.unescaped(whole[len(whole) - len("</turn>\n") - len(by_hand_segment(role, text)) + len("<turn:assistant>\n") + len("</turn>\n") : len(whole) - len("</turn>\n")])))
-    got = [(r.conv_id, r.n_context_turns, r.text, chat.unescaped(r.text[r.loss_start : r.loss_end])) for r in chat.examples(formatted).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
-    for r in chat.read_back(formatted).collect():
+                want.append((conv, sum(r == "assistant" for r, _ in turns[:i]), i + 1, i + 1 == len(turns), whole, text))
+            elif i + 1 == len(turns):
+                want.append((conv, None, i + 1, True, "".join(by_hand_segment(*t) for t in turns), None))
+    for block in (1, 2, 64):
+        written = chat.expand(talks, block)
+        got = [(r.conv_id, r.example, r.n_turns, r.whole, r.text, None if r.loss_start is None else chat.unescaped(r.text[r.loss_start : r.loss_end])) for r in written.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    for r in chat.read_back(written).collect():
         turns = in_order(r.conv_id)
         replies = "".join(x for role, x in turns if role == "assistant")
         assert (r.n_turns, r.loss_chars) == (len(turns), len(replies))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(replies.encode()).hexdigest()
         assert r.formatted_chars == sum(len(by_hand_segment(*t)) for t in turns)
-    assert chat.read_back(chat.expand(talks.limit(0))).count() == 0 and chat.examples(chat.expand(talks.limit(0))).count() == 0
+        texts = [w[4] for w in sorted(want, key=str) if w[0] == r.conv_id and w[1] is not None]
+        assert (r.n_examples, r.example_chars) == (len(texts), sum(map(len, texts)))
+    assert chat.read_back(chat.expand(talks.limit(0))).count() == 0 and chat.expand(talks.limit(0)).count() == 0
