@@ -48,24 +48,65 @@ def test_merged_is_the_sketch_of_both():
     assert abs(m[0] / len(union) - 1) < 0.15
 
 
+def plain_sketch(text):
+    """The sketch from its definition: distinct 48-bit hashes of 5-word shingles, those below the threshold, but 32 at least."""
+    import re
+
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    s = [" ".join(w)] if 0 < len(w) <= 5 else [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+    h = sorted({xxhash.xxh64_intdigest(x.encode(), 42) >> 16 for x in s})
+    below = [x for x in h if x < (1 << 48) // 16]
+    return len(h), below if len(below) >= 32 else h[:32]
+
+
+def test_sketch_matches_definition():
+    for t in (None, "", "One", "a b C d e", "a b c d e f a b c d e f", prose(8, 400), prose(9, 9000), "É x\x0by Z " * 300):
+        n, kept = fp.sketch(t)
+        assert (n, kept.tolist()) == plain_sketch(t)
+
+
+def plain_likeness(a, b):
+    (n, x), (m, y) = plain_sketch(a), plain_sketch(b)
+    if not n or not m:
+        return float(n == m)
+    upto = min(1 << 48 if len(k) == c else max((1 << 48) // 16, k[-1] + 1) for c, k in ((n, x), (m, y)))
+    x, y = {v for v in x if v < upto}, {v for v in y if v < upto}
+    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+
 def by_hand(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    import xxhash
+
+    def place(row):
+        h = 42 if row[1] is None else xxhash.xxh64_intdigest(row[1], 42)
+        return (row[0] is not None, row[0], h - (1 << 64) if h >> 63 else h)
+
+    order = sorted(rows, key=place, reverse=True)
     out = []
     for i, (doc, text) in enumerate(order):
         nxt = order[(i + 1) % len(order)][1] or ""
         text = text or ""
-        edited = fp.edited_text(text, nxt)
-        s, e, x = fp.sketch(text), fp.sketch(edited), fp.sketch(nxt)
-        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), fp.to_string(s), fp.to_string(e), fp.likeness(s, e), fp.likeness(s, x)))
+        half = len(text) // 2
+        edited = text[: len(text) - half] + nxt[:half]
+        s, e = fp.sketch(text), fp.sketch(edited)
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), fp.to_string(s), fp.to_string(e), plain_likeness(text, edited), plain_likeness(text, nxt)))
     return sorted(out, key=str)
 
 
 def test_neighbours(spark):
     rows = [(i * 3 % 101, prose(i, i % 60) + "é" * (i % 5)) for i in range(101)] + [(500, None), (-4, ""), (None, "x y z"), (7, "twice"), (7, "twice")]
-    for some in (rows, rows[:1], rows[:2], [(None, "a"), (None, "b c")], [(1, "q r"), (None, None)]):
-        docs = spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "1 AS bucket", "2 AS tail").repartition(5)
-        got = sorted((tuple(r) for r in fp.beside_next(docs).collect()), key=str)
-        assert got == by_hand(some)
+    nameless = [(None if i % 2 else i, prose(i, 40)) for i in range(120)] + [(None, "the same")] * 90 + [(3, "again " * 9)] * 25
+    for some in (rows, rows[:1], rows[:2], [(None, "a"), (None, "b c")], [(1, "q r"), (None, None)], nameless, nameless[-25:]):
+        docs = spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "1 AS bucket", "2 AS head", "3 AS h").repartition(5)
+        for partition_bytes in (fp.PARTITION_BYTES, 500):
+            got = sorted((tuple(r) for r in fp.beside_next(docs, partition_bytes).collect()), key=str)
+            assert got == by_hand(some)
+    named = [(None if d is None else f"id-{d}é", t) for d, t in nameless]
+    got = fp.beside_next(spark.createDataFrame(named, "doc_id string, text string").repartition(3), 2000)
+    assert got.schema["doc_id"].dataType.simpleString() == "string"
+    assert sorted((tuple(r) for r in got.collect()), key=str) == by_hand(named)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert fp.beside_next(empty).count() == 0 and fp.fingerprints(empty).count() == 0
     docs = spark.createDataFrame(rows, "doc_id long, text string")
