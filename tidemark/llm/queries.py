@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_line_dedup": linededup.query,
         "op7_fingerprints": fingerprint.query,
         "op8_quality_rules": rules.query,
+        "rule_ablation": rules.ablation_query,
         "op9_pack": packing.query,
         "op10_mix_sources": mixing.query,
     }
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat": chat.SQL,
         "op6_line_dedup": linededup.SQL,
         "op8_quality_rules": rules.SQL,
+        "rule_ablation": rules.ABLATION_SQL,
         "op10_mix_sources": mixing.SQL,
     }

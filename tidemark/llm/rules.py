@@ -1,6 +1,6 @@
 """Operator 8, quality rules: a rule bitmask ledger, in DataFrame functions alone.
 
-`ledger` measures every document once and stores one bit for each failed rule beside the
+`ledger` measures every document once and has one bit for each failed rule beside the
 measurements.  Policies are versioned masks over those bits, so a new policy, or the question what
 a rule costs, never reads a text again: `apply_policy` and `ablation` are bitwise arithmetic on the
 ledger.  Nothing is shuffled but the ablation's few partial aggregates.
@@ -17,9 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .text import SPACES, words
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_upper", "n_letters"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_upper", "n_letters", "n_bullets", "n_ellipses"]
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,8 @@ RULES = (
     Rule(4, "exclamation", "10 * n_bangs > n_words"),
     Rule(5, "shouting", "100 * n_upper > 50 * n_letters"),
     Rule(6, "word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
+    Rule(7, "bullets", "100 * n_bullets > 90 * n_lines"),
+    Rule(8, "ellipses", "100 * n_ellipses > 30 * n_lines"),
 )
 
 
@@ -52,7 +55,8 @@ BASE_MASK = mask("few_words", "repeated_words")
 #: Policy versions: the bits that reject a document.
 POLICIES = {
     "v1": BASE_MASK,
-    "v2": mask(*(r.name for r in RULES)),
+    "v2": mask(*(r.name for r in RULES if r.bit <= 6)),
+    "v3": mask(*(r.name for r in RULES)),
 }
 
 
@@ -80,6 +84,8 @@ def measured(docs: DataFrame) -> DataFrame:
         _count(F.col("text"), "#*$%&|<>").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("lines", lambda x: F.substring(F.ltrim(x, F.lit(SPACES)), 1, 1).isin("-", "*", "\u2022"))).cast("long").alias("n_bullets"),
+        F.size(F.filter("lines", lambda x: F.rtrim(x, F.lit(SPACES)).endswith("...") | F.rtrim(x, F.lit(SPACES)).endswith("\u2026"))).cast("long").alias("n_ellipses"),
         _count(F.col("text"), "!").cast("long").alias("n_bangs"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
@@ -102,12 +108,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs).withColumn("failed", failed.cast("long"))
 
 
-def apply_policy(entries: DataFrame, policy: str = "v2") -> DataFrame:
+def apply_policy(entries: DataFrame, policy: str = "v3") -> DataFrame:
     """The ledger with `kept`: no bit of the policy's mask is set."""
     return entries.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
-def ablation(entries: DataFrame, policy: str = "v2") -> DataFrame:
+def ablation(entries: DataFrame, policy: str = "v3") -> DataFrame:
     """Per rule of a policy: documents failing it, failing it alone (what dropping the rule would bring back), and rejected at all.
 
     One pass and one bitwise aggregation; a row for each rule, whatever the number of documents.
@@ -123,15 +129,25 @@ def ablation(entries: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op8: the ledger of all documents under the newest policy."""
-    entries = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "v2")
+    """op8: the ledger of all documents, stored, under the newest policy."""
+    entries = apply_policy(stored(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rule-ledger"))
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("failed").bitwiseAND(F.lit(BASE_MASK)) != 0).alias("base_failed"), "kept", "failed",
     )
 
 
-SQL = r"""
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, over the stored ledger of all documents, which is read once for each policy."""
+    entries = stored(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rule-ledger")
+    out = None
+    for policy in POLICIES:
+        one = ablation(entries, policy).select(F.lit(policy).alias("policy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS k FROM documents),
 w AS (
   SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -152,7 +168,9 @@ m AS (
          len(lines)::BIGINT AS n_lines,
          length(regexp_replace(text, '[^!]+', '', 'g')) AS n_bangs,
          length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_upper,
-         length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters
+         length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) AS n_bullets,
+         len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|\x{2026})[\x20\x09-\x0D]*$'))) AS n_ellipses
   FROM w LEFT JOIN rep USING (k)),
 f AS (
   SELECT *, ((CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
@@ -161,9 +179,23 @@ f AS (
     + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN 10 * n_bangs > n_words THEN 16 ELSE 0 END)
     + (CASE WHEN 100 * n_upper > 50 * n_letters THEN 32 ELSE 0 END)
-    + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64 ELSE 0 END))::BIGINT AS failed
+    + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64 ELSE 0 END)
+    + (CASE WHEN 100 * n_bullets > 90 * n_lines THEN 128 ELSE 0 END)
+    + (CASE WHEN 100 * n_ellipses > 30 * n_lines THEN 256 ELSE 0 END))::BIGINT AS failed
   FROM m)
+"""
+SQL = LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed
 FROM f
 """
+ABLATION_SQL = LEDGER_SQL + """,
+p(policy, mask) AS (VALUES ('v1', 3), ('v2', 127), ('v3', 511)),
+r(bit, rule) AS (VALUES (0, 'few_words'), (1, 'repeated_words'), (2, 'symbols'), (3, 'duplicate_lines'), (4, 'exclamation'), (5, 'shouting'),
+  (6, 'word_length'), (7, 'bullets'), (8, 'ellipses'))
+SELECT policy, bit::INT AS bit, rule,
+       (count(*) FILTER (WHERE (failed & (1 << bit)) <> 0))::BIGINT AS n_failed,
+       (count(*) FILTER (WHERE (failed & mask) = (1 << bit)))::BIGINT AS n_sole,
+       (count(*) FILTER (WHERE (failed & mask) <> 0))::BIGINT AS rejected, count(*)::BIGINT AS n_docs
+FROM f, p, r WHERE (mask & (1 << bit)) <> 0 GROUP BY policy, bit, rule
+"""
