@@ -1,13 +1,13 @@
 """Operator 6, line dedup: two Bloom filters, then an exact look at the suspected repeats alone.
 
-A first scan inserts every line key's hash into two filters, once-seen and twice-seen; tasks merge by
-chunk with (o1, t1) + (o2, t2) = (o1 | o2, t1 | t2 | (o1 & o2)), which has no false negatives for
-keys held by two or more documents.  A second scan sends on only the keys that the twice-seen filter
-holds, as (128-bit digest, doc_id); these are counted exactly and the largest doc_id chosen.  A last
-scan drops the lines.  Whole texts move once, for that last step.
-
-The filters have BITS_PER_LINE bits a line up to max_bits, so that what each task holds and is sent
-has a fixed bound; beyond it more lines are suspected and the exact step does more, with the same result.
+A first scan deals every line key's hash to a range of hashes.  A range has a once-seen filter, which
+stays in its task: a hash that it holds already, or that a task has found in two documents, is suspected.
+The suspected hashes, and no others, make the twice-seen filter, which tasks are sent: BITS_PER_LINE bits
+for each of them up to max_bits.  So it grows with the repeated lines and not with all; beyond the bound
+more lines are suspected and the exact step does more, with the same result.  No key of two documents or
+more is missed.  A second scan sends on only the keys that the twice-seen filter holds, as (128-bit
+digest, doc_id); these are counted exactly and the largest doc_id chosen.  A last scan drops the lines.
+Whole texts move once, for that last step.
 
 Defined results: a null or empty text is one empty line; a document is a doc_id, so rows that repeat
 one count once and are treated alike; a null doc_id is a document of its own, smaller than any other;
@@ -17,6 +17,7 @@ an empty table gives no rows; columns named like the results are replaced, other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import aside, few, stored
+from ..session import aside, few, scratch, stored
 
-BITS_PER_LINE, MAX_BITS, PROBES, CHUNK_BITS = 8, 1 << 30, 4, 1 << 19
+BITS_PER_LINE, MAX_BITS, PROBES = 8, 1 << 30, 4
+#: Lines of a range of hashes, ranges at most, and hashes that a task gathers before it deals them.
+RANGE_LINES, MOST_RANGES, GATHERED = 1 << 18, 4096, 1 << 18
 
 
 def line_keys(text: str | None, least: int = 20) -> list[bytes]:
@@ -40,26 +43,32 @@ def line_keys(text: str | None, least: int = 20) -> list[bytes]:
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions for each hash, by double hashing; bits is a power of two."""
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    """PROBES bit positions for each hash, by double hashing of its lower bits; bits is a power of two."""
+    step = (hashes >> np.uint64(20)) | np.uint64(1)
     return ((hashes[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _by_chunk(found: np.ndarray, chunks: np.ndarray) -> list[bytes]:
-    """Sorted positions as uint32 offsets, one value for each chunk."""
-    cut = np.searchsorted(found, np.append(chunks * CHUNK_BITS, (chunks[-1] + 1) * CHUNK_BITS if len(chunks) else 0))
-    upper = np.searchsorted(found, (chunks + 1) * CHUNK_BITS)
-    return [(found[a:b] - c * CHUNK_BITS).astype("<u4").tobytes() for a, b, c in zip(cut, upper, chunks, strict=False)]
+def ranges_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The range of each hash by its upper bits; n is a power of two."""
+    return (hashes >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64) if n > 1 else np.zeros(len(hashes), np.int64)
+
 
+def power_of_two(least: int) -> int:
+    return 1 << max(least - 1, 0).bit_length()
 
-def _local_filters(bits: int, least: int):
-    """A task's two filters, as set positions by chunk; given out before they hold too much."""
+
+def _dealt(n_ranges: int, least: int):
+    """A task's hashes by range: those found once in it, and those of two of its documents or more."""
 
     def given(hashes: list[bytes]) -> pa.RecordBatch:
         h, n = np.unique(np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64), return_counts=True)
-        once, twice = np.unique(positions(h, bits)), np.unique(positions(h[n > 1], bits))
-        chunks = np.unique(once // CHUNK_BITS)
-        return pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int32)), pa.array(_by_chunk(once, chunks), pa.binary()), pa.array(_by_chunk(twice, chunks), pa.binary())], names=["chunk", "once", "twice"])
+        at = ranges_of(h, n_ranges)
+        found, starts = np.unique(at, return_index=True)
+        once, twice = [], []
+        for a, b in zip(starts, [*starts[1:], len(h)], strict=True):
+            once.append(h[a:b].tobytes())
+            twice.append(h[a:b][n[a:b] > 1].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["range", "once", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[bytes] = []
@@ -69,7 +78,7 @@ def _local_filters(bits: int, least: int):
                 keys = set(line_keys(text.as_py(), least))
                 keys.discard(b"")
                 hashes.extend(map(digest, keys))
-                if len(hashes) > 1 << 20:
+                if len(hashes) > GATHERED:
                     yield given(hashes)
                     hashes = []
         if hashes:
@@ -78,50 +87,88 @@ def _local_filters(bits: int, least: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk to one row per chunk: the bits of its twice-seen filter."""
-    chunk, once, twice = None, None, None
+def _suspected(bits: int):
+    """Rows sorted by range to a row per range: the hashes that its once-seen filter met again."""
 
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["chunk", "bits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, again = None, None, []
 
-    for batch in batches:
-        for c, o, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            if c != chunk:
-                if chunk is not None and twice.any():
-                    yield row()
-                chunk, once, twice = c, np.zeros(CHUNK_BITS, bool), np.zeros(CHUNK_BITS, bool)
-            at = np.frombuffer(o.as_buffer(), "<u4")
-            twice[at[once[at]]] = True
-            once[at] = True
-            twice[np.frombuffer(t.as_buffer(), "<u4")] = True
-    if chunk is not None and twice.any():
-        yield row()
+        def row():
+            h = np.unique(np.concatenate(again))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([h.tobytes()], pa.binary())], names=["range", "n", "hashes"])
 
+        for batch in batches:
+            for r, once, twice in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if r != now:
+                    if again:
+                        yield row()
+                    now, seen, again = r, np.zeros(bits, bool), []
+                h = np.frombuffer(once.as_buffer(), np.uint64)
+                at = positions(h, bits)
+                met = h[seen[at].all(axis=1)]
+                seen[at] = True
+                own = np.frombuffer(twice.as_buffer(), np.uint64)
+                if len(met) or len(own):
+                    again.append(np.union1d(met, own))
+                    if len(again) > 64:
+                        again = [np.unique(np.concatenate(again))]
+        if again:
+            yield row()
+
+    return run
 
-def filter_bits(n_lines: int, max_bits: int = MAX_BITS) -> int:
-    return min(max_bits, max(CHUNK_BITS, 1 << (BITS_PER_LINE * max(n_lines, 1) - 1).bit_length()))
+
+def _packed(bits: int):
+    """A range's suspected hashes to its part of the twice-seen filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for hashes in batch.column("hashes"):
+                part = np.zeros(bits, bool)
+                part[positions(np.frombuffer(hashes.as_buffer(), np.uint64), bits)] = True
+                out.append(np.packbits(part).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("range"), pa.array(out, pa.binary())], names=["range", "bits"])
+
+    return run
 
 
-def twice_filter(docs: DataFrame, least: int = 20, max_bits: int = MAX_BITS) -> np.ndarray:
-    """The twice-seen filter over all lines of docs, packed; at most max_bits / 8 bytes."""
+@dataclass
+class Filter:
+    """The twice-seen filter: a row of packed bits for each range of hashes."""
+
+    packed: np.ndarray
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        n, size = self.packed.shape
+        at, row = positions(hashes, size * 8), ranges_of(hashes, n)[:, None]
+        return ((self.packed[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
+def twice_filter(docs: DataFrame, least: int = 20, max_bits: int = MAX_BITS, range_lines: int = RANGE_LINES) -> Filter:
+    """The twice-seen filter over all lines of docs; at most max_bits / 8 bytes, or one byte for each range."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
-    bits = filter_bits(n_lines, max_bits)
-    local = docs.select("text").mapInArrow(_local_filters(bits, least), "chunk int, once binary, twice binary")
-    merged = local.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge, "chunk int, bits binary")
-    packed = np.zeros(bits // 8, np.uint8)
-    for r in merged.toLocalIterator():
-        packed[r.chunk * CHUNK_BITS // 8 : (r.chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-    return packed
+    n_ranges = min(MOST_RANGES, power_of_two(-(-n_lines // range_lines)))
+    # A range's lines are about n_lines / n_ranges; its filter stays in the task that reads the range.
+    own_bits = power_of_two(max(1024, BITS_PER_LINE * n_lines // n_ranges))
+    with scratch():
+        dealt = docs.select("text").mapInArrow(_dealt(n_ranges, least), "range int, once binary, twice binary")
+        ordered = dealt.repartitionById(n_ranges, F.col("range")).sortWithinPartitions("range")
+        suspected = stored(ordered.mapInArrow(_suspected(own_bits), "range int, n long, hashes binary"), "line-hashes")
+        most = suspected.agg(F.max("n")).first()[0] or 0
+        bits = max(8, min(max_bits // n_ranges, power_of_two(BITS_PER_LINE * most)))
+        packed = np.zeros((n_ranges, bits // 8), np.uint8)
+        for r in suspected.mapInArrow(_packed(bits), "range int, bits binary").toLocalIterator():
+            packed[r.range] = np.frombuffer(r.bits, np.uint8)
+    return Filter(packed)
 
 
 def _suspects(shared, least: int):
     """(doc_id, digest) of each key that the twice-seen filter holds, once per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = shared.value
-        bits = len(packed) * 8
+        twice = shared.value
         for batch in batches:
             keys: list[bytes] = []
             row: list[int] = []
@@ -132,9 +179,7 @@ def _suspects(shared, least: int):
                 row.extend([i] * len(own))
             if not keys:
                 continue
-            at = positions(np.frombuffer(b"".join(map(xxhash.xxh64_digest, keys)), dtype=">u8").astype(np.uint64), bits)
-            hit = ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-            found = np.flatnonzero(hit)
+            found = np.flatnonzero(twice.holds(np.frombuffer(b"".join(map(xxhash.xxh64_digest, keys)), dtype=">u8").astype(np.uint64)))
             digests = pa.array([xxhash.xxh3_128_digest(keys[i]) for i in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.asarray(row, dtype=np.int64)[found])), digests], names=["doc_id", "digest"])
 
@@ -171,15 +216,21 @@ def dedup_lines(docs: DataFrame, least: int = 20, in_docs: int = 3, max_bits: in
     largest doc_id alone.
     """
     docs, back = aside(docs.drop("n_lines", "n_dropped"), ("_id", "_gone"))
+    with scratch() as s:
+        gone = s.keep(stored(lost_lines(docs, least, in_docs, max_bits), "line-gone"))
+    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_gone")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
+    return joined.mapInArrow(_drop(least), schema).withColumnsRenamed(back)
+
+
+def lost_lines(docs: DataFrame, least: int, in_docs: int, max_bits: int) -> DataFrame:
+    """(_id, _gone): the digests of the keys that a document loses."""
     shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, least, max_bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     suspects = stored(docs.select("doc_id", "text").mapInArrow(_suspects(shared, least), f"doc_id {kind}, digest binary").distinct(), "line-suspects")
     confirmed = suspects.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= in_docs).select("digest", "keeper")
     losers = suspects.join(few(stored(confirmed, "line-confirmed"), 200_000), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    gone = stored(losers.groupBy("doc_id").agg(F.collect_set("digest").alias("_gone")).withColumnRenamed("doc_id", "_id"), "line-gone")
-    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
-    return joined.mapInArrow(_drop(least), schema).withColumnsRenamed(back)
+    return losers.groupBy("doc_id").agg(F.collect_set("digest").alias("_gone")).withColumnRenamed("doc_id", "_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
