@@ -47,11 +47,13 @@ def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", lm.held_out(lm.F.col("doc_id")).alias("held_out"))
     counts = lm.token_counts(docs)
     words = lm.lexicon(counts)
-    model = lm.train(docs, words)
+    model = lm.train(lm.coded(docs, words), words)
     log_z = model.normalisers()
-    first, second = model.e @ model.d1, model.e @ model.d2
-    for a, b in ((3, 5), (lm.BEGIN, lm.BEGIN), (200, 17)):
-        p = np.exp((first[a] + second[b]) @ model.r.T + model.b - log_z[a * lm.CONTEXTS + b])
+    first, second = model.halves()
+    begin = words.contexts()[-1]
+    assert log_z.shape == (begin + 1, begin + 1)
+    for a, b in ((3, 5), (begin, begin), (200, 17)):
+        p = np.exp((first[a] + second[b]) @ model.r.T + model.b - log_z[a, b])
         assert abs(p.sum() - 1) < 1e-4
     known = {r.token: r.c for r in counts.collect() if r.c > 0}
     vocabulary = {t.decode() for t in words.tokens[: words.n_units]}
@@ -63,6 +65,38 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(per_class + 1 / (words.class_sum + words.class_types + 1), 1)
 
 
+def test_partitions_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 1 << 12)
+    monkeypatch.setattr(lm, "CONTEXT_COUNT", 50)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(3))
+    a, b = ({(r.doc_id, r.n_tokens): r.score for r in lm.score(docs.repartition(n)).collect()} for n in (2, 13))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-4 * abs(a[k]) + 1e-6 for k in a)
+
+
+def test_scores_by_hand(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}e{x % 5}" for x in rng.integers(0, 200, rng.integers(0, 60)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", lm.held_out(lm.F.col("doc_id")).alias("held_out"))
+    words = lm.lexicon(lm.token_counts(docs))
+    model = lm.train(lm.coded(docs, words), words)
+    got = {r.doc_id: r.score for r in lm.score(docs.drop("held_out")).collect()}
+    train = Counter(t for d, x in rows if zlib.crc32(str(d).encode()) % 7 != 2 for t in tokens(x))
+    unit = {t.decode(): i for i, t in enumerate(words.tokens[: words.n_units])}
+    context = words.contexts()
+    for d, x in rows:
+        codes, total = [context[-1]] * 2, 0.0
+        for t in tokens(x):
+            k = lm.tail_class(t.encode())
+            u = unit.get(t, words.n_units + k)
+            logits = (model.e[codes[-1]] @ model.d1 + model.e[codes[-2]] @ model.d2) @ model.r.T + model.b
+            total += (logits[u] - np.log(np.exp(logits.astype(float)).sum())) / math.log(10)
+            if u >= words.n_units:
+                total += math.log10((train[t] + 1) / (words.class_sum[k] + words.class_types[k] + 1))
+            codes.append(context[u])
+        assert abs(got[d] - total) < 1e-3 * (1 + abs(total))
+
+
 def test_odd_tables(spark):
     rows = [(1, None), (2, ""), (None, "a B c"), (4, "x " * 60000), (4, "x " * 60000), (9, "\x1c\x85 é")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "true AS held_out", "1 AS row", "2 AS model")

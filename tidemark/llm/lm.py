@@ -1,16 +1,22 @@
 """Operator 2, language-model scoring: a log-bilinear model trained by noise-contrastive estimation.
 
-Counting: every task counts its tokens, Spark adds the counts; they are kept as a table.  Tokens above
-fixed shares of the corpus are collected (at most one over the share of them): VOCABULARY words are
-units of the model, HEAD words have their counts looked up within tasks.  All other tokens are in 256
-tail classes, by their ending; within a class a token has its add-one share of the class's count, so the
-model's probabilities sum to one over known tokens and one unknown of each class.
-
-Model: two previous tokens, each one of 256 context codes, predict q = E[a] D1 + E[b] D2; unit u scores
-q . R[u] + b[u].  Training is by NCE against the units' frequencies, with noise shared by a batch so that
-its scores are matrix products; every task trains a copy on all its training texts from one warm start,
-and copies are averaged, weighted by tokens.  Scoring: batched matrix products give the normaliser of each
-of the 65,536 contexts over all units once, after which a token costs one short product.
+Counting: every task counts its tokens, Spark adds the counts; they are kept as a table.  Of the tokens above
+1 / HEAD of the corpus, which are collected, those with UNIT_COUNT occurrences in training texts are units of
+the model, the MOST_UNITS most frequent at most; so the model grows with the corpus up to that bound.  All
+other tokens are in 256 tail classes, by their ending; within a class a token has its add-one share of the
+class's count, so the model's probabilities sum to one over known tokens and one unknown of each class.
+
+Model: two previous tokens, each one of the context codes (units of CONTEXT_COUNT occurrences have their own,
+MOST_CONTEXTS at most; others one of ENDINGS by their ending), predict q = E[a] D1 + E[b] D2; unit u scores
+q . R[u] + b[u].  As a score is a sum of a part of a and one of b, the normalisers of all contexts over all
+units are one matrix product of their exponentials.
+
+Training is by NCE against the units' frequencies, with noise shared by a batch so that its scores are matrix
+products.  Texts are dealt to trainers and rounds by a hash of their content and doc_id; the trainers' number
+grows with the root of the corpus and does not depend on its partitions.  In a round every trainer goes on
+from one model, in the order of the hashes; then each line of the parameters is averaged by how often the
+trainers have seen its unit or context.  So every training text is used once, and other partitions give the
+same model but for the order of additions.
 
 Counts of tail tokens reach the documents by a join on the token; none of them has over one millionth of
 the corpus, so no key is hot.
@@ -33,17 +39,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import few, scratch, stored
 from .text import py_lower_words
 
 #: The end of a text; no word holds a line break.
 END = b"\n"
-VOCABULARY, HEAD = 50_000, 1_000_000
-CLASSES, CONTEXTS, FREQUENT = 256, 256, 191
-BEGIN = CONTEXTS - 1
+HEAD, MOST_UNITS, UNIT_COUNT = 1_000_000, 32_768, 20
+CLASSES, ENDINGS, MOST_CONTEXTS, CONTEXT_COUNT = 256, 256, 2048, 500
 WIDTH, NOISE, BATCH, RATE, SEED = 24, 128, 4096, 0.04, 3
-#: Texts of the warm start, which only gives all copies one direction; whole texts up to this many bytes.
-WARM_TEXTS, WARM_BYTES = 800, 1 << 16
+#: Texts of the warm start, which only gives all trainers one direction; whole texts up to this many tokens.
+WARM_TEXTS, WARM_TOKENS = 800, 10_000
+#: Rounds of training; their trainers are as many as the root of the tokens over this.
+ROUNDS, TRAINER_TOKENS = 3, 1 << 18
+#: Lines of parameters in a row, weight of a line that a trainer has not seen, and tokens scored at once.
+LINES, UNSEEN, SCORED = 1024, 1e-3, 200_000
 #: Distinct tokens that a task counts before it hands them on.
 COUNTED = 400_000
 
@@ -90,21 +99,30 @@ def token_counts(docs: DataFrame) -> DataFrame:
 class Lexicon:
     """What tasks know of tokens: units of the vocabulary, counts of the head, and sums of the tail classes."""
 
-    tokens: list[bytes]  # of the head; the vocabulary first
+    tokens: list[bytes]  # of the head; the vocabulary first, by frequency
     counts: np.ndarray
     n_units: int  # of the vocabulary
     class_sum: np.ndarray  # training count of the class's tokens outside the vocabulary
     class_types: np.ndarray
     train_tokens: int
     train_types: int
+    all_tokens: int
 
     def unit_counts(self) -> np.ndarray:
         return np.concatenate([self.counts[: self.n_units], self.class_sum]).astype(np.float64)
 
+    def frequency(self) -> np.ndarray:
+        return (self.unit_counts() + 1) / (self.unit_counts() + 1).sum()
+
     def contexts(self) -> np.ndarray:
-        """The context code of each unit: frequent words have their own, others that of their ending."""
-        words = [i if i < FREQUENT and t != END else FREQUENT + tail_class(t) % (BEGIN - FREQUENT) for i, t in enumerate(self.tokens[: self.n_units])]
-        return np.array(words + [FREQUENT + c % (BEGIN - FREQUENT) for c in range(CLASSES)], np.int64)
+        """The context code of each unit: frequent words have their own, others that of their ending; the last code is the text's begin."""
+        own = min(int((self.counts[: self.n_units] >= CONTEXT_COUNT).sum()), MOST_CONTEXTS - ENDINGS - 1)
+        words = [i if i < own and t != END else own + tail_class(t) % ENDINGS for i, t in enumerate(self.tokens[: self.n_units])]
+        return np.array(words + [own + c % ENDINGS for c in range(CLASSES)] + [own + ENDINGS], np.int64)
+
+    def head_units(self) -> np.ndarray:
+        """The unit of each token of the head."""
+        return np.array([i if i < self.n_units else self.n_units + tail_class(t) for i, t in enumerate(self.tokens)], np.int64)
 
 
 class Numbered(dict):
@@ -124,10 +142,11 @@ class Numbered(dict):
 def lexicon(counts: DataFrame) -> Lexicon:
     n, n_all, types = counts.agg(F.sum("c"), F.sum("c_all"), F.count(F.when(F.col("c") > 0, 1))).first()
     n, n_all = n or 0, n_all or 0
-    head = counts.where((F.col("c_all") * HEAD >= n_all) | (F.col("token") == END.decode())).collect()
-    chosen = lambda r: r.c * VOCABULARY >= n and r.c > 0 or r.token == END.decode()
-    head.sort(key=lambda r: (not chosen(r), -r.c, r.token))
-    n_units = sum(map(chosen, head))
+    head = counts.where((F.col("c_all") * HEAD >= n_all) | (F.col("token") == END.decode())).collect()  # HEAD at most
+    head.sort(key=lambda r: (r.token != END.decode(), -r.c, r.token))
+    n_units = min(MOST_UNITS, sum(r.c >= UNIT_COUNT or r.token == END.decode() for r in head))
+    units = sorted(head[:n_units], key=lambda r: (-r.c, r.token))
+    head = units + head[n_units:]
     tokens = [r.token.encode() for r in head]
     ending = F.substring(F.col("token").cast("binary"), -3, 3)
     sums = counts.where("c > 0").groupBy((F.crc32(ending) % CLASSES).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
@@ -138,7 +157,48 @@ def lexicon(counts: DataFrame) -> Lexicon:
         if r.c:
             class_sum[tail_class(t)] -= r.c
             class_types[tail_class(t)] -= 1
-    return Lexicon(tokens, np.array([r.c for r in head], np.float64), n_units, class_sum, class_types, n, types)
+    return Lexicon(tokens, np.array([r.c for r in head], np.float64), n_units, class_sum, class_types, n, types, n_all)
+
+
+def _coded(shared):
+    """Per text: its units as uint16, what does not depend on the model, and its tokens outside the head with their numbers of occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        number, unit_of = Numbered(words.tokens), words.head_units()
+        head, known = np.log10(words.counts + 1), words.counts > 0
+        of_class = np.log10(words.class_sum + words.class_types + 1)
+        n_types = math.log10(words.train_tokens + words.train_types + 1)
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            out: list[tuple] = []
+            for text in batch.column("text"):
+                w = [*py_lower_words(text.as_py()), END]
+                k = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
+                in_head = k >= 0
+                u = np.where(in_head, unit_of[np.where(in_head, k, 0)], words.n_units - 1 - k)
+                found, tail = k[in_head], u >= words.n_units
+                base = float(head[found].sum()) - len(w) * n_types
+                fixed = float(head[k[in_head & tail]].sum()) - float(of_class[u[tail] - words.n_units].sum())
+                rest = Counter([w[i] for i in np.flatnonzero(~in_head).tolist()])
+                out.append((row, len(w), int(known[found].sum()), base, fixed, u.astype("<u2").tobytes(), [t.decode() for t in rest], list(rest.values())))
+                row += 1
+            if out:
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), CODED_KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], names=["doc_id", "held_out", *(f.split()[0] for f in CODED.split(", "))])
+
+    return run
+
+
+CODED = "row long, n_tokens long, n_known long, base double, fixed double, units binary, tokens array<string>, times array<int>"
+CODED_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+
+
+def coded(docs: DataFrame, words: Lexicon) -> DataFrame:
+    """docs (doc_id, text, held_out) with the columns of CODED in place of the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(_coded(shared), f"doc_id {kind}, held_out boolean, {CODED}")
 
 
 # ---------------------------------------------------------------- model
@@ -146,206 +206,230 @@ def lexicon(counts: DataFrame) -> Lexicon:
 
 @dataclass
 class Model:
-    e: np.ndarray  # CONTEXTS x WIDTH
+    e: np.ndarray  # contexts x WIDTH
     d1: np.ndarray
     d2: np.ndarray
     r: np.ndarray  # units x WIDTH
     b: np.ndarray
 
     @staticmethod
-    def start(frequency: np.ndarray) -> Model:
+    def start(frequency: np.ndarray, n_contexts: int) -> Model:
         """Scores are the units' log frequencies at first, normalised from the outset."""
         rng = np.random.default_rng(SEED)
         near = lambda *shape: (rng.normal(0, 0.1, shape)).astype(np.float32)
-        return Model(near(CONTEXTS, WIDTH), np.eye(WIDTH, dtype=np.float32) + near(WIDTH, WIDTH), np.eye(WIDTH, dtype=np.float32) + near(WIDTH, WIDTH), near(len(frequency), WIDTH), np.log(frequency).astype(np.float32))
+        return Model(near(n_contexts, WIDTH), np.eye(WIDTH, dtype=np.float32) + near(WIDTH, WIDTH), np.eye(WIDTH, dtype=np.float32) + near(WIDTH, WIDTH), near(len(frequency), WIDTH), np.log(frequency).astype(np.float32))
+
+    @staticmethod
+    def filled(like: Model, value: float) -> Model:
+        return Model(*(np.full_like(p, value) for p in like.parts()))
 
     def parts(self) -> list[np.ndarray]:
         return [self.e, self.d1, self.d2, self.r, self.b]
 
-    def copy(self) -> Model:
-        return Model(*(p.copy() for p in self.parts()))
-
     def lines(self) -> np.ndarray:
-        """All parameters as lines of WIDTH + 1 numbers, which Spark can average."""
-        return np.vstack([np.pad(np.vstack([self.e, self.d1, self.d2]), ((0, 0), (0, 1))), np.hstack([self.r, self.b[:, None]])]).astype(np.float64)
+        """All parameters as lines of WIDTH + 1 numbers."""
+        return np.vstack([np.pad(np.vstack([self.e, self.d1, self.d2]), ((0, 0), (0, 1))), np.hstack([self.r, self.b[:, None]])])
 
     @staticmethod
-    def of_lines(lines: np.ndarray) -> Model:
-        lines = lines.astype(np.float32)
-        k, w = CONTEXTS, WIDTH
+    def of_lines(lines: np.ndarray, n_contexts: int) -> Model:
+        k, w = n_contexts, WIDTH
         return Model(lines[:k, :w].copy(), lines[k : k + w, :w].copy(), lines[k + w : k + 2 * w, :w].copy(), lines[k + 2 * w :, :w].copy(), lines[k + 2 * w :, w].copy())
 
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.e @ self.d1, self.e @ self.d2
+
     def normalisers(self) -> np.ndarray:
-        """log of the sum over units of exp(score), for each context a * CONTEXTS + b: one matrix product per a."""
-        first, second = self.e @ self.d1, self.e @ self.d2
-        out = np.empty(CONTEXTS * CONTEXTS)
-        for a in range(CONTEXTS):
-            s = (first[a] + second) @ self.r.T + self.b
-            top = s.max(axis=1)
-            out[a * CONTEXTS : (a + 1) * CONTEXTS] = top + np.log(np.exp(s - top[:, None]).sum(axis=1, dtype=np.float64))
-        return out
+        """[a, b]: log of the sum over units of exp(score) in that context; the sum of products is one matrix product."""
+        first, second = self.halves()
+        blocks = [(first @ self.r[i : i + 4096].T, second @ self.r[i : i + 4096].T + self.b[i : i + 4096]) for i in range(0, len(self.r), 4096)]
+        top1, top2 = (np.max([x[j].max(axis=1) for x in blocks], axis=0) for j in (0, 1))
+        z = np.zeros((len(first), len(first)))
+        for x, y in blocks:
+            z += np.exp(x - top1[:, None]) @ np.exp(y - top2[:, None]).T
+        return (np.log(z) + top1[:, None] + top2).astype(np.float32)
 
 
 def by_sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of values added up by index."""
-    out = np.empty((values.shape[1], n), np.float32)
-    for j, column in enumerate(np.ascontiguousarray(values.T)):
-        out[j] = np.bincount(index, column, n)
-    return out.T
+    out = np.zeros((n, values.shape[1]), np.float32)
+    order = np.argsort(index, kind="stable")
+    found = index[order]
+    starts = np.flatnonzero(np.diff(found, prepend=-1))
+    out[found[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+        x += 1
+        return np.reciprocal(x, out=x)
 
 
 class Trainer:
     """Noise-contrastive estimation in batches, steps scaled by each parameter's past gradients."""
 
-    def __init__(self, model: Model, frequency: np.ndarray, seed: int, past: list[np.ndarray] | None = None):
-        self.m, self.rng = model, np.random.default_rng(seed)
-        self.past = past or [np.full_like(p, 1e-8) for p in model.parts()]
+    def __init__(self, model: Model, past: Model, frequency: np.ndarray, context: np.ndarray, seed: int):
+        self.m, self.past, self.context, self.rng = model, past, context, np.random.default_rng(seed)
         self.cdf, self.log_noise = np.cumsum(frequency), np.log(NOISE * frequency).astype(np.float32)
+        self.units, self.contexts, self.held, self.size = np.zeros(len(frequency)), np.zeros(len(model.e)), [], 0
 
     def step(self, a: np.ndarray, b: np.ndarray, u: np.ndarray) -> None:
-        m, n_units = self.m, len(self.m.b)
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]), n_units - 1)
-        first, second = m.e @ m.d1, m.e @ m.d2
-        q = first[a] + second[b]
-        real = np.einsum("ij,ij->i", q, m.r[u]) + m.b[u] - self.log_noise[u]
-        false = q @ m.r[noise].T + (m.b - self.log_noise)[noise]
-        g_real = 1 - sigmoid(real)  # upwards
-        g_false = sigmoid(false)
+        m, n = self.m, len(u)
+        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]), len(self.cdf) - 1)
+        first, second = m.halves()
+        q, ru, rn = first[a] + second[b], m.r[u], m.r[noise]
+        g_real = 1 - sigmoid(np.einsum("ij,ij->i", q, ru) + m.b[u] - self.log_noise[u])  # upwards
+        g_false = sigmoid(q @ rn.T + (m.b - self.log_noise)[noise])
         np.negative(g_false, out=g_false)
-        g_q = g_real[:, None] * m.r[u] + g_false @ m.r[noise]
-        g_r = by_sum(u, g_real[:, None] * q, n_units)
-        np.add.at(g_r, noise, g_false.T @ q)
-        g_b = np.bincount(u, g_real, n_units).astype(np.float32)
-        np.add.at(g_b, noise, g_false.sum(axis=0))
-        g1, g2 = by_sum(a, g_q, CONTEXTS), by_sum(b, g_q, CONTEXTS)
-        grads = [g1 @ m.d1.T + g2 @ m.d2.T, m.e.T @ g1, m.e.T @ g2, g_r, g_b]
-        for p, g, h in zip(m.parts(), grads, self.past, strict=True):
-            g /= len(u)
-            h += g * g
-            p += RATE * g / np.sqrt(h)
-
-
-def coded(words: list[bytes], number: Numbered, n_units: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers, units and the two context codes of a text's tokens, its end included."""
-    k = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    return k, *in_context(k, number, n_units, context, words)
-
-
-def in_context(k, number, n_units, context, words):
-    u = np.where(k < 0, n_units - 1 - k, k)
-    outside = np.flatnonzero(k >= n_units)  # of the head, not of the vocabulary
-    if len(outside):
-        u[outside] = [n_units + tail_class(words[i]) for i in outside.tolist()]
+        g_q = g_real[:, None] * ru + g_false @ rn
+        g1, g2 = by_sum(a, g_q, len(m.e)), by_sum(b, g_q, len(m.e))
+        # Only the lines of units that the batch or its noise holds are touched.
+        touched, at = np.unique(np.concatenate([u, noise]), return_inverse=True)
+        g_u = by_sum(at, np.vstack([np.column_stack([g_real[:, None] * q, g_real]), np.column_stack([g_false.T @ q, g_false.sum(axis=0)])]), len(touched))
+        everything = slice(None)
+        grads = [(m.e, self.past.e, g1 @ m.d1.T + g2 @ m.d2.T, everything), (m.d1, self.past.d1, m.e.T @ g1, everything), (m.d2, self.past.d2, m.e.T @ g2, everything), (m.r, self.past.r, g_u[:, :-1], touched), (m.b, self.past.b, g_u[:, -1], touched)]
+        for p, h, g, rows in grads:
+            g = g / n
+            h[rows] += g * g
+            p[rows] += RATE * g / np.sqrt(h[rows])
+
+    def text(self, units: bytes) -> None:
+        u = np.frombuffer(units, "<u2").astype(np.int64)
+        self.held.append((*contexts_of(u, self.context), u))
+        self.size += len(u)
+        if self.size >= BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.size:
+            return
+        a, b, u = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        for at in range(0, len(u), BATCH):
+            self.step(a[at : at + BATCH], b[at : at + BATCH], u[at : at + BATCH])
+        self.units += np.bincount(u, minlength=len(self.units))
+        self.contexts += np.bincount(a, minlength=len(self.contexts)) + np.bincount(b, minlength=len(self.contexts))
+        self.held, self.size = [], 0
+
+
+def contexts_of(u: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the token before each, and of the one before that; context ends with the code of the begin."""
     code = np.empty(len(u) + 2, np.int64)
-    code[:2] = BEGIN
+    code[:2] = context[-1]
     code[2:] = context[u]
-    return u, code[1:-1], code[:-2]
+    return code[1:-1], code[:-2]
 
 
-def _trained(shared):
-    """A copy of the model trained on this task's texts, as lines with the number of its tokens."""
+def _trained(shared, turn: int):
+    """A trainer's texts, in order, to its lines of parameters and past gradients with their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start, frequency, past = shared.value
-        number, n_units, context = Numbered(words.tokens[: words.n_units]), words.n_units, words.contexts()
-        trainer, total, held, size = None, 0, [], 0
-
-        def step():
-            nonlocal held, size, total
-            a, b, u = (np.concatenate(x) for x in zip(*held, strict=True))
-            for at in range(0, len(u), BATCH):
-                trainer.step(a[at : at + BATCH], b[at : at + BATCH], u[at : at + BATCH])
-            total += len(u)
-            held, size = [], 0
-
+        trainer = None
         for batch in batches:
-            trainer = trainer or Trainer(start.copy(), frequency, SEED + TaskContext.get().partitionId(), [p.copy() for p in past] if past else None)
-            for text in batch.column("text"):
-                _, u, a, b = coded([*py_lower_words(text.as_py()), END], number, n_units, context)
-                held.append((a, b, u))
-                size += len(u)
-                if size >= BATCH:
-                    step()
-        if held:
-            step()
-        if total:
-            lines = trainer.m.lines()
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, lines.size + 1, lines.shape[1], dtype=np.int32)), pa.array(lines.reshape(-1) * total))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lines), dtype=np.int32)), flat, pa.array(np.full(len(lines), float(total)))], names=["i", "line", "n"])
+            for k, units in zip(batch.column("trainer").to_pylist(), batch.column("units").to_pylist(), strict=True):
+                if trainer is None:
+                    start, past, frequency, context = shared.value
+                    copy = lambda m: Model(*(p.copy() for p in m.parts()))
+                    trainer = Trainer(copy(start), copy(past), frequency, context, SEED + k * ROUNDS + turn + 1)
+                trainer.text(units)
+        if trainer is None:
+            return
+        trainer.flush()
+        lines = np.hstack([trainer.m.lines(), trainer.past.lines()]).astype("<f4")
+        weight = np.concatenate([trainer.contexts, np.full(2 * WIDTH, trainer.units.sum()), trainer.units]) + UNSEEN
+        at = range(0, len(lines), LINES)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i // LINES for i in at], pa.int32()), pa.array([weight[i : i + LINES].tobytes() for i in at], pa.binary()), pa.array([lines[i : i + LINES].tobytes() for i in at], pa.binary())],
+            names=["block", "weight", "lines"],
+        )
 
     return run
 
 
-def train(docs: DataFrame, words: Lexicon) -> Model:
-    """The average of all tasks' copies, trained on all texts of docs that are not held out."""
-    frequency = (words.unit_counts() + 1) / (words.unit_counts() + 1).sum()
-    model, past = Model.start(frequency), None
-    texts = docs.where("not held_out")
-    some = texts.where(F.octet_length("text") <= WARM_BYTES).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(WARM_TEXTS).collect()
-    some = texts.where(F.col("doc_id").isin([r.doc_id for r in some])).select("text").limit(2 * WARM_TEXTS).collect() if some else []
-    if some:
-        number, context, trainer = Numbered(words.tokens[: words.n_units]), words.contexts(), Trainer(model, frequency, SEED)
-        found = [coded([*py_lower_words(r.text), END], number, words.n_units, context)[1:] for r in some]
-        u, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        for at in range(0, len(u), BATCH):
-            trainer.step(a[at : at + BATCH], b[at : at + BATCH], u[at : at + BATCH])
-        past = trainer.past
-    shared = docs.sparkSession.sparkContext.broadcast((words, model, frequency, past))
-    copies = texts.select("text").mapInArrow(_trained(shared), "i int, line array<double>, n double")
-    rows = copies.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("line")[j]).alias(f"v{j}") for j in range(WIDTH + 1)]).collect()
-    shared.unpersist()
-    if not rows:
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block after another to its average lines; one block is held at a time."""
+    now, total, sums = None, None, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(sums / total[:, None]).astype("<f4").tobytes()], pa.binary())], names=["block", "lines"])
+
+    for batch in batches:
+        for block, weight, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            w = np.frombuffer(weight)
+            x = np.frombuffer(lines, "<f4").reshape(len(w), -1) * w[:, None]
+            if block != now:
+                if now is not None:
+                    yield row()
+                now, total, sums = block, np.zeros(len(w)), np.zeros(x.shape)
+            total, sums = total + w, sums + x
+    if now is not None:
+        yield row()
+
+
+def train(parts: DataFrame, words: Lexicon) -> Model:
+    """The model of all texts of parts (see coded) that are not held out."""
+    frequency, context = words.frequency(), words.contexts()
+    n_contexts = int(context[-1]) + 1
+    model = Model.start(frequency, n_contexts)
+    past = Model.filled(model, 1e-8)
+    texts = parts.where("not held_out").withColumn("key", F.xxhash64("doc_id", "units"))
+    n = math.isqrt(max(1, words.train_tokens // TRAINER_TOKENS)) or 1
+    warm = texts.where(F.col("n_tokens") <= WARM_TOKENS).orderBy("key").select("units").limit(WARM_TEXTS).collect()
+    if not warm and not words.train_tokens:
         return model
-    lines = np.zeros((len(rows), WIDTH + 1))
-    for r in rows:
-        lines[r[0]] = np.array(r[2:]) / r[1]
-    return Model.of_lines(lines)
+    trainer = Trainer(model, past, frequency, context, SEED)
+    for r in warm:
+        trainer.text(r.units)
+    trainer.flush()
+    # Copies under one id have one key: where these are many, they are dealt by their row.
+    copies = texts.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1000) & (F.col("n") * 8 * n * ROUNDS > texts.count()))
+    copies = stored(copies.select(F.col("key").alias("_key")), "lm-copies")
+    if copies.limit(1).count():
+        texts = texts.join(few(copies), F.col("key") == F.col("_key"), "left").withColumn("key", F.when(F.col("_key").isNull(), F.col("key")).otherwise(F.xxhash64("row")))
+    dealt = texts.select("key", F.pmod("key", F.lit(n)).cast("int").alias("trainer"), F.pmod(F.shiftright("key", 20), F.lit(ROUNDS)).alias("turn"), "units")
+    for turn in range(ROUNDS):
+        shared = parts.sparkSession.sparkContext.broadcast((model, past, frequency, context))
+        ordered = dealt.where(F.col("turn") == turn).repartitionById(n, F.col("trainer")).sortWithinPartitions("trainer", "key")
+        lines = ordered.select("trainer", "units").mapInArrow(_trained(shared, turn), "block int, weight binary, lines binary")
+        rows = lines.repartition("block").sortWithinPartitions("block").mapInArrow(_averaged, "block int, lines binary").collect()  # the model's lines
+        shared.unpersist()
+        if rows:
+            found = np.concatenate([np.frombuffer(r.lines, "<f4") for r in sorted(rows, key=lambda r: r.block)]).reshape(-1, 2 * (WIDTH + 1))
+            model, past = (Model.of_lines(x, n_contexts) for x in np.hsplit(found, 2))
+    return model
 
 
 # ---------------------------------------------------------------- scores
 
 
 def _scored(shared):
-    """Per text: its sums over vocabulary and head tokens, and its other tokens with their numbers of occurrences."""
+    """Coded texts to their scores, many texts in one product."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, log_z = shared.value
-        number, n_units, context = Numbered(words.tokens), words.n_units, words.contexts()
-        first, second = model.e @ model.d1, model.e @ model.d2
-        n_types = words.train_tokens + words.train_types + 1
-        head = np.log10(words.counts + 1)
-        of_class = np.log10(words.class_sum + words.class_types + 1)
-        known = words.counts > 0
-        row = 0
+        model, log_z, context = shared.value
+        first, second = model.halves()
+
+        def scores(texts: list[np.ndarray]) -> np.ndarray:
+            a, b = (np.concatenate(x) for x in zip(*(contexts_of(u, context) for u in texts), strict=True))
+            u = np.concatenate(texts)
+            p = np.einsum("ij,ij->i", first[a] + second[b], model.r[u]) + model.b[u] - log_z[a, b]
+            return np.add.reduceat(p.astype(np.float64), np.cumsum([0, *map(len, texts[:-1])])) / math.log(10)
+
         for batch in batches:
-            out: list[tuple] = []
-            tokens, times = [], []
-            for text in batch.column("text"):
-                w = [*py_lower_words(text.as_py()), END]
-                k, u, a, b = coded(w, number, n_units, context)
-                logits = np.einsum("ij,ij->i", first[a] + second[b], model.r[u]) + model.b[u]
-                score = float((logits - log_z[a * CONTEXTS + b]).sum(dtype=np.float64)) / math.log(10)
-                tail = u >= n_units
-                score -= float(of_class[u[tail] - n_units].sum())
-                found = k[k >= 0]
-                base = float(head[found].sum()) - len(w) * math.log10(n_types)
-                score += float(head[k[(k >= 0) & tail]].sum())
-                rest = Counter([w[i] for i in np.flatnonzero(k < 0).tolist()])
-                tokens.append([t.decode() for t in rest])
-                times.append(list(rest.values()))
-                out.append(((TaskContext.get().partitionId() << 36) + row, len(w), int(known[found].sum()), base, score))
-                row += 1
-            columns = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(x) for x in zip(*out, strict=True)), pa.array(tokens, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "model", "tokens", "times"])
+            found, held, size = [], [], 0
+            for units in batch.column("units"):
+                u = np.frombuffer(units.as_buffer(), "<u2").astype(np.int64)
+                held.append(u)
+                size += len(u)
+                if size >= SCORED:
+                    found.append(scores(held))
+                    held, size = [], 0
+            if held:
+                found.append(scores(held))
+            if found:
+                rest = [n for n in batch.schema.names if n != "units"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(np.concatenate(found))], names=[*rest, "model"])
 
     return run
 
@@ -354,23 +438,26 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
     held = held_out(F.col("doc_id")) if held is None else held
     docs = docs.select("doc_id", "text", held.alias("held_out"))
-    counts = stored(token_counts(docs), "lm-counts")
-    words = lexicon(counts)
-    model = train(docs, words)
-    shared = docs.sparkSession.sparkContext.broadcast((words, model, model.normalisers()))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = stored(docs.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, model double, tokens array<string>, times array<int>"), "lm-parts")
-    pairs = parts.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("p")).select("row", F.col("p.tokens").alias("token"), F.col("p.times").alias("n"))
-    rare = counts.where((F.col("c") > 0) & (F.col("c_all") * HEAD < F.lit(max(1, counts.agg(F.sum("c_all")).first()[0] or 0)))).select("token", "c")
-    sums = pairs.join(rare, "token").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("rest"))
-    rest = F.coalesce("rest", F.lit(0.0))
-    return parts.drop("tokens", "times").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(words.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"),
-        (F.col("model") + rest).alias("score"),
-    )
+    with scratch() as s:
+        counts = stored(token_counts(docs), "lm-counts")
+        words = lexicon(counts)
+        parts = stored(coded(docs, words), "lm-parts")
+        model = train(parts, words)
+        shared = docs.sparkSession.sparkContext.broadcast((model, model.normalisers(), words.contexts()))
+        scored = parts.drop("tokens", "times").mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, fixed double, model double")
+        pairs = parts.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("p")).select("row", F.col("p.tokens").alias("token"), F.col("p.times").alias("n"))
+        rare = counts.where((F.col("c") > 0) & (F.col("c_all") * HEAD < F.lit(words.all_tokens))).select("token", "c")
+        sums = pairs.join(rare, "token").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("rest"))
+        rest = F.coalesce("rest", F.lit(0.0))
+        found = scored.join(sums, "row", "left").select(
+            "doc_id", "held_out", "n_tokens",
+            (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+            F.lit(words.train_tokens).cast("long").alias("train_tokens"),
+            (F.col("base") + rest).alias("base_score"),
+            (F.col("model") + F.col("fixed") + rest).alias("score"),
+        )
+        return s.keep(stored(found, "lm-scores"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
