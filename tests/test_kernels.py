@@ -36,10 +36,10 @@ def test_chunks():
     assert retrieval.split_text("") == [] and retrieval.split_text("tiny") == []
 
 
-def test_level_clusters(spark):
-    rows = [(1, p) for p in (100.0, 101.0, 100.5, 110.0, 111.0, 150.0)] + [(2, 5.0)]
-    got = sorted((r.code, round(r.level, 3), r.touches) for r in indicators.level_clusters(spark.createDataFrame(rows, "code long, px double")).collect())
-    assert got == [(1, 100.5, 3), (1, 110.5, 2), (1, 150.0, 1), (2, 5.0, 1)]
+def test_level_zones(spark):
+    rows = [(1, 100.0, "peak"), (1, 101.0, "peak"), (1, 100.5, "ma20"), (1, 110.0, "peak"), (1, 111.0, "trough"), (1, 150.0, "volume"), (2, 5.0, "range_low")]
+    got = sorted((r.code, round(r.level, 3), r.lo, r.hi, r.touches, r.strength) for r in indicators.level_zones(spark.createDataFrame(rows, "code long, px double, tag string")).collect())
+    assert got == [(1, 100.5, 100.0, 101.0, 3, 2), (1, 110.5, 110.0, 111.0, 2, 2), (1, 150.0, 150.0, 150.0, 1, 1), (2, 5.0, 5.0, 5.0, 1, 1)]
 
 
 def test_neutralize_is_the_regression_residual(spark):
@@ -152,3 +152,55 @@ def test_scratch_keeps_what_it_is_told_to(spark):
         assert not there(a) and there(b) and b.count() == 4
         c = outer.keep(stored(b, "scope-c"))
     assert not there(b) and there(c) and c.count() == 4
+
+
+def test_two_publishers_never_share_a_number(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = scratch_path(spark, "test-publishers")
+    spark.range(2).write.parquet(f"{root}/v-x")
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: Versions(spark, root)._append("v-x", None), range(12)))
+    assert sorted(numbers) == list(range(1, 13))
+    assert Versions(spark, root).current() == "v-x"
+
+
+def test_factor_cache(spark):
+    import datetime
+
+    from tidemark.sources.cache import FactorCache
+
+    day = lambda m, d: datetime.date(2024, m, d)
+    rows = [("a", day(1, 5), 1, 1.0, "s1"), ("a", day(1, 5), 2, float("nan"), "s1"), ("a", day(1, 6), 1, 2.0, "s0"), ("b", day(2, 1), 1, 3.0, "s0")]
+    schema = "factor string, d date, code long, value double, snapshot string"
+    c = FactorCache(spark, scratch_path(spark, "test-cache"))
+    assert c.read().count() == 0
+    c.put(spark.createDataFrame(rows, schema))
+    assert {(r.factor, r.code, r.value) for r in c.read().collect()} == {("a", 1, 1.0), ("a", 2, None), ("a", 1, 2.0), ("b", 1, 3.0)}
+    assert c.read(["a"], since="2024-01-06").count() == 1 and c.read(until="2024-01-31").count() == 3
+    valid = spark.createDataFrame([("s1",)], "snapshot string")
+    asked = []
+
+    def compute(days):
+        asked.extend((r.factor, r.d) for r in days.collect())
+        return days.selectExpr("factor", "d", "7L AS code", "9D AS value", "'s1' AS snapshot")
+
+    wanted = spark.createDataFrame([("a", day(1, 5)), ("a", day(1, 6)), ("a", day(3, 1))], "factor string, d date")
+    assert c.build(wanted, valid, compute) == 2 and sorted(asked) == [("a", day(1, 6)), ("a", day(3, 1))]
+    assert c.build(wanted, valid, compute) == 0
+    c.drop_orphans(valid)
+    assert sorted(((r.factor, r.d, r.code) for r in c.read().collect())) == [("a", day(1, 5), 1), ("a", day(1, 5), 2), ("a", day(1, 6), 7), ("a", day(3, 1), 7)]
+
+
+def test_portfolio_weights_by_hand(spark):
+    from tidemark.plans import tools
+
+    r = tools.nation_returns(spark, "/root/testdata/sf0.01").toPandas().pivot(index="ord", columns="name", values="r")
+    cov, mean = r.cov().to_numpy(), r.mean().to_numpy()
+    one, inverse = np.ones(len(mean)), np.linalg.pinv(cov)
+    tangent = np.clip(inverse @ (mean - 0.02 / 52), 0, None)
+    want = {"equal": one, "inverse_vol": 1 / np.sqrt(np.diag(cov)), "min_variance": inverse @ one, "max_sharpe": tangent if tangent.sum() > 0 else one}
+    got = tools.portfolio_weights(spark, "/root/testdata/sf0.01").toPandas()
+    for method, w in want.items():
+        mine = got[got.method == method].set_index("name").weight[r.columns].to_numpy()
+        assert np.allclose(mine, w / w.sum(), atol=2e-6) and abs(mine.sum() - 1) < 1e-4

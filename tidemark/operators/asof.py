@@ -1,14 +1,11 @@
-"""As-of and interval lookups as equi-joins on the key with a range condition, then one aggregate or rank.
-
-The range side is cut to what may match before joining; for long histories both sides are also keyed by a
-coarse period, so that a key's rows meet only those of neighbouring periods.
-"""
+"""As-of and interval lookups: both sides in one order per key, the last known row carried forward, so that no pairs are formed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import few
 
 def backward_asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, strict: bool = False) -> DataFrame:
     """left with `value` of the last right row of its key at or before (strict: before) its time; null if there is none.
@@ -26,12 +23,14 @@ def backward_asof(left: DataFrame, right: DataFrame, key: str, left_time: str, r
 
 
 def interval_lookup(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, label: str) -> DataFrame:
-    """points with `label` of the span [start, end] (end null: open) that holds their time; of several, the latest start, then the greatest label."""
-    s = spans.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias("_label"))
-    inside = (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col(at)) & (F.col("_e").isNull() | (F.col("_e") >= F.col(at)))
-    ids = points.columns
-    best = points.join(s, inside, "left").groupBy(*ids).agg(F.max(F.struct("_s", "_label")).alias("_b"))
-    return best.select(*ids, F.col("_b._label").alias(label))
+    """points with `label` of the span [start, end] (end null: open) that holds their time; null if there is none.
+
+    Spans of a key do not overlap, as runs() gives them; of several with one start the longest counts, then the greatest label.
+    """
+    s = spans.select(F.col(key), F.col(start), F.struct(F.col(end).isNull().alias("open"), F.col(end).alias("end"), F.col(label).alias("label")).alias("_span"))
+    found = backward_asof(points, s, key, at, start, "_span")
+    holds = F.col("asof__span.open") | (F.col("asof__span.end") >= F.col(at))
+    return found.select(*points.columns, F.when(holds, F.col("asof__span.label")).alias(label))
 
 
 def runs(df: DataFrame, key: str, order: list[str], label: str, day: str) -> DataFrame:
@@ -44,16 +43,16 @@ def runs(df: DataFrame, key: str, order: list[str], label: str, day: str) -> Dat
     return spans.select(key, label, "start_date", F.date_sub(after, 1).alias("end_date"))
 
 
-def bitemporal_latest(facts: DataFrame, as_of: DataFrame) -> DataFrame:
-    """The row visible for each (as_of, code, period): original statements (flag 0) by latest announcement, else restated ones by earliest.
+def bitemporal_latest(facts: DataFrame, as_of: DataFrame, keys: tuple[str, ...] = ("code", "period")) -> DataFrame:
+    """The row visible for each as_of and keys: original statements (flag 0) by latest announcement, else restated ones by earliest.
 
-    facts: code, period, ann_date, flag, value; as_of: one row per date asked, few.
+    facts: the keys, ann_date, flag, value; as_of: one row per date asked, few.
     """
-    seen = facts.where(F.col("value").isNotNull()).join(F.broadcast(as_of), F.col("ann_date") <= F.col("as_of"))
+    seen = facts.where(F.col("value").isNotNull()).join(few(as_of), F.col("ann_date") <= F.col("as_of"))
     original = F.max(F.when(F.col("flag") == 0, F.struct("ann_date", "value")))
     restated = F.min(F.when(F.col("flag") != 0, F.struct("ann_date", "value")))
     chosen = F.coalesce(original, restated)
-    return seen.groupBy("as_of", "code", "period").agg(chosen.alias("c")).select("as_of", "code", "period", F.col("c.ann_date").alias("ann_date"), F.col("c.value").alias("value"))
+    return seen.groupBy("as_of", *keys).agg(chosen.alias("c")).select("as_of", *keys, F.col("c.ann_date").alias("ann_date"), F.col("c.value").alias("value"))
 
 
 def ratio_to_previous(df: DataFrame, key: str, order: str, x: str):

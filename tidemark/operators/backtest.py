@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import few
+
 RUN = "run_id string, at long, n_held long, turnover double, cost double, gross double, net double, equity double"
 #: Value kept of a holding whose code stops being listed.
 DELIST_HAIRCUT = 0.5
@@ -84,7 +86,7 @@ def run(scores: DataFrame, configs: DataFrame) -> DataFrame:
     (0: scores as they are, else permuted within each date by a seeded hash, over all codes) and a range of dates, a row per run.
     """
     numbered = scores.withColumn("_i", F.row_number().over(Window.partitionBy("at").orderBy("code")))
-    j = numbered.join(F.broadcast(configs), F.col("at").between(F.col("from_at"), F.col("to_at")))
+    j = numbered.join(few(configs), F.col("at").between(F.col("from_at"), F.col("to_at")))
     by_hash = F.row_number().over(Window.partitionBy("run_id", "at").orderBy(F.xxhash64("seed", "at", "code"), "code"))
     mixed = j.where("seed <> 0").drop("score").withColumn("_i", by_hash).join(numbered.select("at", "_i", "score"), ["at", "_i"])
     columns = ["run_id", "at", "code", "sector", "score", "fwd", "can_buy", "can_sell", "n", "cap", "budget", "cost_rate"]

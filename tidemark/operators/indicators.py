@@ -66,27 +66,28 @@ def volume_profile(panel: DataFrame, buckets: int = 40, top: float = 0.2) -> Dat
     return v.withColumn("dense", rank <= int(buckets * top))
 
 
-def level_clusters(levels: DataFrame, tolerance: float = 0.015) -> DataFrame:
-    """Greedy clusters of sorted prices: a price joins while within tolerance of the cluster's running mean.
+def level_zones(levels: DataFrame, tolerance: float = 0.015) -> DataFrame:
+    """Zones of sorted prices: a price joins while within tolerance of the zone's running mean: code, level (the mean), lo, hi, touches, strength.
 
-    The order decides, so a code's extrema are gone through in a task; there is one for several bars at most.
+    levels: code, px, tag (the method that names it); strength counts a zone's distinct tags.  The order
+    decides, so a code's prices are gone through in a task; there are a few dozen.
     """
 
     def run(pdf):
         import pandas as pd
 
-        out, mean, n = [], 0.0, 0
-        for p in sorted(pdf.px):
-            if n and abs(p / mean - 1) <= tolerance:
-                mean, n = (mean * n + p) / (n + 1), n + 1
+        zones: list[tuple[list[float], set[str]]] = []
+        for p, tag in sorted(zip(pdf.px, pdf.tag, strict=True)):
+            held = zones[-1][0] if zones else []
+            if held and abs(p - sum(held) / len(held)) / max(p, 1e-9) <= tolerance:
+                held.append(p)
+                zones[-1][1].add(tag)
             else:
-                if n:
-                    out.append((mean, n))
-                mean, n = p, 1
-        out.append((mean, n))
-        return pd.DataFrame(out, columns=["level", "touches"]).assign(code=pdf.code.iloc[0])[["code", "level", "touches"]]
+                zones.append(([p], {tag}))
+        rows = [(pdf.code.iloc[0], sum(z) / len(z), z[0], z[-1], len(z), len(tags)) for z, tags in zones]
+        return pd.DataFrame(rows, columns=["code", "level", "lo", "hi", "touches", "strength"])
 
-    return levels.groupBy("code").applyInPandas(run, "code long, level double, touches long")
+    return levels.where(F.col("px").isNotNull()).select("code", "px", "tag").groupBy("code").applyInPandas(run, "code long, level double, lo double, hi double, touches long, strength long")
 
 
 def risk_metrics(panel: DataFrame, per_year: int = 52, confidence: float = 0.95) -> DataFrame:

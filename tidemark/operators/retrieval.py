@@ -68,6 +68,19 @@ def redacted(text: Column) -> Column:
     return text
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Of two arrays of doubles, in whole-number order of their places."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def reranked(found: DataFrame, score: Column, k: int, least: float) -> DataFrame:
+    """found (query_id, vec_id, ...) ordered by another score, which may cost more as it sees few pairs: the best k of each query that reach `least`."""
+    scored = found.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k vectors of greatest cosine for every query, itself apart.
 

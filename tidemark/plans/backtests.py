@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest as bt
 from ..operators import cross_section as xs
-from ..session import stored
-from .market import exposures
+from ..operators.panel import frame
+from ..session import few, stored
+from .market import ALL, exposures, process_sql, the_panel
 
 COLUMNS = "run_id string, n int, cap int, budget double, cost_rate double, seed long, from_at long, to_at long"
 
 
 def scored(spark, sf_dir: str) -> DataFrame:
-    """Month ends with a processed score; returns are held within -50 % and +50 %, as these prices jump."""
+    """Month ends with a processed score, and the return to the next."""
     e = xs.process(exposures(spark, sf_dir).where(F.col("reversal_20").isNotNull()), "reversal_20", "log_mv", "sector", ["d"])
     at = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("d")).cast("long")
     dates = e.select("d").distinct().select("d", at.alias("at"))  # a row per month
-    fwd = F.greatest(F.least(F.col("fwd"), F.lit(0.5)), F.lit(-0.5))
     blocked = F.pmod(F.xxhash64("code", "d"), F.lit(20))
-    s = e.join(F.broadcast(dates), "d").select("at", "code", "sector", F.col("reversal_20").alias("score"), fwd.alias("fwd"), (blocked != 0).alias("can_buy"), (blocked != 1).alias("can_sell"))
+    s = e.join(few(dates), "d").select("at", "code", "sector", F.col("reversal_20").alias("score"), "fwd", (blocked != 0).alias("can_buy"), (blocked != 1).alias("can_sell"))
     return stored(s, "bt-scores")
 
 
@@ -86,18 +86,36 @@ def gates(spark, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, float(round(v, 6)), bool(ok)) for k, v, ok in rows], "gate string, statistic double, passed boolean")
 
 
+#: Greatest move in a day, either way, that an order's band may span.
+LIMIT = 0.1
+
+
 def rebalance_plan(spark, sf_dir: str) -> DataFrame:
-    """Last date against the one before: action by code, and the price band of its order (half a mean move either way)."""
-    s = scored(spark, sf_dir)
-    top = xs.top_capped(s, "score", "sector", ["at"], 20, 8)
-    last = s.agg(F.max("at").alias("last"))
-    now = top.join(F.broadcast(last), F.col("at") == F.col("last")).select("code", F.lit(0.05).alias("target"))
-    old = top.join(F.broadcast(last), F.col("at") == F.col("last") - 1).select("code", F.lit(0.05).alias("held"))
-    move = s.groupBy("code").agg(F.avg(F.abs("fwd")).alias("range"))
-    j = now.join(old, "code", "full").join(move, "code", "left").fillna(0.0, ["target", "held"])
+    """The best 20 of the last month end against those of the one before: action by code, and the price band of its order.
+
+    The band is half the mean true range of 20 periods either way, within the day's limits.
+    """
+    e = xs.process(exposures(spark, sf_dir).where(F.col("reversal_20").isNotNull()), "reversal_20", "log_mv", "sector", ["d"])
+    top = xs.top_capped(e.withColumn("score", F.round("reversal_20", 9)), "score", "sector", ["d"], 20, 8)
+    ends = e.groupBy("d").agg(F.lit(1)).select("d", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("d").desc())).alias("back"))  # a row per month
+    top = top.join(few(ends), "d")
+    now = top.where("back = 1").select("code", F.lit(0.05).alias("target"))
+    old = top.where("back = 2").select("code", F.lit(0.05).alias("held"))
+    p = the_panel(spark, sf_dir).withColumn("atr", F.avg((F.col("high") - F.col("low")) / F.col("px")).over(frame(-19)))
+    quote = p.join(few(ends.where("back = 1")), "d").select("code", "px", F.least(0.5 * F.col("atr"), F.lit(LIMIT)).alias("half"))
+    j = now.join(old, "code", "full").fillna(0.0, ["target", "held"]).join(quote, "code", "left")
     action = F.when(F.col("held") == 0, "buy").when(F.col("target") == 0, "sell").otherwise("hold")
-    return j.select("code", action.alias("action"), "target", "held", F.round(1 - 0.5 * F.col("range"), 6).alias("low"), F.round(1 + 0.5 * F.col("range"), 6).alias("high"))
+    return j.select("code", action.alias("action"), "target", "held", F.round(F.col("px") * (1 - F.col("half")), 6).alias("low"), F.round(F.col("px") * (1 + F.col("half")), 6).alias("high"))
 
 
 QUERIES = {"backtest": backtest, "backtest_summary": backtest_summary, "robustness_gates": gates, "rebalance_plan": rebalance_plan}
-SQL: dict[str, str] = {}
+SQL = {
+    "rebalance_plan": f"""{ALL.replace('expo AS (', 'expo0 AS (')}, expo AS (SELECT * FROM expo0 WHERE reversal_20 IS NOT NULL), {process_sql('reversal_20')},
+        c AS (SELECT d, code, sector, round(v, 9) AS score, dense_rank() OVER (ORDER BY d DESC) AS back FROM std),
+        g AS (SELECT *, row_number() OVER (PARTITION BY d, sector ORDER BY score DESC, code) AS g FROM c),
+        t AS (SELECT code, back FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, code) AS rank FROM g WHERE g <= 8) WHERE rank <= 20 AND back <= 2),
+        j AS (SELECT code, max(CASE WHEN back = 1 THEN 0.05::DOUBLE ELSE 0 END) AS target, max(CASE WHEN back = 2 THEN 0.05::DOUBLE ELSE 0 END) AS held FROM t GROUP BY code),
+        q AS (SELECT code, px, least(0.5 * atr, 0.1::DOUBLE) AS half FROM (SELECT code, d, px, avg((high - low) / px) OVER (PARTITION BY code ORDER BY ord ROWS 19 PRECEDING) AS atr FROM panel) WHERE d = (SELECT max(d) FROM std))
+        SELECT code, CASE WHEN held = 0 THEN 'buy' WHEN target = 0 THEN 'sell' ELSE 'hold' END AS action, target, held, round(px * (1 - half), 6) AS low, round(px * (1 + half), 6) AS high
+        FROM j LEFT JOIN q USING (code)""",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cross_section as xs
 from ..operators import factors as fac
-from ..session import table
+from ..session import scratch_path, table
 from ..sources import cache
 from .market import ALL, FACTORS, MONTH, PANEL, RETURNS, exposures, month_ends, the_panel
 
@@ -53,6 +53,33 @@ def cache_missing(spark, sf_dir: str) -> DataFrame:
     return cache.days_missing(*cached(spark, sf_dir))
 
 
+def cache_build(spark, sf_dir: str) -> DataFrame:
+    """The cache written as tables, its missing days computed and added, rows of the snapshot no longer valid dropped; read back for one factor and all, by a window of dates."""
+    long, kept, valid = cached(spark, sf_dir)
+    c = cache.FactorCache(spark, scratch_path(spark, "factor-cache"))
+    c.put(kept)
+    c.build(long.where(F.year("d") < 2001), valid, lambda days: long.join(days, ["factor", "d"]).withColumn("snapshot", F.lit("s2")))
+    c.drop_orphans(valid)
+    both = c.read(["reversal_20"], "1996-03-01", "2000-06-30").unionByName(c.read(["max_ret_20"], since="1999-01-01"))
+    return both.withColumn("value", F.round("value", 6))
+
+
+def cache_range(spark, sf_dir: str) -> DataFrame:
+    """What each snapshot of the cache covers, valid or not: for looking around only."""
+    _, kept, _ = cached(spark, sf_dir)
+    return kept.groupBy("factor", "snapshot").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.countDistinct("d").alias("n_days"), F.count("*").alias("n"))
+
+
+def parameter_grid(spark, sf_dir: str) -> DataFrame:
+    """Every combination of three short lists of parameters with its hash: of the canonical JSON, keys in order, 12 digits."""
+    lists = [("cap", "int", (4, 8)), ("cost", "double", (0.0, 0.001, 0.002)), ("n", "int", (10, 20, 40))]
+    grid = None
+    for name, kind, values in lists:
+        one = spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+        grid = one if grid is None else grid.crossJoin(one)  # lists of parameters: a few rows each
+    return grid.withColumn("param_hash", F.substring(F.sha2(F.to_json(F.struct("cap", "cost", "n")), 256), 1, 12))
+
+
 def industry_attribution(spark, sf_dir: str) -> DataFrame:
     """The equal-weighted best 20 of each month end by sector: weight against the universe's, and contribution to the return."""
     e = exposures(spark, sf_dir).where(F.col("reversal_20").isNotNull()).withColumn("s", F.round("reversal_20", 9))
@@ -65,13 +92,26 @@ def industry_attribution(spark, sf_dir: str) -> DataFrame:
 
 
 def style_premium(spark, sf_dir: str) -> DataFrame:
-    """Slope of the next return on size at each month end, and its mean with a Newey-West t."""
+    """The next return regressed on standardised size z and on z^2 at each month end; the mean of each slope with a Newey-West t.
+
+    Two regressors and an intercept have a closed form in their moments: one aggregate per date, no task holds a date.
+    """
     e = exposures(spark, sf_dir).where(F.col("fwd").isNotNull() & F.col("log_mv").isNotNull())
-    slopes = e.groupBy("d").agg(F.count("*").alias("n"), F.regr_slope("fwd", "log_mv").alias("slope")).where("n >= 5")
-    return xs.newey_west(slopes, "slope", "d").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "ir", "t", "nw_t")])
+    day = Window.partitionBy("d")
+    sd = F.stddev_samp("log_mv").over(day)
+    e = e.withColumn("z", F.when(sd > 1e-12, (F.col("log_mv") - F.avg("log_mv").over(day)) / sd)).where(F.col("z").isNotNull()).withColumn("q", F.col("z") * F.col("z"))
+    m = e.groupBy("d").agg(F.count("*").alias("n"), F.var_samp("z").alias("zz"), F.var_samp("q").alias("qq"), F.covar_samp("z", "q").alias("zq"), F.covar_samp("z", "fwd").alias("zy"), F.covar_samp("q", "fwd").alias("qy")).where("n >= 5")
+    det = F.col("zz") * F.col("qq") - F.col("zq") * F.col("zq")
+    m = m.where(det > 1e-12)
+    slopes = m.select("d", ((F.col("qq") * F.col("zy") - F.col("zq") * F.col("qy")) / det).alias("z"), ((F.col("zz") * F.col("qy") - F.col("zq") * F.col("zy")) / det).alias("z2"))
+    out = None
+    for name in ("z", "z2"):
+        one = xs.newey_west(slopes, name, "d").select(F.lit(name).alias("term"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "ir", "t", "nw_t")])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-QUERIES = {"industry_attribution": industry_attribution, "style_premium": style_premium, "composite_score": composite, "announcements": announcements, "factor_cache_hits": cache_hits, "factor_cache_missing": cache_missing}
+QUERIES = {"industry_attribution": industry_attribution, "style_premium": style_premium, "composite_score": composite, "announcements": announcements, "factor_cache_hits": cache_hits, "factor_cache_missing": cache_missing, "factor_cache_build": cache_build, "factor_cache_range": cache_range, "parameter_grid": parameter_grid}
 
 _TERMS = " + ".join(f"coalesce(greatest(least(({x} - ({lo})::DOUBLE) / ({hi - lo})::DOUBLE * 100, 100), 0), 50) * {w}" for x, (lo, hi, w) in DIMENSIONS.items())
 CACHE = f"""WITH {PANEL}, {RETURNS}, {FACTORS}, l AS (SELECT code, d, unnest(['reversal_20', 'max_ret_20']) AS factor FROM fac WHERE d IN {MONTH}),
@@ -80,10 +120,15 @@ SQL = {
     "industry_attribution": f"""{ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY round(reversal_20, 9) DESC, code) <= 20 AS top FROM expo WHERE reversal_20 IS NOT NULL),
         w AS (SELECT *, CASE WHEN top THEN 1.0::DOUBLE ELSE 0 END / count(CASE WHEN top THEN 1 END) OVER (PARTITION BY d) AS w, 1.0::DOUBLE / count(*) OVER (PARTITION BY d) AS u FROM r)
         SELECT d, sector, round(sum(w), 6) AS weight, round(sum(w) - sum(u), 6) AS exposure, round(sum(w * coalesce(fwd, 0)), 6) AS contribution FROM w GROUP BY ALL""",
-    "style_premium": f"""{ALL}, s AS (SELECT row_number() OVER (ORDER BY d) AS i, v FROM (SELECT d, regr_slope(fwd, log_mv) AS v FROM expo WHERE fwd IS NOT NULL AND log_mv IS NOT NULL GROUP BY d HAVING count(*) >= 5)),
-        a AS (SELECT count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd, floor(4 * pow(greatest(count(*), 1) / 100.0, 2.0 / 9)) AS lags FROM s WHERE v IS NOT NULL),
-        g AS (SELECT sum((x.v - m) * (y.v - m) * CASE WHEN x.i = y.i THEN 1 ELSE 2 * (1 - (x.i - y.i) / (lags + 1)) END) AS total FROM s x JOIN s y ON x.i >= y.i CROSS JOIN a WHERE x.i - y.i <= lags)
-        SELECT n, round(m, 6) AS mean, round(m / sd, 6) AS ir, round(m * sqrt(n) / sd, 6) AS t, round(CASE WHEN total > 0 THEN m / sqrt(total / n / n) END, 6) AS nw_t FROM a, g""",
+    "style_premium": f"""{ALL}, e AS (SELECT d, fwd AS y, (log_mv - avg(log_mv) OVER w) / CASE WHEN stddev_samp(log_mv) OVER w > 1e-12 THEN stddev_samp(log_mv) OVER w END AS z
+          FROM expo WHERE fwd IS NOT NULL AND log_mv IS NOT NULL WINDOW w AS (PARTITION BY d)),
+        m AS (SELECT d, var_samp(z) AS zz, var_samp(z * z) AS qq, covar_samp(z, z * z) AS zq, covar_samp(z, y) AS zy, covar_samp(z * z, y) AS qy FROM e WHERE z IS NOT NULL GROUP BY d HAVING count(*) >= 5),
+        k AS (SELECT d, unnest(['z', 'z2']) AS term, unnest([(qq * zy - zq * qy) / (zz * qq - zq * zq), (zz * qy - zq * zy) / (zz * qq - zq * zq)]) AS v FROM m WHERE zz * qq - zq * zq > 1e-12),
+        s AS (SELECT term, v, row_number() OVER (PARTITION BY term ORDER BY d) AS i FROM k),
+        a AS (SELECT term, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd, floor(4 * pow(greatest(count(*), 1) / 100.0, 2.0 / 9)) AS lags FROM s GROUP BY term),
+        g AS (SELECT a.term, sum((x.v - m) * (y.v - m) * CASE WHEN x.i = y.i THEN 1 ELSE 2 * (1 - (x.i - y.i) / (lags + 1)) END) AS total
+              FROM s x JOIN s y ON x.i >= y.i AND x.term = y.term JOIN a ON a.term = x.term WHERE x.i - y.i <= lags GROUP BY a.term)
+        SELECT term, n, round(m, 6) AS mean, round(m / sd, 6) AS ir, round(m * sqrt(n) / sd, 6) AS t, round(CASE WHEN total > 0 THEN m / sqrt(total / n / n) END, 6) AS nw_t FROM a JOIN g USING (term)""",
     "composite_score": f"""WITH {PANEL}, {RETURNS}, {FACTORS}, s AS (SELECT code, d, ({_TERMS}) / 100 AS s FROM fac WHERE d IN {MONTH})
         SELECT code, d, round(s, 6) AS score, CASE WHEN s >= 60 THEN 'A' WHEN s >= 45 THEN 'B' ELSE 'C' END AS rating FROM s""",
     "announcements": """WITH g AS (SELECT l_suppkey, l_shipdate::DATE AS day, count(*) AS n, round(sum(l_extendedprice), 2) AS amount FROM lineitem WHERE l_shipdate > TIMESTAMP '1998-06-30' GROUP BY ALL)
@@ -94,4 +139,13 @@ SQL = {
           AND NOT EXISTS (SELECT 1 FROM u WHERE u.d = k.d AND u.code NOT IN (SELECT code FROM c x WHERE x.factor = k.factor AND x.d = k.d)) AS hit
         FROM (SELECT DISTINCT factor, d FROM c) k""",
     "factor_cache_missing": f"{CACHE} SELECT DISTINCT factor, d FROM l WHERE (factor, d) NOT IN (SELECT (factor, d) FROM c WHERE snapshot <> 'gone')",
+    "factor_cache_build": f"""{CACHE.replace("unnest(['reversal_20', 'max_ret_20']) AS factor", "unnest(['reversal_20', 'max_ret_20']) AS factor, unnest([reversal_20, max_ret_20]) AS value")},
+        done AS (SELECT DISTINCT factor, d FROM c WHERE snapshot <> 'gone'),
+        a AS (SELECT factor, d, code, value, snapshot FROM c WHERE (factor, d) IN (SELECT (factor, d) FROM done)
+          UNION ALL SELECT factor, d, code, value, 's2' FROM l WHERE year(d) < 2001 AND (factor, d) NOT IN (SELECT (factor, d) FROM done))
+        SELECT factor, d, code, round(value, 6) AS value, snapshot FROM a
+        WHERE factor = 'reversal_20' AND d BETWEEN DATE '1996-03-01' AND DATE '2000-06-30' OR factor = 'max_ret_20' AND d >= DATE '1999-01-01'""",
+    "factor_cache_range": f"{CACHE} SELECT factor, snapshot, min(d) AS first, max(d) AS last, count(DISTINCT d) AS n_days, count(*) AS n FROM c GROUP BY ALL",
+    "parameter_grid": """SELECT cap, cost, n, substr(sha256('{"cap":' || cap || ',"cost":' || cost || ',"n":' || n || '}'), 1, 12) AS param_hash
+        FROM (VALUES (4), (8)) a(cap), (VALUES (0.0::DOUBLE), (0.001), (0.002)) b(cost), (VALUES (10), (20), (40)) c(n)""",
 }

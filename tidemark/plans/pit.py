@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, statements, trading
 from ..operators.panel import bars, calendar, frame, panel
-from ..session import table
+from ..session import few, scratch, stored, table
 from .market import ATTRIBUTES, PANEL, attributes, month_ends, the_panel
 
 
@@ -51,6 +51,37 @@ def visible_facts(spark, sf_dir: str) -> DataFrame:
     return asof.bitemporal_latest(facts(spark, sf_dir), dates)
 
 
+FIELDS = {"price": "l_extendedprice", "quantity": "l_quantity", "discount": "l_discount"}
+
+
+def visible_fields(spark, sf_dir: str) -> DataFrame:
+    """Three fields of the facts, each visible by its own announcements, side by side: fields are rows until the last step, so nothing is joined.
+
+    A quantity is announced 30 days after the price, a discount not at all where it is 0.
+    """
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    j = li.join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    period = F.date_sub(F.add_months(F.trunc("o_orderdate", "quarter"), 3), 1)
+    day = F.col("l_shipdate").cast("date")
+    field = lambda name, at, value: F.struct(F.lit(name).alias("field"), at.alias("ann_date"), value.alias("value"))
+    rows = F.explode(F.array(field("price", day, F.col("l_extendedprice")), field("quantity", F.date_add(day, 30), F.col("l_quantity")), field("discount", day, F.when(F.col("l_discount") > 0, F.col("l_discount")))))
+    long = j.select(F.col("l_suppkey").alias("code"), period.alias("period"), (F.col("l_returnflag") == "R").cast("int").alias("flag"), rows.alias("f")).select("code", "period", "flag", "f.*")
+    dates = spark.createDataFrame([(d,) for d in AS_OF], "s string").select(F.col("s").cast("date").alias("as_of"))
+    seen = asof.bitemporal_latest(long, dates, ("code", "period", "field"))
+    return seen.groupBy("as_of", "code", "period").pivot("field", list(FIELDS)).agg(F.first("value"))
+
+
+def name_status(spark, sf_dir: str) -> DataFrame:
+    """Status intervals from the names that a customer has had (made up: the order's state is put before it), classified by pattern; a customer without any is normal throughout."""
+    o = orders(spark, sf_dir).groupBy("o_custkey", "day").agg(F.max("o_orderstatus").alias("s"))
+    name = F.concat(F.when(F.col("s") == "F", "ST ").when(F.col("s") == "P", "*ST ").otherwise(""), F.lit("customer"))
+    status = F.when(name.rlike(r"^\*ST"), "warned").when(name.rlike("^ST"), "special").otherwise("normal")
+    spans = asof.runs(o.select("o_custkey", "day", status.alias("status")), "o_custkey", ["day"], "status", "day")
+    rest = table(spark, sf_dir, "customer").join(spans, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    none = F.lit(None).cast("date")
+    return spans.unionByName(rest.select(F.col("c_custkey").alias("o_custkey"), F.lit("normal").alias("status"), none.alias("start_date"), none.alias("end_date")))
+
+
 def statement_table(spark, sf_dir: str) -> DataFrame:
     """code, q (year * 4 + quarter - 1), cumulative revenue and income within the year."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -87,21 +118,22 @@ def statement_factors(spark, sf_dir: str) -> DataFrame:
 
 
 def value_factors(spark, sf_dir: str) -> DataFrame:
-    """Earnings, sales and book yield, return on equity and accruals at month ends, from the statements announced by then (60 days after their quarter).
+    """Earnings, sales and book yield, return on equity, gross margin and accruals at month ends, from the statements announced by then (60 days after their quarter).
 
-    Equity is 1e6 + trailing income, assets four times as much; only positive denominators count.
+    Equity is 1e6 + trailing income, assets four times as much; only positive denominators count.  The margin is
+    that of the latest statement as announced, in percent: cumulative income over cumulative revenue, without a trailing sum.
     """
     st = statements.ttm(statements.ttm(statement_table(spark, sf_dir), "revenue"), "income")
     quarter_end = F.date_sub(F.add_months(F.make_date(F.floor(F.col("q") / 4).cast("int"), (F.col("q") % 4 * 3 + 1).cast("int"), F.lit(1)), 3), 1)
     st = st.withColumn("ann", F.date_add(quarter_end, 60)).withColumn("equity", 1e6 + F.col("income_ttm"))
     st = st.withColumn("equity0", statements.earlier("equity", 4))
     m = month_ends(the_panel(spark, sf_dir)).join(attributes(spark, sf_dir), "code").select("code", "d", (F.col("px") * F.col("shares")).alias("mv"))
-    j = m.join(st.withColumnRenamed("code", "_c"), (F.col("code") == F.col("_c")) & (F.col("ann") <= F.col("d")), "left")
-    best = j.groupBy("code", "d", "mv").agg(F.max(F.struct("q", "revenue_ttm", "income_ttm", "income", "equity", "equity0")).alias("s")).select("code", "d", "mv", "s.*")
+    latest = st.select("code", "ann", F.struct("q", "revenue_ttm", "income_ttm", "revenue", "income", "equity", "equity0").alias("s"))
+    best = asof.backward_asof(m, latest, "code", "d", "ann", "s").select("code", "d", "mv", "asof_s.*")
     over = lambda x, y: F.round(F.when(F.col("mv") > 0, x) / F.when(y > 0, y), 6)
     mv, eq = F.col("mv"), F.col("equity")
     mean_eq = F.when((eq > 0) & (F.col("equity0") > 0), (eq + F.col("equity0")) / 2)
-    return best.select("code", "d", over(F.col("income_ttm"), mv).alias("ep_ttm"), over(F.col("revenue_ttm"), mv).alias("sp_ttm"), over(eq, mv).alias("bp"), over(F.col("income_ttm"), mean_eq).alias("roe_ttm"), over(F.col("income_ttm") - F.col("income"), 4 * eq).alias("accrual"))
+    return best.select("code", "d", over(F.col("income_ttm"), mv).alias("ep_ttm"), over(F.col("revenue_ttm"), mv).alias("sp_ttm"), over(eq, mv).alias("bp"), over(F.col("income_ttm"), mean_eq).alias("roe_ttm"), F.round(F.when(F.col("revenue") > 0, 100 * F.col("income") / F.col("revenue")), 6).alias("gross_margin"), over(F.col("income_ttm") - F.col("income"), 4 * eq).alias("accrual"))
 
 
 def limits_and_mask(spark, sf_dir: str) -> DataFrame:
@@ -132,12 +164,18 @@ def trade_costs(spark, sf_dir: str) -> DataFrame:
     return trading.charged(t).select("code", "d", "side", *[F.round(c, 8).alias(c) for c in ("commission", "stamp_duty", "transfer_fee", "impact", "total_cost")])
 
 
-def macro_visible(spark, sf_dir: str) -> DataFrame:
-    """Monthly order totals by priority, published 20 days after the month ends, first and revised (plus 1 %, 50 days): the latest publication by each as-of date, last 3 periods of each indicator, side by side."""
+def publications(spark, sf_dir: str) -> DataFrame:
+    """Monthly order totals by priority: indicator, period, publish_date, source, value; first (20 days after the month ends) and revised (50 days, plus 1 %)."""
     o = orders(spark, sf_dir).groupBy(F.substring("o_orderpriority", 1, 1).alias("indicator"), F.last_day("day").alias("period")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    pub = o.select("indicator", "period", "value", F.explode(F.array(F.lit(20), F.lit(50))).alias("after")).select("indicator", "period", F.expr("date_add(period, after)").alias("publish_date"), F.round(F.col("value") * F.when(F.col("after") == 50, 1.01).otherwise(1.0), 1).alias("value"))
+    pub = o.select("indicator", "period", "value", F.explode(F.array(F.lit(20), F.lit(50))).alias("after"))
+    return pub.select("indicator", "period", F.expr("date_add(period, after)").alias("publish_date"), F.when(F.col("after") == 50, "revised").otherwise("first").alias("source"), F.round(F.col("value") * F.when(F.col("after") == 50, 1.01).otherwise(1.0), 1).alias("value"))
+
+
+def macro_visible(spark, sf_dir: str) -> DataFrame:
+    """The latest publication by each as-of date, last 3 periods of each indicator, side by side."""
+    pub = publications(spark, sf_dir)
     dates = spark.createDataFrame([(d,) for d in AS_OF], "s string").select(F.col("s").cast("date").alias("as_of"))
-    seen = pub.join(F.broadcast(dates), F.col("publish_date") <= F.col("as_of"))
+    seen = pub.join(few(dates), F.col("publish_date") <= F.col("as_of"))
     latest = seen.groupBy("as_of", "indicator", "period").agg(F.max_by("value", "publish_date").alias("value"))
     rank = F.row_number().over(Window.partitionBy("as_of", "indicator").orderBy(F.col("period").desc()))
     top = latest.withColumn("r", rank).where("r <= 3")
@@ -145,31 +183,37 @@ def macro_visible(spark, sf_dir: str) -> DataFrame:
 
 
 def data_checks(spark, sf_dir: str) -> DataFrame:
-    """Data checks over bars and their sources, one row each with severity and the number of offending rows."""
+    """Data checks over bars and their sources, one row each with severity and the number of offending rows (limit_coverage: traded rows without a limit price).
+
+    The panel is made once and stored; its checks are conditional aggregates of one pass over it.
+    """
     li, o = table(spark, sf_dir, "lineitem"), orders(spark, sf_dir)
-    p = the_panel(spark, sf_dir)
-    b = bars(li)
-    cal = calendar(b)
-    listing = b.join(cal.select("d", "ord"), "d").groupBy("code").agg(F.max("ord") - F.min("ord") + 1)
-    want, have = listing.agg(F.sum(listing.columns[1]).alias("n")), p.agg(F.count("*").alias("n"))
-    complete = want.crossJoin(have.withColumnRenamed("n", "m")).select(F.abs(F.col("n") - F.col("m")).alias("n_bad"))
-    ratio = asof.ratio_to_previous(p, "code", "ord", "px")
-    day = p.groupBy("d").agg(F.count("*").alias("n"), F.count_if("suspended").alias("s"))
-    rows = [
-        ("row_completeness", "blocking", complete),
-        ("placeholder", "blocking", p.where(F.col("suspended") & ((F.col("vol") != 0) | (F.col("amount") != 0))).agg(F.count("*").alias("n_bad"))),
-        ("price_jumps", "warning", p.withColumn("r", ratio).where((F.col("r") > 20) | (F.col("r") < 0.05)).agg(F.count("*").alias("n_bad"))),
-        ("announced_before_order", "blocking", li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).where(F.col("l_shipdate") < F.col("o_orderdate")).agg(F.count("*").alias("n_bad"))),
-        ("unknown_supplier", "blocking", li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_anti").agg(F.count("*").alias("n_bad"))),
-        ("frozen_days", "warning", day.where("s * 2 > n").agg(F.count("*").alias("n_bad"))),
-        ("zero_volume", "warning", p.where(~F.col("suspended") & (F.col("vol") == 0)).agg(F.count("*").alias("n_bad"))),
-        ("total_differs", "warning", li.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("t")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).where(F.abs(F.try_divide(F.col("t"), F.col("o_totalprice")) - 1) > 0.005).agg(F.count("*").alias("n_bad"))),
-    ]
-    out = None
-    for name, severity, df in rows:
-        one = df.select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.col("n_bad").cast("long").alias("n_bad"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    with scratch() as scope:
+        p = the_panel(spark, sf_dir).select("code", "ord", "d", "px", "vol", "amount", "suspended")
+        p = stored(p.withColumn("r", asof.ratio_to_previous(p, "code", "ord", "px")).withColumn("before", F.lag("px").over(Window.partitionBy("code").orderBy("ord"))), "checks-panel")
+        listing = bars(li).join(calendar(bars(li)).select("d", "ord"), "d").groupBy("code").agg((F.max("ord") - F.min("ord") + 1).alias("n")).agg(F.sum("n").alias("want"))
+        traded = ~F.col("suspended")
+        of_panel = p.agg(
+            F.count("*").alias("have"),
+            F.count_if(~traded & ((F.col("vol") != 0) | (F.col("amount") != 0))).alias("placeholder"),
+            F.count_if((F.col("r") > 20) | (F.col("r") < 0.05)).alias("price_jumps"),
+            F.count_if(traded & (F.col("vol") == 0)).alias("zero_volume"),
+            F.count_if(traded & F.col("before").isNull()).alias("limit_coverage"),
+        ).crossJoin(listing)  # both are one row
+        frozen = p.groupBy("d").agg((2 * F.count_if("suspended") > F.count("*")).alias("bad")).agg(F.count_if("bad").alias("frozen_days"))
+        of_lines = li.join(o.select("o_orderkey", "o_orderdate", "o_totalprice"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("l_orderkey").agg(
+            F.sum("l_extendedprice").alias("t"), F.max("o_totalprice").alias("want"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("early"),
+        )
+        of_lines = of_lines.agg(F.coalesce(F.sum("early"), F.lit(0)).alias("announced_before_order"), F.count_if(F.abs(F.try_divide(F.col("t"), F.col("want")) - 1) > 0.005).alias("total_differs"))
+        unknown = li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_anti").agg(F.count("*").alias("unknown_supplier"))
+        published = publications(spark, sf_dir).agg(F.count_if(F.col("publish_date").isNull() | F.col("source").isNull() | (F.col("publish_date") < F.col("period"))).alias("macro_publish_date"))
+        severity = {"row_completeness": "blocking", "placeholder": "blocking", "price_jumps": "warning", "announced_before_order": "blocking", "unknown_supplier": "blocking", "frozen_days": "warning", "zero_volume": "warning", "total_differs": "warning", "macro_publish_date": "blocking", "limit_coverage": "report"}
+        out = None
+        for one in (of_panel.withColumn("row_completeness", F.abs(F.col("want") - F.col("have"))).drop("want", "have"), frozen, of_lines, unknown, published):
+            named = F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.lit(severity[c]).alias("severity"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("n_bad")) for c in one.columns]))
+            rows = one.select(named.alias("r")).select("r.*")
+            out = rows if out is None else out.unionByName(rows)
+        return scope.keep(stored(out, "checks"))
 
 
 def symmetric_difference(spark, sf_dir: str) -> DataFrame:
@@ -209,9 +253,9 @@ def upsert(spark, sf_dir: str) -> DataFrame:
 
 
 def merge_statements(spark, sf_dir: str) -> DataFrame:
-    """Full outer merge of three partial statements on (code, year), the announcement being the latest; of lines of a quantity over 48 only, as in its SQL."""
+    """Full outer merge of three partial statements on (code, year), the announcement being the latest."""
     li = table(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate")).withColumn("d", F.col("l_shipdate").cast("date"))
-    part = lambda flag, name: li.where(F.col("l_returnflag") == flag).where(F.col("l_quantity") > 48).groupBy(F.col("l_suppkey").alias("code"), "y").agg(F.round(F.sum("l_extendedprice"), 2).alias(name), F.max("d").alias(f"d_{name}"))
+    part = lambda flag, name: li.where(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("code"), "y").agg(F.round(F.sum("l_extendedprice"), 2).alias(name), F.max("d").alias(f"d_{name}"))
     m = part("R", "returned").join(part("A", "accepted"), ["code", "y"], "full").join(part("N", "fresh"), ["code", "y"], "full")
     return m.select("code", "y", "returned", "accepted", "fresh", F.greatest("d_returned", "d_accepted", "d_fresh").alias("ann_date"))
 
@@ -221,6 +265,8 @@ QUERIES = {
     "status_intervals": status_intervals,
     "interval_lookup": status_as_of,
     "bitemporal_latest": visible_facts,
+    "bitemporal_fields": visible_fields,
+    "name_status": name_status,
     "statement_factors": statement_factors,
     "value_factors": value_factors,
     "limits_and_mask": limits_and_mask,
@@ -255,6 +301,13 @@ SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY as_of, code, period ORDER BY flag, CASE WHEN flag = 0 THEN -epoch(ann_date) ELSE epoch(ann_date) END, CASE WHEN flag = 0 THEN -value ELSE value END) AS k
               FROM f JOIN a ON ann_date <= as_of)
         SELECT as_of, code, period, ann_date, value FROM r WHERE k = 1""",
+    "bitemporal_fields": f"""WITH {DATES}, j AS (SELECT l_suppkey AS code, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period,
+          l_shipdate::DATE AS day, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS flag, l_extendedprice AS p, l_quantity AS q, CASE WHEN l_discount > 0 THEN l_discount END AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        f AS (SELECT code, period, flag, 'price' AS field, day AS ann_date, p AS value FROM j UNION ALL SELECT code, period, flag, 'quantity', day + 30, q FROM j UNION ALL SELECT code, period, flag, 'discount', day, c FROM j WHERE c IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY as_of, code, period, field ORDER BY flag, CASE WHEN flag = 0 THEN -epoch(ann_date) ELSE epoch(ann_date) END, CASE WHEN flag = 0 THEN -value ELSE value END) AS k FROM f JOIN a ON ann_date <= as_of)
+        SELECT as_of, code, period, max(value) FILTER (WHERE field = 'price') AS price, max(value) FILTER (WHERE field = 'quantity') AS quantity, max(value) FILTER (WHERE field = 'discount') AS discount FROM r WHERE k = 1 GROUP BY ALL""",
+    "name_status": f"""WITH {RUNS} SELECT o_custkey, CASE status WHEN 'F' THEN 'special' WHEN 'P' THEN 'warned' ELSE 'normal' END AS status, start_date, end_date FROM iv
+        UNION ALL SELECT c_custkey, 'normal', NULL, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
     "statement_factors": f"""WITH {STATEMENTS},
         w AS (SELECT a.code, a.q, a.dq AS d0, count(b.dq) AS n, stddev_samp(b.dq) AS sd, avg(abs(b.dq)) AS size FROM dl a LEFT JOIN dl b ON b.code = a.code AND b.q BETWEEN a.q - 7 AND a.q GROUP BY ALL)
         SELECT s.code, s.q, round(s.income_q, 4) AS income_q,
@@ -272,7 +325,7 @@ SQL = {
         m AS (SELECT code, d, px * shares AS mv FROM panel JOIN attr USING (code) WHERE d IN (SELECT max(d) FROM cal GROUP BY date_trunc('month', d))),
         j AS (SELECT m.code, m.d, m.mv, e.*, row_number() OVER (PARTITION BY m.code, m.d ORDER BY e.q DESC) AS k FROM m LEFT JOIN e ON e.code = m.code AND e.ann <= m.d)
         SELECT code, d, round(CASE WHEN mv > 0 THEN it / mv END, 6) AS ep_ttm, round(CASE WHEN mv > 0 THEN rt / mv END, 6) AS sp_ttm, round(CASE WHEN mv > 0 THEN eq / mv END, 6) AS bp,
-          round(CASE WHEN mv > 0 AND eq > 0 AND eq0 > 0 THEN it / ((eq + eq0) / 2) END, 6) AS roe_ttm, round(CASE WHEN mv > 0 AND eq > 0 THEN (it - income) / (4 * eq) END, 6) AS accrual
+          round(CASE WHEN mv > 0 AND eq > 0 AND eq0 > 0 THEN it / ((eq + eq0) / 2) END, 6) AS roe_ttm, round(CASE WHEN revenue > 0 THEN 100 * income / revenue END, 6) AS gross_margin, round(CASE WHEN mv > 0 AND eq > 0 THEN (it - income) / (4 * eq) END, 6) AS accrual
         FROM j WHERE k = 1""",
     "limits_and_mask": f"""WITH {PANEL}, b AS (SELECT *, lag(px) OVER (PARTITION BY code ORDER BY ord) AS before,
           CASE WHEN code % 7 = 0 THEN 0.05 WHEN code % 3 = 0 THEN 0.2 ELSE 0.1 END::DOUBLE AS rate, ord = max(ord) OVER (PARTITION BY code) AND code % 5 = 0 AS delisted FROM panel),
@@ -307,7 +360,9 @@ SQL = {
         UNION ALL SELECT 'unknown_supplier', 'blocking', (SELECT count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier))
         UNION ALL SELECT 'frozen_days', 'warning', (SELECT count(*) FROM day WHERE s * 2 > n)
         UNION ALL SELECT 'zero_volume', 'warning', (SELECT count(*) FROM panel WHERE NOT suspended AND vol = 0)
-        UNION ALL SELECT 'total_differs', 'warning', (SELECT count(*) FROM (SELECT l_orderkey, sum(l_extendedprice) AS t FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey WHERE abs(t / o_totalprice - 1) > 0.005)""",
+        UNION ALL SELECT 'total_differs', 'warning', (SELECT count(*) FROM (SELECT l_orderkey, sum(l_extendedprice) AS t FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey WHERE abs(t / o_totalprice - 1) > 0.005)
+        UNION ALL SELECT 'macro_publish_date', 'blocking', (SELECT count(*) FROM (SELECT last_day(o_orderdate::DATE) AS period, (last_day(o_orderdate::DATE) + n)::DATE AS pub FROM orders, (VALUES (20), (50)) t(n)) WHERE pub IS NULL OR pub < period)
+        UNION ALL SELECT 'limit_coverage', 'report', (SELECT count(*) FROM (SELECT suspended, lag(px) OVER (PARTITION BY code ORDER BY ord) AS before FROM panel) WHERE NOT suspended AND before IS NULL)""",
     "symmetric_difference": """WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 100000)
         SELECT *, 'a' AS side FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT *, 'b' FROM (FROM b EXCEPT ALL FROM a)""",
     "snapshot_floors": """WITH l AS (SELECT last_day(o_orderdate::DATE) AS promoted_at,
@@ -317,7 +372,7 @@ SQL = {
           FROM l WINDOW w AS (ORDER BY promoted_at ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))""",
     "upsert_latest": """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN round(round(o_totalprice, 2) * 0.9::DOUBLE, 1) ELSE round(o_totalprice, 2) END AS price,
         CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS ingested FROM orders""",
-    "merge_statements": """WITH l AS (SELECT l_suppkey AS code, year(l_shipdate)::INT AS y, l_returnflag AS f, round(sum(l_extendedprice), 2) AS v, max(l_shipdate::DATE) AS d FROM lineitem WHERE l_quantity > 48 GROUP BY ALL)
+    "merge_statements": """WITH l AS (SELECT l_suppkey AS code, year(l_shipdate)::INT AS y, l_returnflag AS f, round(sum(l_extendedprice), 2) AS v, max(l_shipdate::DATE) AS d FROM lineitem GROUP BY ALL)
         SELECT code, y, max(v) FILTER (WHERE f = 'R') AS returned, max(v) FILTER (WHERE f = 'A') AS accepted, max(v) FILTER (WHERE f = 'N') AS fresh, max(d) AS ann_date FROM l WHERE f IN ('R', 'A', 'N') GROUP BY ALL""",
 }
 

@@ -11,15 +11,15 @@ from ..streaming import state
 
 
 def latest_state(spark, sf_dir: str) -> DataFrame:
-    return state.drained(state.latest(state.events(spark, sf_dir)), "stream-latest")
+    return state.open_only(state.drained(state.latest(state.events(spark, sf_dir)), ["user_id"], "stream-latest"))
 
 
 def stream_alerts(spark, sf_dir: str) -> DataFrame:
-    return state.drained(state.first_alerts(state.events(spark, sf_dir)), "stream-alerts")
+    return state.drained(state.first_alerts(state.events(spark, sf_dir)), ["user_id"], "stream-alerts")
 
 
 def stream_hours(spark, sf_dir: str) -> DataFrame:
-    return state.drained(state.hourly(state.events(spark, sf_dir)), "stream-hours")
+    return state.drained(state.hourly(state.events(spark, sf_dir)), ["hour", "event_type"], "stream-hours")
 
 
 def publish_and_rollback(spark, sf_dir: str) -> DataFrame:

@@ -37,10 +37,6 @@ def volume_profile(spark, sf_dir: str) -> DataFrame:
     return ind.volume_profile(the_panel(spark, sf_dir))
 
 
-def price_levels(spark, sf_dir: str) -> DataFrame:
-    return ind.level_clusters(ind.extrema(the_panel(spark, sf_dir)))
-
-
 def nation_returns(spark, sf_dir: str) -> DataFrame:
     """Log returns of each nation's volume-weighted price: name, ord, r; as many names as nations."""
     p = the_panel(spark, sf_dir).join(attributes(spark, sf_dir).select("code", "industry"), "code")
@@ -207,7 +203,6 @@ QUERIES = {
     "risk_metrics": risk,
     "local_extrema": local_extrema,
     "volume_profile": volume_profile,
-    "price_levels": price_levels,
     "correlations": correlations,
     "portfolio_weights": portfolio_weights,
     "option_figures": option_figures,

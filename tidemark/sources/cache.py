@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.panel import clean
+from ..session import few, scratch, stored
+
 
 def days_missing(wanted: DataFrame, cache: DataFrame, valid: DataFrame) -> DataFrame:
     """(factor, d) of wanted that no valid snapshot in the cache covers: what an incremental build computes."""
@@ -22,5 +27,64 @@ def hits(cache: DataFrame, valid: DataFrame, universe: DataFrame) -> DataFrame:
     return both.groupBy("factor", "d").agg(F.count("_have").alias("n"), F.bool_and(good).alias("hit"))
 
 
-def orphans_dropped(cache: DataFrame, valid: DataFrame) -> DataFrame:
-    return cache.join(valid, "snapshot", "left_semi")
+class FactorCache:
+    """Factor values stored as Parquet under root, by factor and month, so that a read of few factors or dates scans their partitions alone.
+
+    A write replaces whole days and rewrites the months that these lie in, one writer at a time.
+    """
+
+    SCHEMA = "code long, d date, value double, snapshot string, factor string, month string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _folder(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _stored(self) -> DataFrame:
+        fs, path = self._folder()
+        return self.spark.read.schema(self.SCHEMA).parquet(self.root) if fs.exists(path) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def read(self, factors: list[str] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+        """factor, d, code, value, snapshot; of these factors, from one date to another (both included)."""
+        df = self._stored()
+        if factors is not None:
+            df = df.where(F.col("factor").isin(factors))
+        for date, ahead in ((since, True), (until, False)):
+            if date is not None:
+                day, month = F.lit(date).cast("date"), date[:7]
+                df = df.where((F.col("d") >= day) & (F.col("month") >= month) if ahead else (F.col("d") <= day) & (F.col("month") <= month))
+        return df.select("factor", "d", "code", "value", "snapshot")
+
+    def put(self, rows: DataFrame) -> None:
+        """Rows (factor, d, code, value, snapshot) in place of all that is stored of their days; what is not a number is null."""
+        with scratch():
+            new = stored(rows.select("code", "d", clean(F.col("value").cast("double")).alias("value"), "snapshot", "factor", F.date_format("d", "yyyy-MM").alias("month")), "cache-new")
+            days, months = new.select("factor", "d").distinct(), new.select("factor", "month").distinct()
+            old = self._stored().join(few(months), ["factor", "month"], "left_semi").join(few(days), ["factor", "d"], "left_anti")
+            self._replace(new.unionByName(old))
+
+    def _replace(self, rows: DataFrame) -> None:
+        whole = stored(rows, "cache-months")  # what is overwritten has been read by then
+        whole.repartition("factor", "month").write.partitionBy("factor", "month").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.root)
+
+    def build(self, wanted: DataFrame, valid: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> int:
+        """Compute only the days of wanted (factor, d) that no valid snapshot covers; how many these were."""
+        with scratch():
+            missing = stored(days_missing(wanted, self.read(), valid), "cache-missing")
+            n = missing.count()
+            if n:
+                self.put(compute(missing))
+            return n
+
+    def drop_orphans(self, valid: DataFrame) -> None:
+        """Rows of snapshots that are no longer valid go; months without any others go as a whole."""
+        with scratch():
+            ok = self._stored().join(few(valid.select("snapshot", F.lit(True).alias("_ok"))), "snapshot", "left")
+            count = stored(ok.groupBy("factor", "month").agg(F.count("*").alias("n"), F.count("_ok").alias("n_ok")).where("n_ok < n"), "cache-orphans")
+            some = self._stored().join(few(count.where("n_ok > 0")), ["factor", "month"], "left_semi").join(few(valid), "snapshot", "left_semi")
+            self._replace(some.select(*self._stored().columns))
+            for r in count.where("n_ok = 0").collect():  # a row per factor and month
+                fs, path = self._folder(f"/factor={r.factor}/month={r.month}")
+                fs.delete(path, True)

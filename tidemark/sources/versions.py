@@ -1,9 +1,15 @@
-"""Versioned datasets: a publication is a new immutable folder and one small pointer file, so readers never see half of it."""
+"""Versioned datasets: a publication is a new immutable folder and one small pointer file, so readers never see half of it.
+
+Pointer files are numbered and made only if absent, so that of two publishers with one number one takes the next.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +28,41 @@ class Versions:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    LEDGER = "number long, version string, min_affected string, published timestamp"
+
     def _log(self) -> DataFrame | None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/ledger")
-        return self.spark.read.parquet(f"{self.root}/ledger") if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path) else None
+        fs, path = self._path("ledger")
+        return self.spark.read.schema(self.LEDGER).json(str(path)) if fs.exists(path) else None
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _append(self, version: str, affected: str | None) -> None:
+    def _append(self, version: str, affected: str | None) -> int:
         log = self._log()
-        n = 1 + (log.agg(F.max("number")).first()[0] if log is not None else 0)
-        row = self.spark.createDataFrame([(version, n, affected)], "version string, number long, min_affected string")
-        row.withColumn("published", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")
+        number = 1 + ((log.agg(F.max("number")).first()[0] or 0) if log is not None else 0)
+        while True:
+            fs, path = self._path(f"ledger/{number:020d}.json")
+            try:
+                out = self._created(fs, path)
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in str(e.java_exception):
+                    raise
+                number += 1
+                continue
+            row = {"number": number, "version": version, "min_affected": affected, "published": datetime.now(UTC).isoformat()}
+            out.write(bytearray(json.dumps(row).encode()))
+            out.close()
+            return number
+
+    def _created(self, fs, path):
+        """A stream to a new file; an error if there is one of that name.  The local file system's own create() is not exclusive, the operating system's is."""
+        if fs.getUri().getScheme() != "file":
+            return fs.create(path, False)
+        fs.mkdirs(path.getParent())
+        local = self.spark._jvm.java.io.File(path.toUri().getPath()).toPath()
+        self.spark._jvm.java.nio.file.Files.createFile(local, self.spark._sc._gateway.new_array(self.spark._jvm.java.nio.file.attribute.FileAttribute, 0))
+        return fs.create(path, True)
 
     def current(self) -> str | None:
         """The version last pointed to; the ledger's append is what publishes."""

@@ -1,14 +1,16 @@
 """Keyed latest state, windows and alerts over event streams.
 
 Latest-wins goes by event time and id rather than by arrival.  Windows and watermarks are an extension.
-Results of complete-mode queries go to the shared folder, batch by batch; a restart continues from the
-checkpoint beside them.
+Queries run in update mode: a batch writes only the keys that it changed, to a folder of its own number in
+the shared folder, so that a batch that is run again after a restart replaces itself.  Readers take each key's
+last batch.  Windows leave the state once the watermark has passed them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.panel import clean
 from ..session import scratch_path
@@ -21,23 +23,30 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("value", clean(F.col("value")))
 
 
-def drained(result: DataFrame, label: str) -> DataFrame:
-    """Run a complete-mode stream over all that is there, and give its last result."""
+def drained(result: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Run an update-mode stream over all that is there, and give the last row of each key."""
     spark = result.sparkSession
     out = scratch_path(spark, label)
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch")
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
 
-    q = result.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q = result.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{out}/batch")
+    rows = spark.read.schema(StructType([*result.schema, StructField("batch", LongType())])).parquet(f"{out}/rows")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*result.columns), "batch").alias("r"))
+    return last.select("r.*")
 
 
 def latest(stream: DataFrame) -> DataFrame:
-    """Per user the last event by (ts, event_id); a value of 1 or less closes the position and removes it."""
+    """Per user the last event by (ts, event_id); open_only() takes away those it closes."""
     last = F.max_by(F.struct("event_id", "event_type", "value", "ts"), F.struct("ts", "event_id"))
-    return stream.groupBy("user_id").agg(last.alias("e"), F.count("*").alias("n")).select("user_id", "e.event_id", "e.event_type", "e.value", "n").where(F.col("value") > 1)
+    return stream.groupBy("user_id").agg(last.alias("e"), F.count("*").alias("n")).select("user_id", "e.event_id", "e.event_type", "e.value", "n")
+
+
+def open_only(rows: DataFrame) -> DataFrame:
+    """A value of 1 or less closes the position and removes it."""
+    return rows.where(F.col("value") > 1)
 
 
 def first_alerts(stream: DataFrame, over: float = 450.0) -> DataFrame:
