@@ -204,3 +204,28 @@ def test_portfolio_weights_by_hand(spark):
     for method, w in want.items():
         mine = got[got.method == method].set_index("name").weight[r.columns].to_numpy()
         assert np.allclose(mine, w / w.sum(), atol=2e-6) and abs(mine.sum() - 1) < 1e-4
+
+
+def test_cells_find_what_comparing_all_finds(spark):
+    from tidemark.plans import memory, tools
+
+    sf = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.vec_id) for r in tools.nearest_vectors(spark, sf).collect()}
+    found = {(r.query_id, r.vec_id) for r in memory.nearest_by_cells(spark, sf).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    cells = retrieval.fit_cells(v)
+    assert retrieval.in_cells(v, cells.centres, 1, "vec_id").count() == v.count()
+    # All cells looked into, and cells split: nothing is missed.
+    all_of_them = retrieval.nearest_in_cells(v.where("vec_id % 50 = 0"), v, retrieval.Cells(cells.centres, len(cells.centres)), piece=7)
+    assert {(r.query_id, r.vec_id) for r in all_of_them.collect()} == exact
+    assert retrieval.nearest_in_cells(v.limit(0), v, cells).count() == 0
+    # Vectors in clusters: few cells do.
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(30, 16))
+    rows = [(i, (middle[i % 30] * 3 + rng.normal(size=16)).tolist()) for i in range(1500)]
+    near = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells = retrieval.fit_cells(near)
+    assert cells.probes <= len(cells.centres) // 4
+    exact, found = ({(r.query_id, r.vec_id) for r in f.collect()} for f in (retrieval.nearest(near.where("vec_id % 50 = 0"), near), retrieval.nearest_in_cells(near.where("vec_id % 50 = 0"), near, cells)))
+    assert len(exact & found) >= 0.9 * len(exact)

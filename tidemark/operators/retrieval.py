@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -87,11 +88,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     Queries go to tasks in blocks of a fixed size; each task keeps k for each, and those are merged, so what
     moves is k rows per query and task.
     """
-    ids = [r.vec_id for r in queries.select("vec_id").orderBy("vec_id").toLocalIterator()]
+    blocks = -(-queries.count() // QUERY_BLOCK)
     found = None
-    for at in range(0, len(ids), QUERY_BLOCK):
-        lo, hi = ids[at], ids[min(at + QUERY_BLOCK, len(ids)) - 1]
-        rows = queries.where(F.col("vec_id").between(lo, hi)).select("vec_id", "embedding").collect()
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select("vec_id", "embedding").collect()  # about QUERY_BLOCK
+        if not rows:
+            continue
         shared = queries.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows]), _unit(np.array([r.embedding for r in rows], np.float64))))
         part = vectors.select("vec_id", "embedding").mapInArrow(_best(shared, k), "query_id long, vec_id long, similarity double")
         found = part if found is None else found.unionByName(part)
@@ -120,3 +122,92 @@ def _best(shared, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep.ravel()]), pa.array(vid[order].ravel()[keep.ravel()]), pa.array(top.ravel()[keep.ravel()])], names=["query_id", "vec_id", "similarity"])
 
     return run
+
+
+#: Vectors of the sample that cells are fitted on at most, cells at most, sampled queries and the recall wanted of them, and vectors of a piece of a cell.
+CELL_SAMPLE, MOST_CELLS, TRIED, RECALL, PIECE = 20_000, 4096, 500, 0.95, 20_000
+
+
+@dataclass
+class Cells:
+    centres: np.ndarray
+    probes: int  # cells that a query looks into
+
+
+def fit_cells(vectors: DataFrame, sample: int = CELL_SAMPLE, most: int = MOST_CELLS, rounds: int = 8, k: int = 10) -> Cells:
+    """About the root of as many cells as there are vectors, by spherical k-means over a bounded sample, chosen by a hash of the id.
+
+    A query looks into as many cells as it takes to find RECALL of the k nearest within the sample: few where vectors
+    lie in clusters, most cells where they have no order at all.
+    """
+    n = vectors.count()
+    if not n:
+        return Cells(np.zeros((0, 0)), 1)
+    drawn = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(min(1.0, sample / n) * (1 << 40)))
+    x = np.array([r.embedding for r in drawn.select("vec_id", "embedding").orderBy("vec_id").limit(sample).collect()], np.float64)
+    if not len(x):
+        x = np.array([r.embedding for r in vectors.orderBy("vec_id").limit(1).collect()], np.float64)
+    x = _unit(x)
+    cells = max(1, min(most, len(x), round(n**0.5)))
+    centres = x[np.random.default_rng(5).choice(len(x), cells, replace=False)]
+    for _ in range(rounds):
+        at = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        full = np.bincount(at, minlength=cells) > 0
+        centres[full] = _unit(sums[full])
+    q = x[: min(TRIED, len(x))]
+    s = q @ x.T
+    s[np.arange(len(q)), np.arange(len(q))] = -2
+    near = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)  # of each cell in the query's order
+    needed = np.sort(np.take_along_axis(place, (x @ centres.T).argmax(axis=1)[near], axis=1).ravel())
+    return Cells(centres, int(needed[int(RECALL * (len(needed) - 1))]) + 1 if len(needed) else cells)
+
+
+def in_cells(vectors: DataFrame, centres: np.ndarray, n: int, name: str) -> DataFrame:
+    """(cell, id, embedding) of each vector's n nearest cells; every vector is placed, in the sample or not."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.argsort(-(_matrix(batch.column("embedding")) @ shared.value.T), axis=1, kind="stable")[:, :n]
+            at = np.repeat(np.arange(len(batch)), near.shape[1])
+            rows = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), rows.column("vec_id"), rows.column("embedding")], names=["cell", name, "embedding"])
+
+    return vectors.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, f"cell int, {name} long, embedding array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
+
+
+def nearest_in_cells(queries: DataFrame, vectors: DataFrame, cells: Cells, k: int = 10, piece: int = PIECE) -> DataFrame:
+    """nearest(), but a query meets only the vectors of the cells nearest to it: not exact (its recall is tested), with work that shrinks as cells get smaller.
+
+    A cell of more than `piece` vectors is split by a hash; its queries go to all of its pieces, each of which gives k.
+    """
+    placed = in_cells(vectors, cells.centres, 1, "vec_id")
+    pieces = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(piece)).cast("int").alias("n"))  # a row per cell
+    held = placed.join(F.broadcast(pieces), "cell").select(F.col("cell").alias("_cell"), F.pmod(F.xxhash64("vec_id"), "n").cast("int").alias("_piece"), "vec_id", "embedding")
+    each = pieces.select("cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"))
+    asked = in_cells(queries, cells.centres, cells.probes, "query_id").join(F.broadcast(each), "cell").select("cell", "piece", "query_id", "embedding")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        qid, vid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+        q, v = (_matrix(t.column("embedding").combine_chunks()) for t in (left, right))
+        out = []
+        for i in range(0, len(qid) if len(vid) else 0, 1000):
+            s = np.round(q[i : i + 1000] @ v.T, 6)
+            s[qid[i : i + 1000, None] == vid[None, :]] = -2
+            order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
+            top = np.take_along_axis(s, order, axis=1)
+            keep = (top > -2).ravel()
+            out.append((np.repeat(qid[i : i + 1000], order.shape[1])[keep], vid[order].ravel()[keep], top.ravel()[keep]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), columns, strict=True)))
+
+    found = asked.groupBy("cell", "piece").cogroup(held.groupBy("_cell", "_piece")).applyInArrow(best, "query_id long, vec_id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

@@ -31,6 +31,12 @@ def asked(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0)
 
 
+def nearest_by_cells(spark, sf_dir: str) -> DataFrame:
+    """nearest_vectors by an index of cells: for tables too large to compare every query with every vector."""
+    v = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest_in_cells(asked(spark, sf_dir), v, retrieval.fit_cells(v))
+
+
 def reranked(spark, sf_dir: str) -> DataFrame:
     """Two stages: the 50 nearest vectors of every query, scored anew (20 times the cosine of the first 16 places, less 10), the best 10 of -10 at least."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
@@ -82,6 +88,7 @@ def audit_counters(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "publish_dates": publish_dates,
+    "nearest_by_cells": nearest_by_cells,
     "reranked_vectors": reranked,
     "memory_search": memory_search,
     "memory_upkeep": memory_upkeep,
