@@ -28,10 +28,12 @@ itself; with no training rows all counts are 0; an empty table gives no rows; fu
 from __future__ import annotations
 
 import math
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,21 +42,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import few, scratch, stored
-from .text import py_lower_words
+from .text import SPACES, py_lower_words
 
 #: The end of a text; no word holds a line break.
 END = b"\n"
 HEAD, MOST_UNITS, UNIT_COUNT = 1_000_000, 32_768, 20
 CLASSES, ENDINGS, MOST_CONTEXTS, CONTEXT_COUNT = 256, 256, 2048, 500
-WIDTH, NOISE, BATCH, RATE, SEED = 24, 128, 4096, 0.04, 3
+WIDTH, NOISE, BATCH, RATE, SEED = 24, 64, 4096, 0.04, 3
 #: Texts of the warm start, which only gives all trainers one direction; whole texts up to this many tokens.
 WARM_TEXTS, WARM_TOKENS = 800, 10_000
 #: Rounds of training; their trainers are as many as the root of the tokens over this.
 ROUNDS, TRAINER_TOKENS = 3, 1 << 18
-#: Lines of parameters in a row, weight of a line that a trainer has not seen, and tokens scored at once.
-LINES, UNSEEN, SCORED = 1024, 1e-3, 200_000
-#: Distinct tokens that a task counts before it hands them on.
-COUNTED = 400_000
+#: Lines of parameters in a row, weight of a line that a trainer has not seen, and tokens coded and scored at once.
+LINES, UNSEEN, CODED_AT_ONCE, SCORED = 1024, 1e-3, 100_000, 200_000
+#: Units and contexts of a block of the normalisers' product.
+UNIT_BLOCK, CONTEXT_BLOCK = 2048, 256
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,31 +70,11 @@ def tail_class(token: bytes) -> int:
 # ---------------------------------------------------------------- counts
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())  # not held out, held out
-
-    def given():
-        tokens = list(counts[0].keys() | counts[1].keys())
-        train = [counts[0][t] for t in tokens]
-        total = [a + counts[1][t] for a, t in zip(train, tokens, strict=True)]
-        for c in counts:
-            c.clear()
-        return pa.RecordBatch.from_arrays([pa.array([t.decode() for t in tokens], pa.string()), pa.array(train, pa.int64()), pa.array(total, pa.int64())], names=["token", "c", "c_all"])
-
-    for batch in batches:
-        for text, out in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-            mine = counts[out]
-            mine.update(py_lower_words(text.as_py()))
-            mine[END] += 1
-            if len(counts[0]) + len(counts[1]) > COUNTED:
-                yield given()
-    if counts[0] or counts[1]:
-        yield given()
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
-    """token, c (in training texts), c_all, over whole texts; docs has doc_id, text and held_out."""
-    return docs.select("text", "held_out").mapInArrow(_counted, "token string, c long, c_all long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
+    """token, c (in training texts), c_all, over whole texts; docs has doc_id, text and held_out.  Partial sums are made before tokens are moved."""
+    flat = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase + SPACES[1:], string.ascii_lowercase + " " * 5)
+    tokens = docs.select("held_out", F.explode(F.concat(F.split(flat, " "), F.array(F.lit(END.decode())))).alias("token")).where("token <> ''")
+    return tokens.groupBy("token").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("c"), F.count("*").alias("c_all"))
 
 
 @dataclass
@@ -122,7 +104,7 @@ class Lexicon:
 
     def head_units(self) -> np.ndarray:
         """The unit of each token of the head."""
-        return np.array([i if i < self.n_units else self.n_units + tail_class(t) for i, t in enumerate(self.tokens)], np.int64)
+        return np.array([i if i < self.n_units else self.n_units + tail_class(t) for i, t in enumerate(self.tokens)], np.int32)
 
 
 class Numbered(dict):
@@ -170,19 +152,40 @@ def _coded(shared):
         of_class = np.log10(words.class_sum + words.class_types + 1)
         n_types = math.log10(words.train_tokens + words.train_types + 1)
         row = TaskContext.get().partitionId() << 36
+        def group(held: list[list[bytes]]) -> list[tuple]:
+            nonlocal row
+            sizes = np.fromiter(map(len, held), np.int64, len(held))
+            ends = np.cumsum(sizes)
+            k = np.fromiter(map(number.__getitem__, chain.from_iterable(held)), np.int32, int(ends[-1]))
+            inside = k >= 0
+            at = np.where(inside, k, 0)
+            u = np.where(inside, unit_of[at], words.n_units - 1 - k)
+            of_head = np.where(inside, head[at], 0.0)
+            fixed = np.where(u >= words.n_units, of_head - of_class[np.maximum(u - words.n_units, 0)], 0.0)
+            starts = ends - sizes
+            base, fixed = (np.add.reduceat(x, starts) for x in (of_head, fixed))
+            n_known = np.add.reduceat((inside & known[at]).astype(np.int64), starts)
+            u, outside = u.astype("<u2"), np.flatnonzero(~inside)
+            cut = np.searchsorted(outside, ends).tolist()
+            out, before = [], 0
+            for i, (w, a, b, c) in enumerate(zip(held, starts.tolist(), ends.tolist(), cut, strict=True)):
+                rest = Counter([w[j - a] for j in outside[before:c].tolist()])
+                out.append((row, b - a, int(n_known[i]), float(base[i]) - (b - a) * n_types, float(fixed[i]), u[a:b].tobytes(), [t.decode() for t in rest], list(rest.values())))
+                row, before = row + 1, c
+            return out
+
         for batch in batches:
-            out: list[tuple] = []
+            out, held, size = [], [], 0
             for text in batch.column("text"):
-                w = [*py_lower_words(text.as_py()), END]
-                k = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
-                in_head = k >= 0
-                u = np.where(in_head, unit_of[np.where(in_head, k, 0)], words.n_units - 1 - k)
-                found, tail = k[in_head], u >= words.n_units
-                base = float(head[found].sum()) - len(w) * n_types
-                fixed = float(head[k[in_head & tail]].sum()) - float(of_class[u[tail] - words.n_units].sum())
-                rest = Counter([w[i] for i in np.flatnonzero(~in_head).tolist()])
-                out.append((row, len(w), int(known[found].sum()), base, fixed, u.astype("<u2").tobytes(), [t.decode() for t in rest], list(rest.values())))
-                row += 1
+                w = py_lower_words(text.as_py())
+                w.append(END)
+                held.append(w)
+                size += len(w)
+                if size >= CODED_AT_ONCE:
+                    out += group(held)
+                    held, size = [], 0
+            if held:
+                out += group(held)
             if out:
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), CODED_KINDS, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], names=["doc_id", "held_out", *(f.split()[0] for f in CODED.split(", "))])
@@ -238,23 +241,25 @@ class Model:
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
         return self.e @ self.d1, self.e @ self.d2
 
-    def normalisers(self) -> np.ndarray:
-        """[a, b]: log of the sum over units of exp(score) in that context; the sum of products is one matrix product."""
+    def normalisers(self, rows: slice = slice(None)) -> np.ndarray:
+        """[a, b]: log of the sum over units of exp(score) in that context, for the rows a; the sum of products is one matrix product, by blocks of units."""
         first, second = self.halves()
-        blocks = [(first @ self.r[i : i + 4096].T, second @ self.r[i : i + 4096].T + self.b[i : i + 4096]) for i in range(0, len(self.r), 4096)]
-        top1, top2 = (np.max([x[j].max(axis=1) for x in blocks], axis=0) for j in (0, 1))
-        z = np.zeros((len(first), len(first)))
-        for x, y in blocks:
-            z += np.exp(x - top1[:, None]) @ np.exp(y - top2[:, None]).T
+        first, at = first[rows], range(0, len(self.r), UNIT_BLOCK)
+        of_a = lambda i: first @ self.r[i : i + UNIT_BLOCK].T
+        of_b = lambda i: second @ self.r[i : i + UNIT_BLOCK].T + self.b[i : i + UNIT_BLOCK]
+        top1, top2 = (np.max([f(i).max(axis=1) for i in at], axis=0) for f in (of_a, of_b))
+        z = np.zeros((len(first), len(second)))
+        for i in at:
+            z += np.exp(of_a(i) - top1[:, None]) @ np.exp(of_b(i) - top2[:, None]).T
         return (np.log(z) + top1[:, None] + top2).astype(np.float32)
 
 
 def by_sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of values added up by index."""
+    """Rows of values added up by index, of which there are 65,536 at most."""
     out = np.zeros((n, values.shape[1]), np.float32)
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # a radix sort
     found = index[order]
-    starts = np.flatnonzero(np.diff(found, prepend=-1))
+    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
     out[found[starts]] = np.add.reduceat(values[order], starts, axis=0)
     return out
 
@@ -279,21 +284,34 @@ class Trainer:
         m, n = self.m, len(u)
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]), len(self.cdf) - 1)
         first, second = m.halves()
-        q, ru, rn = first[a] + second[b], m.r[u], m.r[noise]
+        q, rn = first[a] + second[b], m.r[noise]
+        ru = m.r[u]
         g_real = 1 - sigmoid(np.einsum("ij,ij->i", q, ru) + m.b[u] - self.log_noise[u])  # upwards
-        g_false = sigmoid(q @ rn.T + (m.b - self.log_noise)[noise])
-        np.negative(g_false, out=g_false)
-        g_q = g_real[:, None] * ru + g_false @ rn
+        g_false = sigmoid(q @ rn.T + (m.b[noise] - self.log_noise[noise]))
+        ru *= g_real[:, None]
+        g_q = ru
+        g_q -= g_false @ rn
         g1, g2 = by_sum(a, g_q, len(m.e)), by_sum(b, g_q, len(m.e))
         # Only the lines of units that the batch or its noise holds are touched.
-        touched, at = np.unique(np.concatenate([u, noise]), return_inverse=True)
-        g_u = by_sum(at, np.vstack([np.column_stack([g_real[:, None] * q, g_real]), np.column_stack([g_false.T @ q, g_false.sum(axis=0)])]), len(touched))
+        of_units = np.empty((n + NOISE, WIDTH + 1), np.float32)
+        np.multiply(q, g_real[:, None], out=of_units[:n, :-1])
+        of_units[:n, -1] = g_real
+        np.negative(g_false.T @ q, out=of_units[n:, :-1])
+        of_units[n:, -1] = -g_false.sum(axis=0)
+        held = np.concatenate([u, noise])
+        order = np.argsort(held.astype(np.uint16), kind="stable")
+        found = held[order]
+        starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        g_u, touched = np.add.reduceat(of_units[order], starts, axis=0), found[starts]
         everything = slice(None)
         grads = [(m.e, self.past.e, g1 @ m.d1.T + g2 @ m.d2.T, everything), (m.d1, self.past.d1, m.e.T @ g1, everything), (m.d2, self.past.d2, m.e.T @ g2, everything), (m.r, self.past.r, g_u[:, :-1], touched), (m.b, self.past.b, g_u[:, -1], touched)]
         for p, h, g, rows in grads:
-            g = g / n
-            h[rows] += g * g
-            p[rows] += RATE * g / np.sqrt(h[rows])
+            g /= n
+            past = h[rows] + g * g
+            h[rows] = past
+            g *= RATE
+            g /= np.sqrt(past, out=past)
+            p[rows] += g
 
     def text(self, units: bytes) -> None:
         u = np.frombuffer(units, "<u2").astype(np.int64)
@@ -400,6 +418,23 @@ def train(parts: DataFrame, words: Lexicon) -> Model:
     return model
 
 
+def all_normalisers(spark, model: Model) -> np.ndarray:
+    """Model.normalisers, a task for each block of contexts."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in batch.column("a").to_pylist():
+                z = shared.value.normalisers(slice(a, a + CONTEXT_BLOCK))
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([z.tobytes()], pa.binary())], names=["a", "z"])
+
+    n = len(model.e)
+    blocks = spark.range(0, n, CONTEXT_BLOCK, -(-n // CONTEXT_BLOCK)).withColumnRenamed("id", "a")
+    found = sorted(blocks.mapInArrow(run, "a long, z binary").collect(), key=lambda r: r.a)  # MOST_CONTEXTS squared at most
+    shared.unpersist()
+    return np.concatenate([np.frombuffer(r.z, np.float32) for r in found]).reshape(n, n)
+
+
 # ---------------------------------------------------------------- scores
 
 
@@ -444,7 +479,7 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
         words = lexicon(counts)
         parts = stored(coded(docs, words), "lm-parts")
         model = train(parts, words)
-        shared = docs.sparkSession.sparkContext.broadcast((model, model.normalisers(), words.contexts()))
+        shared = docs.sparkSession.sparkContext.broadcast((model, all_normalisers(docs.sparkSession, model), words.contexts()))
         scored = parts.drop("tokens", "times").mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, fixed double, model double")
         pairs = parts.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("p")).select("row", F.col("p.tokens").alias("token"), F.col("p.times").alias("n"))
         rare = counts.where((F.col("c") > 0) & (F.col("c_all") * HEAD < F.lit(words.all_tokens))).select("token", "c")
