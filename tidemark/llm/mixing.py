@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import aside, few, stored
+from ..session import aside, discard, few, scratch, stored
 from .text import words
 
 #: Sources in code-point order (null last) weigh these, repeating.
@@ -92,18 +92,31 @@ def cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return t.withColumn("take_cut", (F.col("want") * 2 > F.col("at_cut")) & (F.col("at_cut") > 0)).drop("at_cut", "want")
 
 
+def repeated(sized: DataFrame, keys: DataFrame, share: float, max_epochs: float, cycle) -> DataFrame:
+    """sized (source, size, place and others) with source_size, target, repetitions and taken, by the stored keys (source, size, place) of all rows."""
+    with scratch() as s:
+        per_source = stored(keys.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-source")
+        chosen = s.keep(stored(cuts(keys, source_targets(per_source, share, max_epochs, cycle)), "mix-chosen"))
+    j = sized.join(few(chosen.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")), "left")
+    more = F.col("extra") & ((F.col("place") < F.col("prefix")) | ((F.col("place") == F.col("prefix")) & F.col("take_cut")))
+    return j.withColumn("repetitions", F.col("whole") + more.cast("long")).withColumn("taken", F.col("size") * F.col("repetitions"))
+
+
 def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target (its source's), repetitions and taken (size x repetitions), one row per input row."""
     docs, back = aside(docs, ("place", "whole", "extra", "prefix", "take_cut", "_s"))
     own = [c for c in docs.columns if c not in ADDED]
     sized = sizes(docs.select(*own), seed)
     keys = stored(sized.select("source", "place", "size"), "mix-size")
-    per_source = stored(keys.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-source")
-    chosen = cuts(keys, source_targets(per_source, share, max_epochs, cycle))
-    c = few(chosen.withColumnRenamed("source", "_s"))
-    j = sized.join(c, F.col("source").eqNullSafe(F.col("_s")), "left")
-    more = F.col("extra") & ((F.col("place") < F.col("prefix")) | ((F.col("place") == F.col("prefix")) & F.col("take_cut")))
-    return j.withColumn("repetitions", F.col("whole") + more.cast("long")).withColumn("taken", F.col("size") * F.col("repetitions")).select(*own, "size", "source_size", "target", "repetitions", "taken").withColumnsRenamed(back)
+    found = repeated(sized, keys, share, max_epochs, cycle)
+    discard(keys)
+    return found.select(*own, *ADDED).withColumnsRenamed(back)
+
+
+def taken(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, cycle=CYCLE, seed: int = 17) -> DataFrame:
+    """doc_id and what mix() adds, one row per input row; texts are read once, for their sizes."""
+    keys = stored(sizes(docs.select("doc_id", "text", "source"), seed).select("doc_id", "source", "place", "size"), "mix-size")
+    return repeated(keys, keys, share, max_epochs, cycle).select("doc_id", *ADDED)
 
 
 def mixed_rows(docs: DataFrame, **params) -> DataFrame:
@@ -115,8 +128,7 @@ def mixed_rows(docs: DataFrame, **params) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: the mix of all documents at 150 % of their size, two epochs at most."""
-    m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
-    return m.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "repetitions")
+    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = r"""
@@ -147,5 +159,5 @@ p AS (
 q AS (
   SELECT *, CASE WHEN want <= 0 THEN 0 WHEN run <= want THEN 1
                  WHEN run - here <= want AND here > 0 AND (want - (run - here)) * 2 > here THEN 1 ELSE 0 END AS more FROM p)
-SELECT doc_id, size, source_size, round(target, 4) AS target, (size * (whole + more))::BIGINT AS taken, (whole + more)::BIGINT AS repetitions FROM q
+SELECT doc_id, size, source_size, target, (size * (whole + more))::BIGINT AS taken, (whole + more)::BIGINT AS repetitions FROM q
 """
