@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import few, scratch_path, stored
@@ -208,8 +208,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(files: DataFrame) -> DataFrame:
     """Every page record of the files: page_id, payload_bytes, payload_digest (checked against the payload), record_type, refers_to."""
-    n = max(1, files.count())
-    return files.select("path").repartition(n, "path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    at = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1).alias("at")  # a row per file
+    return files.select("path", at).repartitionById(max(1, files.count()), F.col("at")).select("path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
