@@ -67,38 +67,42 @@ class WordEncoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, stems: list[bytes]) -> None:
+    def _learn(self, stems: set[bytes]) -> None:
         direct = []
         for s in stems:
-            if _lower_letters(s):
-                direct.append(s)
+            if s.isalpha() and s.islower():  # of ASCII
+                direct.append((s, s.decode()))
+            elif _lower_letters(s):
+                direct.append((s, s.decode("latin-1").translate(self.table)))
             else:
                 self.stems[s] = self._encode(s.decode())
         for at in range(0, len(direct), 20_000):
             some = direct[at : at + 20_000]
-            done = self.letters.encode(" ".join(s.decode("latin-1").translate(self.table) for s in some), add_special_tokens=False)
-            ids = np.array(done.ids, dtype="<u4")
-            ends = np.searchsorted(np.array(done.word_ids, dtype=np.int64), np.arange(len(some) + 1)).tolist()
-            for s, x, y in zip(some, ends, ends[1:], strict=False):
-                self.stems[s] = ids[x:y].tobytes()
+            done = self.letters.encode(" ".join([x for _, x in some]), add_special_tokens=False)
+            ids = np.array(done.ids, dtype="<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(done.word_ids, dtype=np.int64), np.arange(len(some) + 1))).tolist()
+            self.stems.update([(s, ids[x:y]) for (s, _), x, y in zip(some, ends, ends[1:], strict=False)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, found, new = self.words.get, [], set()
+        get, found, unknown = self.words.get, [], set()
         for text in texts:
             raw = text.encode()
             words = [] if b"<|" in raw else raw.split()
             ids = list(map(get, words))
             found.append((words, ids))
             if None in ids:
-                new.update(w for w, x in zip(words, ids, strict=True) if x is None)
-        if len(self.words) + len(new) > REMEMBERED:
+                unknown.update([w for w, x in zip(words, ids, strict=True) if x is None])
+        if len(self.words) + len(unknown) > REMEMBERED:
             self.words.clear()
-        if len(self.stems) + len(new) > REMEMBERED:
+        if len(self.stems) + len(unknown) > REMEMBERED:
             self.stems.clear()
-        parts = {w: _parts(w) for w in new}
-        stems = self.stems
-        self._learn([x for x in {x for pair in parts.values() for x in pair if x} if x not in stems])
-        fresh = {w: stems[stem] + stems[tail] if tail else stems[stem] for w, (stem, tail) in parts.items()}
+        stems, parts, new = self.stems, [], set()
+        for w in unknown:
+            pair = (w if w.islower() else w.lower(), b"") if w.isalpha() else _parts(w)
+            parts.append(pair)
+            new.update([x for x in pair if x and x not in stems])
+        self._learn(new)
+        fresh = {w: stems[stem] + stems[tail] if tail else stems[stem] for w, (stem, tail) in zip(unknown, parts, strict=True)}
         self.words.update(fresh)
         out = []
         for text, (words, ids) in zip(texts, found, strict=True):
@@ -123,6 +127,8 @@ def _lower_letters(word: bytes) -> bool:
 def _parts(word: bytes) -> tuple[bytes, bytes]:
     """A word's stem and closing punctuation, where the pre-tokeniser parts them too; stems of Latin-1 letters in lower case."""
     stem = word.rstrip(TAIL)
+    if stem.isalpha():  # of ASCII
+        return stem.lower(), word[len(stem) :]
     text = stem.decode()
     if _LETTERS(text):
         return text.lower().encode(), word[len(stem) :]
