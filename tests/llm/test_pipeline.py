@@ -1,5 +1,8 @@
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from test_packing import check_places, pieces_by_hand
+from test_simhash import brute_components
 
 import corpus_pipeline as cp
 from tidemark.llm import linededup, simhash
@@ -20,8 +23,6 @@ def by_hand_lines(rows):
 
 
 def by_hand_near(rows):
-    from test_simhash import brute_components
-
     fp = {doc: simhash.simhash(text) for doc, text in rows}
     root = brute_components(set(fp.values()))
     least = {}
@@ -30,17 +31,18 @@ def by_hand_near(rows):
     return [(d, t) for d, t in rows if least[root[fp[d]]] == d]
 
 
-def test_each_stage_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_each_stage_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, out, step = docs.columns, docs, {}
     for name, stage in cp.STAGES:
-        out = stage(spark, out, SF)
+        out = stage(spark, out, sf)
         step[name] = out = cp.stored(out, f"test-{name}")
         if name != "pack":
             assert out.columns == columns
     table = lambda d: sorted((r.doc_id, r.text) for r in d.select("doc_id", "text").collect())
     kept = table(step["quality"])
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     ids = {d for d, _ in kept}
     assert sum(d in ids for d, q in labels.items() if q) >= 0.95 * sum(labels.values())
     assert table(step["lines"]) == sorted(by_hand_lines(kept))
@@ -62,5 +64,26 @@ def test_empty_and_clashing_columns(spark):
                 assert out.columns == docs.columns and {r.n_lines for r in out.select("n_lines").collect()} <= {3}
 
 
+def test_repeated_and_null_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    again = docs.where("doc_id % 3 = 0")
+    docs = docs.unionByName(again).unionByName(again.withColumn("text", F.concat(F.lit("some other words come first here. "), "text"))).unionByName(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long"))).repartition(5)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    table = lambda d: sorted(((r.doc_id, r.text) for r in d.select("doc_id", "text").collect()), key=str)
+    lines = cp.stored(cp.drop_lines(spark, docs, SF), "again-lines")
+    assert table(lines) == sorted(by_hand_lines(rows), key=str)
+    left = table(lines)
+    fp = {t: simhash.simhash(t) for _, t in left}
+    root = brute_components(set(fp.values()))
+    kept = cp.stored(cp.drop_near_duplicates(spark, lines, SF), "again-near")
+    found = table(kept)
+    assert sorted(root[fp[t]] for _, t in found) == sorted({root[f] for f in fp.values()})
+    for d, t in found:
+        assert (d is None, d or 0) == min((e is None, e or 0) for e, u in left if root[fp[u]] == root[fp[t]])
+    mixed = cp.stored(cp.mix_sources(spark, kept, SF), "again-mix")
+    rows = cp.pack_sequences(spark, mixed, SF).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == pieces_by_hand(table(mixed))
+
+
 def test_tokenizer_is_a_parameter():
     assert public_tokenizers.path("word_bpe_49k.json").endswith(".json")
