@@ -13,7 +13,7 @@ units are one matrix product of their exponentials.
 
 Training is by NCE against the units' frequencies, with noise shared by a batch so that its scores are matrix
 products.  Texts are dealt to trainers and rounds by a hash of their content and doc_id; the trainers' number
-grows with the root of the corpus and does not depend on its partitions.  In a round every trainer goes on
+grows with the corpus, to the power of two thirds, and does not depend on its partitions.  In a round every trainer goes on
 from one model, in the order of the hashes; then each line of the parameters is averaged by how often the
 trainers have seen its unit or context.  So every training text is used once, and other partitions give the
 same model but for the order of additions.
@@ -51,10 +51,10 @@ CLASSES, ENDINGS, MOST_CONTEXTS, CONTEXT_COUNT = 256, 256, 2048, 500
 WIDTH, NOISE, BATCH, RATE, SEED = 24, 64, 4096, 0.04, 3
 #: Texts of the warm start, which only gives all trainers one direction; whole texts up to this many tokens.
 WARM_TEXTS, WARM_TOKENS = 800, 10_000
-#: Rounds of training; their trainers are as many as the root of the tokens over this.
-ROUNDS, TRAINER_TOKENS = 3, 1 << 18
+#: Rounds of training; their trainers are as many as the tokens over this, to the power of two thirds.
+ROUNDS, TRAINER_TOKENS = 3, 1 << 21
 #: Lines of parameters in a row, weight of a line that a trainer has not seen, and tokens coded and scored at once.
-LINES, UNSEEN, CODED_AT_ONCE, SCORED = 1024, 1e-3, 100_000, 200_000
+LINES, UNSEEN, CODED_AT_ONCE, SCORED = 1024, 1e-3, 50_000, 50_000
 #: Units and contexts of a block of the normalisers' product.
 UNIT_BLOCK, CONTEXT_BLOCK = 2048, 256
 
@@ -175,20 +175,17 @@ def _coded(shared):
             return out
 
         for batch in batches:
-            out, held, size = [], [], 0
-            for text in batch.column("text"):
+            held, size, first = [], 0, 0
+            for i, text in enumerate(batch.column("text")):
                 w = py_lower_words(text.as_py())
                 w.append(END)
                 held.append(w)
                 size += len(w)
-                if size >= CODED_AT_ONCE:
-                    out += group(held)
-                    held, size = [], 0
-            if held:
-                out += group(held)
-            if out:
-                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), CODED_KINDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], names=["doc_id", "held_out", *(f.split()[0] for f in CODED.split(", "))])
+                if size >= CODED_AT_ONCE or i + 1 == len(batch):
+                    columns = [pa.array(x, t) for x, t in zip(zip(*group(held), strict=True), CODED_KINDS, strict=True)]
+                    some = batch.slice(first, len(held))
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), *columns], names=["doc_id", "held_out", *(f.split()[0] for f in CODED.split(", "))])
+                    held, size, first = [], 0, i + 1
 
     return run
 
@@ -392,8 +389,11 @@ def train(parts: DataFrame, words: Lexicon) -> Model:
     model = Model.start(frequency, n_contexts)
     past = Model.filled(model, 1e-8)
     texts = parts.where("not held_out").withColumn("key", F.xxhash64("doc_id", "units"))
-    n = math.isqrt(max(1, words.train_tokens // TRAINER_TOKENS)) or 1
-    warm = texts.where(F.col("n_tokens") <= WARM_TOKENS).orderBy("key").select("units").limit(WARM_TEXTS).collect()
+    n = max(1, round((words.train_tokens / TRAINER_TOKENS) ** (2 / 3)))
+    # First by a threshold of the hash, so that tasks do not each send as many as are wanted of all; copies are one text.
+    n_texts = texts.count()
+    drawn = texts.where((F.col("n_tokens") <= WARM_TOKENS) & (F.pmod("key", F.lit(1 << 40)) < int(min(1.0, 2 * WARM_TEXTS / max(n_texts, 1)) * (1 << 40))))
+    warm = drawn.groupBy("key").agg(F.first("units").alias("units")).orderBy("key").select("units").limit(WARM_TEXTS).collect()
     if not warm and not words.train_tokens:
         return model
     trainer = Trainer(model, past, frequency, context, SEED)
@@ -401,7 +401,7 @@ def train(parts: DataFrame, words: Lexicon) -> Model:
         trainer.text(r.units)
     trainer.flush()
     # Copies under one id have one key: where these are many, they are dealt by their row.
-    copies = texts.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1000) & (F.col("n") * 8 * n * ROUNDS > texts.count()))
+    copies = texts.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1000) & (F.col("n") * 8 * n * ROUNDS > n_texts))
     copies = stored(copies.select(F.col("key").alias("_key")), "lm-copies")
     if copies.limit(1).count():
         texts = texts.join(few(copies), F.col("key") == F.col("_key"), "left").withColumn("key", F.when(F.col("_key").isNull(), F.col("key")).otherwise(F.xxhash64("row")))
