@@ -169,8 +169,12 @@ def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_
     keyed = pages.select("page_id", F.sha2(html, 256).alias("key"), F.octet_length(html).alias("size"))
     again = keyed.where(F.col("size") >= least).groupBy("key").agg(F.count("*").alias("n"), F.max("page_id").alias("refers")).where((F.col("n") > 1) & F.col("refers").isNotNull())
     again = stored(again.select(F.col("key").alias("_key"), "refers"), "warc-again")
-    # A bounded sample in a fixed order, chosen on ids and sizes; only those rows are then fetched.
-    sample = keyed.where(F.col("size").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id"), "key").limit(SAMPLED).select("page_id").collect()
+    # A bounded sample in a fixed order, chosen on ids and sizes: first by a threshold of their hash, so that tasks do not
+    # each send as many as are wanted of all; only those rows are then fetched.
+    fit = keyed.where(F.col("size").between(1, SAMPLE_BYTES)).withColumn("place", F.pmod(F.xxhash64("page_id", "key"), F.lit(1 << 40)))
+    rate = min(1.0, 2 * SAMPLED / max(fit.count(), 1))
+    drawn = fit.where(F.col("place") < int(rate * (1 << 40))).select("page_id", "place").distinct()
+    sample = drawn.orderBy("place", "page_id").limit(SAMPLED).select("page_id").collect()
     rows = pages.where(F.col("page_id").isin([r.page_id for r in sample])).where(F.octet_length("html") <= SAMPLE_BYTES).select("page_id", "url", "html").limit(2 * SAMPLED).collect() if sample else []
     rows.sort(key=lambda r: (r.page_id is None, r.page_id, r.html or ""))
     dictionary = train_dictionary([page_record(r.page_id, r.url, (r.html or "").encode()) for r in rows]) if rows else b""
