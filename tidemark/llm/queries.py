@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, linededup, lm, mixing, packing, quality, rules, simhash, warc
+from . import chat, fingerprint, linededup, lm, mixing, packing, quality, rules, runs, simhash, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "rule_ablation": rules.ablation_query,
         "op9_pack": packing.query,
         "op10_mix_sources": mixing.query,
+        "op11_periodic_runs": runs.query,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": rules.SQL,
         "rule_ablation": rules.ABLATION_SQL,
         "op10_mix_sources": mixing.SQL,
+        "op11_periodic_runs": runs.SQL,
     }
