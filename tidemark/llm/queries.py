@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, interaction, linededup, lm, mixing, packing, quality, rules, runs, simhash, warc
+from . import chat, fingerprint, interaction, linededup, lm, mixing, packing, projection, quality, rules, runs, simhash, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_pack": packing.query,
         "op10_mix_sources": mixing.query,
         "op11_periodic_runs": runs.query,
+        "op12_embedding_near_dups": projection.query,
         "op13_filter_audit": interaction.query,
     }
 
