@@ -124,7 +124,7 @@ def test_codes_order_by_their_bits():
     bits = u @ pr.planes(8, 2, 7) > 0
     got = pr.codes(u, 2, 7)
     for t in range(2):
-        as_text = ["".join("01"[b] for b in row[64 * t : 64 * t + 64]) for row in bits]
+        as_text = ["".join("01"[int(b)] for b in row[64 * t : 64 * t + 64]) for row in bits]
         assert np.array_equal(np.argsort(got[:, t]), np.argsort(as_text))
 
 
