@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, statements, trading
 from ..operators.panel import bars, calendar, frame, panel
-from ..session import few, scratch, stored, table
+from ..session import scratch, stored, table
 from .market import ATTRIBUTES, PANEL, attributes, month_ends, the_panel
 
 
@@ -35,6 +35,19 @@ def status_as_of(spark, sf_dir: str) -> DataFrame:
     return asof.interval_lookup(years, status_intervals(spark, sf_dir), "o_custkey", "day", "start_date", "end_date", "status")
 
 
+def priority_at_shipment(spark, sf_dir: str) -> DataFrame:
+    """Each line with the priority that its customer had when it was shipped, from spans that overlap, hold each other and stay open.
+
+    An order gives its customer its priority from its day on, for up to 400 days; every eleventh order for good.
+    """
+    o = orders(spark, sf_dir)
+    until = F.when(F.col("o_orderkey") % 11 != 0, F.date_add("day", (F.col("o_orderkey") % 401).cast("int")))
+    spans = o.select("o_custkey", F.col("day").alias("start_date"), until.alias("end_date"), F.col("o_orderpriority").alias("priority"))
+    li = table(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    points = li.select("l_orderkey", "l_linenumber", "o_custkey", F.col("l_shipdate").cast("date").alias("day"))
+    return asof.interval_lookup(points, spans, "o_custkey", "day", "start_date", "end_date", "priority")
+
+
 AS_OF = ("1996-12-31", "1998-06-30", "2000-12-31")
 
 
@@ -175,8 +188,8 @@ def macro_visible(spark, sf_dir: str) -> DataFrame:
     """The latest publication by each as-of date, last 3 periods of each indicator, side by side."""
     pub = publications(spark, sf_dir)
     dates = spark.createDataFrame([(d,) for d in AS_OF], "s string").select(F.col("s").cast("date").alias("as_of"))
-    seen = pub.join(few(dates), F.col("publish_date") <= F.col("as_of"))
-    latest = seen.groupBy("as_of", "indicator", "period").agg(F.max_by("value", "publish_date").alias("value"))
+    facts = pub.select("indicator", "period", F.col("publish_date").alias("ann_date"), F.lit(0).alias("flag"), "value")
+    latest = asof.bitemporal_latest(facts, dates, ("indicator", "period"))
     rank = F.row_number().over(Window.partitionBy("as_of", "indicator").orderBy(F.col("period").desc()))
     top = latest.withColumn("r", rank).where("r <= 3")
     return top.groupBy("as_of", "period").pivot("indicator", ["1", "2", "3", "4", "5"]).agg(F.first("value")).select("as_of", "period", *[F.col(k).alias(f"p{k}") for k in "12345"])
@@ -264,6 +277,7 @@ QUERIES = {
     "backward_asof": previous_price,
     "status_intervals": status_intervals,
     "interval_lookup": status_as_of,
+    "interval_overlaps": priority_at_shipment,
     "bitemporal_latest": visible_facts,
     "bitemporal_fields": visible_fields,
     "name_status": name_status,
@@ -296,6 +310,9 @@ SQL = {
     "status_intervals": f"WITH {RUNS} SELECT * FROM iv",
     "interval_lookup": f"""WITH {RUNS}, pt AS (SELECT DISTINCT o_custkey, make_date(y, 12, 31) AS day FROM orders, range(1995, 2002) t(y))
         SELECT p.o_custkey, p.day, max_by(status, start_date) AS status FROM pt p LEFT JOIN iv i ON i.o_custkey = p.o_custkey AND start_date <= day AND (end_date IS NULL OR end_date >= day) GROUP BY ALL""",
+    "interval_overlaps": """WITH s AS (SELECT o_custkey, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE + (o_orderkey % 401)::INT ELSE DATE '9999-12-31' END AS b, o_orderpriority AS p FROM orders),
+        l AS (SELECT row_number() OVER () AS k, l_orderkey, l_linenumber, o_custkey, l_shipdate::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        SELECT l_orderkey, l_linenumber, l.o_custkey, day, max({'a': a, 'b': b, 'p': p}).p AS priority FROM l LEFT JOIN s ON s.o_custkey = l.o_custkey AND day BETWEEN a AND b GROUP BY k, l_orderkey, l_linenumber, l.o_custkey, day""",
     "bitemporal_latest": f"""WITH {DATES}, f AS (SELECT l_suppkey AS code, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period,
           l_shipdate::DATE AS ann_date, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS flag, l_extendedprice AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         r AS (SELECT *, row_number() OVER (PARTITION BY as_of, code, period ORDER BY flag, CASE WHEN flag = 0 THEN -epoch(ann_date) ELSE epoch(ann_date) END, CASE WHEN flag = 0 THEN -value ELSE value END) AS k
