@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .panel import correlation
+
 
 def winsorize_mad(df: DataFrame, x: str, by: list[str], n: float = 3.0) -> DataFrame:
     """x clipped to median +- n * 1.4826 * MAD of its group; unchanged where that is 0 or unknown."""
@@ -70,7 +72,7 @@ def ic_series(df: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> D
     """Pearson and rank correlation of x with y per group of at least `least` pairs."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = pairs.withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by))
-    agg = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp(x).alias("_sx"), F.stddev_samp(y).alias("_sy"), F.corr(x, y).alias("ic"), F.corr("_rx", "_ry").alias("rank_ic"))
+    agg = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp(x).alias("_sx"), F.stddev_samp(y).alias("_sy"), correlation(x, y).alias("ic"), correlation("_rx", "_ry").alias("rank_ic"))
     return agg.where((F.col("n") >= least) & (F.col("_sx") > 1e-12) & (F.col("_sy") > 1e-12)).drop("_sx", "_sy")
 
 
@@ -114,10 +116,11 @@ def drift_turnover(weights: DataFrame) -> DataFrame:
     """Turnover between dates after weights drift with returns.
 
     weights: at (ordinal of the rebalance), code, w, r (return until the next).  Old weights grow by
-    (1 + r) / (1 + portfolio return); codes absent on one side count as weight 0.
+    (1 + r) / (1 + portfolio return); codes absent on one side count as weight 0,
+    and so do all old ones after a total loss.
     """
     total = weights.groupBy("at").agg(F.sum(F.col("w") * F.col("r")).alias("pr"))
-    old = weights.join(total, "at").select((F.col("at") + 1).alias("at"), "code", (F.col("w") * (1 + F.col("r")) / (1 + F.col("pr"))).alias("w0"))
+    old = weights.join(total, "at").select((F.col("at") + 1).alias("at"), "code", F.try_divide(F.col("w") * (1 + F.col("r")), 1 + F.col("pr")).alias("w0"))
     first = weights.agg(F.min("at")).first()[0]
     last = weights.agg(F.max("at")).first()[0]
     both = weights.select("at", "code", "w").join(old, ["at", "code"], "full").where((F.col("at") > F.lit(first)) & (F.col("at") <= F.lit(last)))

@@ -14,7 +14,7 @@ def rsi(panel: DataFrame, n: int = 14) -> DataFrame:
     p = panel.withColumn("_d", d)
     w = frame(-(n - 1))
     gain, loss = F.avg(F.greatest("_d", F.lit(0.0))).over(w), F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).over(w)
-    value = F.when(loss <= 1e-12, 100.0).otherwise(100 - 100 / (1 + gain / loss))
+    value = F.when(loss <= 1e-12, 100.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(gain, loss)))
     return p.withColumn("rsi", F.when(F.count("_d").over(w) == n, value)).drop("_d")
 
 
@@ -23,7 +23,7 @@ def bands(panel: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     w = frame(-(n - 1))
     full = F.count("px").over(w) == n
     mean, sd = F.avg("px").over(w), F.stddev_samp("px").over(w)
-    return panel.withColumn("sma", F.when(full, mean)).withColumn("upper", F.when(full, mean + k * sd)).withColumn("lower", F.when(full, mean - k * sd)).withColumn("deviation", F.when(full, 100 * (F.col("px") / mean - 1)))
+    return panel.withColumn("sma", F.when(full, mean)).withColumn("upper", F.when(full, mean + k * sd)).withColumn("lower", F.when(full, mean - k * sd)).withColumn("deviation", F.when(full, 100 * (F.try_divide(F.col("px"), mean) - 1)))
 
 
 def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -96,7 +96,7 @@ def risk_metrics(panel: DataFrame, per_year: int = 52, confidence: float = 0.95)
     VaR is the observation at int((1 - c) n) of the sorted returns; CVaR the mean of those before it, or of the first.
     """
     w = Window.partitionBy("code").orderBy("ord")
-    p = panel.withColumn("r", F.try_divide(F.col("px"), F.lag("px").over(w)) - 1).withColumn("dd", 1 - F.col("px") / F.max("px").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = panel.withColumn("r", F.try_divide(F.col("px"), F.lag("px").over(w)) - 1).withColumn("dd", 1 - F.try_divide(F.col("px"), F.max("px").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     p = p.where(F.col("r").isNotNull())
     n, rank = F.count("*").over(Window.partitionBy("code")), F.row_number().over(Window.partitionBy("code").orderBy("r", "ord"))
     p = p.withColumn("k", rank - 1).withColumn("idx", F.floor((1 - confidence + 1e-9) * n))

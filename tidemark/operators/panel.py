@@ -18,16 +18,23 @@ def clean(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def correlation(x: str, y: str, over=None) -> Column:
+    """Pearson correlation of the rows that have both; null, where F.corr() stops, if one of them does not vary."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    of = lambda f, *c: f(*[F.when(both, F.col(k)) for k in c]) if over is None else f(*[F.when(both, F.col(k)) for k in c]).over(over)
+    return F.try_divide(of(F.covar_pop, x, y), of(F.stddev_pop, x) * of(F.stddev_pop, y))
+
+
 def bars(lines: DataFrame) -> DataFrame:
     """Weekly bars per supplier from trade lines: close (volume-weighted), high, low, vol, amount, and the part returned."""
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     return lines.select(
         F.col("l_suppkey").alias("code"), F.date_trunc("week", "l_shipdate").cast("date").alias("d"),
         price.alias("p"), "l_quantity", "l_extendedprice", F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0).alias("r"),
     ).groupBy("code", "d").agg(
         F.max("p").alias("high"), F.min("p").alias("low"),
         F.sum("l_quantity").alias("vol"), F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.sum("r").alias("returned"),
-    ).withColumn("close", F.col("amount") / F.col("vol"))
+    ).withColumn("close", F.try_divide(F.col("amount"), F.col("vol")))
 
 
 def calendar(dates: DataFrame, d: str = "d") -> DataFrame:

@@ -101,7 +101,7 @@ def rebalance_plan(spark, sf_dir: str) -> DataFrame:
     top = top.join(few(ends), "d")
     now = top.where("back = 1").select("code", F.lit(0.05).alias("target"))
     old = top.where("back = 2").select("code", F.lit(0.05).alias("held"))
-    p = the_panel(spark, sf_dir).withColumn("atr", F.avg((F.col("high") - F.col("low")) / F.col("px")).over(frame(-19)))
+    p = the_panel(spark, sf_dir).withColumn("atr", F.avg(F.try_divide(F.col("high") - F.col("low"), F.col("px"))).over(frame(-19)))
     quote = p.join(few(ends.where("back = 1")), "d").select("code", "px", F.least(0.5 * F.col("atr"), F.lit(LIMIT)).alias("half"))
     j = now.join(old, "code", "full").fillna(0.0, ["target", "held"]).join(quote, "code", "left")
     action = F.when(F.col("held") == 0, "buy").when(F.col("target") == 0, "sell").otherwise("hold")

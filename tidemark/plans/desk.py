@@ -86,7 +86,7 @@ def industry_attribution(spark, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("d").orderBy(F.col("s").desc(), "code"))
     e = e.withColumn("top", rank <= 20)
     day = Window.partitionBy("d")
-    w = F.when(F.col("top"), 1.0).otherwise(0.0) / F.sum(F.col("top").cast("int")).over(day)
+    w = F.try_divide(F.when(F.col("top"), 1.0).otherwise(0.0), F.sum(F.col("top").cast("int")).over(day))
     g = e.withColumn("w", w).withColumn("u", 1.0 / F.count("*").over(day)).groupBy("d", "sector")
     return g.agg(F.round(F.sum("w"), 6).alias("weight"), F.round(F.sum("w") - F.sum("u"), 6).alias("exposure"), F.round(F.sum(F.col("w") * F.coalesce("fwd", F.lit(0.0))), 6).alias("contribution"))
 

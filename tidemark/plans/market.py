@@ -181,7 +181,7 @@ def layer_summary(spark, sf_dir: str) -> DataFrame:
     by = xs.layers(exposures(spark, sf_dir), "reversal_20", "fwd", ["d"], 5).groupBy("layer").agg(F.ln(F.product(1 + F.col("mean_y"))).alias("total"))
     w = Window.partitionBy(F.lit(0))
     ranked = by.withColumn("r", F.rank().over(w.orderBy("total")).cast("double"))
-    return ranked.select("layer", F.round("total", 6).alias("total"), F.round(F.corr("layer", "r").over(w), 6).alias("monotonicity"), F.round(F.max(F.when(F.col("layer") == 0, F.col("total"))).over(w) - F.max(F.when(F.col("layer") == 4, F.col("total"))).over(w), 6).alias("low_minus_high"))
+    return ranked.select("layer", F.round("total", 6).alias("total"), F.round(pan.correlation("layer", "r", w), 6).alias("monotonicity"), F.round(F.max(F.when(F.col("layer") == 0, F.col("total"))).over(w) - F.max(F.when(F.col("layer") == 4, F.col("total"))).over(w), 6).alias("low_minus_high"))
 
 
 def picks(spark, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def macro_indicators(spark, sf_dir: str) -> DataFrame:
     one = Window.partitionBy(F.lit(0)).orderBy("ord")  # a row per period
     long = one.rowsBetween(-199, 0)
     s = index_series(spark, sf_dir).withColumn("flow", F.when(F.col("mv") > 0, (F.col("held") - F.lag("held", 60).over(one)) / F.col("mv")))
-    s = s.withColumn("trend", F.when(F.count("close").over(long) == 200, F.col("close") / F.avg("close").over(long))).where("month_end").withColumn("month", F.last_day("d"))
+    s = s.withColumn("trend", F.when(F.count("close").over(long) == 200, F.try_divide(F.col("close"), F.avg("close").over(long)))).where("month_end").withColumn("month", F.last_day("d"))
     rate = table(spark, sf_dir, "lineitem").groupBy(F.last_day(F.col("l_shipdate").cast("date")).alias("month")).agg((100 * F.avg("l_discount")).alias("rate"))
     ends = s.join(rate, "month", "left").select("month", (F.try_divide(F.lit(100.0), F.col("pe")) - F.col("rate")).alias("erp"), F.col("flow").alias("flow_60"), F.col("trend").alias("trend_200"))
     g = growth_by_month(spark, sf_dir)
@@ -110,7 +110,7 @@ def relative_performance(spark, sf_dir: str) -> DataFrame:
     one = Window.partitionBy(F.lit(0)).orderBy("ord")  # a row per period
     index = index_series(spark, sf_dir).select("ord", (F.try_divide(F.col("close"), F.lag("close").over(one)) - 1).alias("b")).where("b is not null")
     j = mine.join(index, "ord").withColumn("a", F.col("r") - F.col("b")).withColumn("value", F.exp(F.sum(F.ln(1 + F.col("r"))).over(one.rowsBetween(Window.unboundedPreceding, 0))))
-    j = j.withColumn("dd", 1 - F.col("value") / F.greatest(F.max("value").over(one.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)))
+    j = j.withColumn("dd", 1 - F.try_divide(F.col("value"), F.greatest(F.max("value").over(one.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))))
     g = j.agg(F.count("*").alias("n"), (52 * F.avg("r")).alias("annual_return"), (52 * F.avg("a")).alias("active_return"), (F.stddev_samp("a") * 52**0.5).alias("tracking_error"), F.max("dd").alias("max_drawdown"))
     r6 = lambda c, name: F.round(c, 6).alias(name)
     return g.select("n", *[r6(F.col(c), c) for c in ("annual_return", "active_return", "tracking_error", "max_drawdown")], r6(F.try_divide(F.col("active_return"), F.col("tracking_error")), "information_ratio"), r6(F.try_divide(F.col("annual_return"), F.col("max_drawdown")), "calmar"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import options
 from ..operators import indicators as ind
 from ..operators import retrieval
+from ..operators.panel import correlation
 from ..session import table
 from .market import ATTRIBUTES, PANEL, attributes, the_panel
 
@@ -41,7 +42,7 @@ def nation_returns(spark, sf_dir: str) -> DataFrame:
     """Log returns of each nation's volume-weighted price: name, ord, r; as many names as nations."""
     p = the_panel(spark, sf_dir).join(attributes(spark, sf_dir).select("code", "industry"), "code")
     i = p.groupBy("industry", "ord").agg(F.try_divide(F.sum("amount"), F.sum("vol")).alias("px")).where(F.col("px").isNotNull())
-    r = F.ln(F.col("px") / F.lag("px").over(Window.partitionBy("industry").orderBy("ord")))
+    r = F.ln(F.try_divide(F.col("px"), F.lag("px").over(Window.partitionBy("industry").orderBy("ord"))))
     return i.select(F.col("industry").alias("name"), "ord", r.alias("r")).where(F.col("r").isNotNull())
 
 
@@ -49,7 +50,7 @@ def correlations(spark, sf_dir: str) -> DataFrame:
     """Correlation of every two nations' returns, and whether it is strong."""
     r = nation_returns(spark, sf_dir)
     other = r.select(F.col("name").alias("other"), "ord", F.col("r").alias("s"))
-    c = r.join(other, "ord").where(F.col("name") < F.col("other")).groupBy("name", "other").agg(F.corr("r", "s").alias("c"), F.count("*").alias("n"))
+    c = r.join(other, "ord").where(F.col("name") < F.col("other")).groupBy("name", "other").agg(correlation("r", "s").alias("c"), F.count("*").alias("n"))
     return c.select("name", "other", "n", F.round("c", 6).alias("c"), (F.abs("c") >= 0.7).alias("strong"))
 
 
@@ -111,7 +112,7 @@ def portfolio_summary(spark, sf_dir: str) -> DataFrame:
     """Per customer: cost, value at the current price, profit and its share of cost."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
-    price = F.coalesce("p_retailprice", F.col("l_extendedprice") / F.col("l_quantity"))
+    price = F.coalesce("p_retailprice", F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")))
     g = j.groupBy("o_custkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("cost"), F.round(F.sum(F.col("l_quantity") * price), 2).alias("value"), F.countDistinct("l_partkey").alias("n_positions"))
     return g.select("o_custkey", "cost", "value", "n_positions", F.round(F.col("value") - F.col("cost"), 2).alias("pnl"), F.round(100 * F.try_divide(F.col("value") - F.col("cost"), F.col("cost")), 4).alias("pnl_pct"))
 
@@ -154,7 +155,7 @@ def symbol_search(spark, sf_dir: str) -> DataFrame:
 
 def quotes(spark, sf_dir: str) -> DataFrame:
     """Price of each part by priority of source: latest open line, latest returned line, list price."""
-    li = table(spark, sf_dir, "lineitem").withColumn("p", F.col("l_extendedprice") / F.col("l_quantity"))
+    li = table(spark, sf_dir, "lineitem").withColumn("p", F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")))
     last = li.groupBy("l_partkey").agg(*[F.max(F.when(c, F.struct("l_shipdate", "p"))).alias(n) for n, c in (("a", F.col("l_linestatus") == "O"), ("b", F.col("l_returnflag") == "R"))])
     j = table(spark, sf_dir, "part").join(last, F.col("p_partkey") == F.col("l_partkey"), "left")
     return j.select("p_partkey", F.round(F.coalesce("a.p", "b.p", "p_retailprice"), 9).alias("price"), F.when(F.col("a").isNotNull(), "open").when(F.col("b").isNotNull(), "returned").otherwise("list").alias("source"))
