@@ -229,3 +229,16 @@ def test_cells_find_what_comparing_all_finds(spark):
     assert cells.probes <= len(cells.centres) // 4
     exact, found = ({(r.query_id, r.vec_id) for r in f.collect()} for f in (retrieval.nearest(near.where("vec_id % 50 = 0"), near), retrieval.nearest_in_cells(near.where("vec_id % 50 = 0"), near, cells)))
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_latest_valid_date_of_a_name(spark):
+    from tidemark.plans import memory
+
+    names = {
+        "rep_2019-01-05_rev_2021-03-04.pdf": "2021-03-04", "x_2021-02-31_2020-05-06.pdf": "2020-05-06", "600519_2023-12-31_q_20240328": "2024-03-28", "2019_2020_01_05": "2020-01-05", "a20190105b": "2019-01-05",
+        "120190105": None, "201901055": None, "19990101": None, "2019-0105 x": "2019-01-05", "201901-05": "2019-01-05", "2019/01/05": None, "2019--01-05": None, "": None, "2024-02-29": "2024-02-29", "2023-02-29": None, "x": None,
+    }
+    df = spark.createDataFrame([*[(n,) for n in names], (None,)], "name string")
+    pieces, date = memory.latest_date(df.name)
+    got = {r.name: r.d and r.d.isoformat() for r in df.withColumn("_pieces", pieces).select("name", date.alias("d")).collect()}
+    assert got == names | {None: None}

@@ -2,29 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
 from ..session import scratch_path, table
 
-#: A date within a file's name, with or without separators, not part of a longer number.
-NAME_DATE = r"(?:^|[^0-9])(20[0-9]{2})[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)"
+
+
+def latest_date(name: Column) -> tuple[Column, Column]:
+    """(pieces, date): the first is to be a column `_pieces` before the second is taken.
+
+    The date is the latest valid date of 2000 to 2099 in a name; null if there is none.
+
+    The name is taken apart into runs of digits and what lies between them.  A date's eight digits are one run, or year, month and day
+    are runs of their own, or two of them together, with one of - _ . between runs.  All are looked at, wherever they begin.
+    """
+    pieces = F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    lengths = ((8,), (4, 4), (6, 2), (4, 2, 2))
+
+    def at(i: Column) -> Column:
+        found = []
+        for shape in lengths:
+            runs = [F.get(F.col("_pieces"), i + 2 * k) for k in range(len(shape))]
+            fits = F.lit(True)
+            for k, n in enumerate(shape):
+                fits = fits & (F.length(runs[k]) == n) & runs[k].rlike("^[0-9]")
+                if k:
+                    fits = fits & F.get(F.col("_pieces"), i + 2 * k - 1).isin("-", "_", ".")
+            digits = F.concat(*runs)
+            day = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
+            found.append(F.when(fits & digits.startswith("20"), day.try_cast("date")))
+        return F.greatest(*found)
+
+    return pieces, F.array_max(F.transform(F.sequence(F.lit(0), F.size("_pieces") - 1), at))
 
 
 def publish_dates(spark, sf_dir: str) -> DataFrame:
-    """The publish date of each file and where it comes from: an override, else its name, else unknown.
+    """The publish date of each file and where it comes from: an override, else the latest valid date of its name, else unknown.
 
-    Files are named after orders (20 years later), in three spellings; every fifth has no date and every seventh an override.
+    Files are named after orders (20 years later), in three spellings; every fifth has no date, every fourth also the end of the
+    period it reports, before or after its date, every ninth a date that does not exist, and every seventh an override.
     """
+    k = F.col("o_orderkey")
     day = F.add_months(F.col("o_orderdate").cast("date"), 240)
-    spelt = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "yyyy.MM.dd"))
-    name = F.concat(F.lit("note_"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(spelt, F.lit("_"))).otherwise(""), F.lit("n"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
-    f = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), F.when(F.col("o_orderkey") % 7 == 0, F.date_add(day, 1)).alias("override"))
-    part = lambda i: F.regexp_extract("name", NAME_DATE, i)
-    named = F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")
-    source = F.when(F.col("override").isNotNull(), "override").when(named.isNotNull(), "filename").otherwise("unknown")
-    return f.select("o_orderkey", "name", F.coalesce("override", named).alias("publish_date"), source.alias("source"))
+    spelt = F.when(k % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "yyyy.MM.dd"))
+    period = F.date_format(F.last_day(F.add_months(day, -3)), "yyyy-MM-dd")
+    parts = [
+        F.lit("note"), F.when((k % 4 == 0) & (k % 8 == 0), F.concat(F.lit("rep_"), period)), F.when(k % 9 == 0, F.lit("2031-02-31")), F.when(k % 5 != 0, spelt),
+        F.when((k % 4 == 0) & (k % 8 != 0), F.concat(F.lit("rep_"), period)), F.concat(F.lit("n"), k.cast("string"), F.lit(".pdf")),
+    ]
+    f = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("_", *parts).alias("name"), F.when(k % 7 == 0, F.date_add(day, 1)).alias("override"))
+    pieces, named = latest_date(F.col("name"))
+    f = f.withColumn("_pieces", pieces).withColumn("named", named)
+    source = F.when(F.col("override").isNotNull(), "override").when(F.col("named").isNotNull(), "filename").otherwise("unknown")
+    return f.select("o_orderkey", "name", F.coalesce("override", "named").alias("publish_date"), source.alias("source"))
 
 
 def asked(spark, sf_dir: str) -> DataFrame:
@@ -97,10 +129,15 @@ QUERIES = {
 }
 
 SQL = {
-    "publish_dates": f"""WITH o AS (SELECT o_orderkey AS k, (o_orderdate::DATE + INTERVAL 240 MONTH)::DATE AS day FROM orders),
-        f AS (SELECT k, 'note_' || CASE WHEN k % 5 <> 0 THEN CASE k % 3 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN strftime(day, '%Y%m%d') ELSE strftime(day, '%Y.%m.%d') END || '_' ELSE '' END || 'n' || k || '.pdf' AS name, CASE WHEN k % 7 = 0 THEN day + 1 END AS override FROM o),
-        p AS (SELECT *, try_cast(regexp_extract(name, '{NAME_DATE}', 1) || '-' || regexp_extract(name, '{NAME_DATE}', 2) || '-' || regexp_extract(name, '{NAME_DATE}', 3) AS DATE) AS named FROM f)
-        SELECT k AS o_orderkey, name, coalesce(override, named) AS publish_date, CASE WHEN override IS NOT NULL THEN 'override' WHEN named IS NOT NULL THEN 'filename' ELSE 'unknown' END AS source FROM p""",
+    "publish_dates": r"""WITH o AS (SELECT o_orderkey AS k, (o_orderdate::DATE + INTERVAL 240 MONTH)::DATE AS day FROM orders),
+        f AS (SELECT k, concat_ws('_', 'note', CASE WHEN k % 8 = 0 THEN 'rep_' || strftime(last_day((day - INTERVAL 3 MONTH)::DATE), '%Y-%m-%d') END, CASE WHEN k % 9 = 0 THEN '2031-02-31' END,
+            CASE WHEN k % 5 <> 0 THEN CASE k % 3 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN strftime(day, '%Y%m%d') ELSE strftime(day, '%Y.%m.%d') END END,
+            CASE WHEN k % 8 = 4 THEN 'rep_' || strftime(last_day((day - INTERVAL 3 MONTH)::DATE), '%Y-%m-%d') END, 'n' || k || '.pdf') AS name, CASE WHEN k % 7 = 0 THEN day + 1 END AS override FROM o),
+        c AS (SELECT k, substr(name, i, n) AS s, substr(name, i - 1, 1) AS before, substr(name, i + n, 1) AS after
+              FROM f, range(1, 60) p(i), range(8, 11) l(n) WHERE i + n <= length(name) + 1 AND substr(name, i, 2) = '20'),
+        g AS (SELECT k, max(try_cast(substr(d, 1, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7, 2) AS DATE)) AS named FROM (
+              SELECT k, regexp_replace(s, '[-_.]', '', 'g') AS d FROM c WHERE regexp_full_match(s, '[0-9]{4}[-_.]?[0-9]{2}[-_.]?[0-9]{2}') AND NOT regexp_full_match(before, '[0-9]') AND NOT regexp_full_match(after, '[0-9]')) GROUP BY k)
+        SELECT k AS o_orderkey, name, coalesce(override, named) AS publish_date, CASE WHEN override IS NOT NULL THEN 'override' WHEN named IS NOT NULL THEN 'filename' ELSE 'unknown' END AS source FROM f LEFT JOIN g USING (k)""",
     "reranked_vectors": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity,
           round(20 * list_cosine_similarity(q.embedding[1:16]::DOUBLE[], v.embedding[1:16]::DOUBLE[]) - 10, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
         f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS k FROM s)
