@@ -62,6 +62,21 @@ def combine(long: DataFrame, weights: dict[str, tuple[float, int]], min_coverage
     return scored.groupBy("d", "code").agg(F.try_divide(F.sum(F.col("weight") * F.col("direction") * F.col("z")), F.sum("weight")).alias("score"), F.count("weight").cast("long").alias("n_factors"))
 
 
+def contributions(df: DataFrame, weights: dict[str, tuple[float, int]], by: list[str], top: int = 3) -> DataFrame:
+    """df with `score` and `contributions`: of each row's factors, standardised within `by`, the signed parts weight * direction * z.
+
+    score is their sum over the weights of the factors that the row has; contributions are the `top` greatest by magnitude, then by name, as an
+    array of (factor, value).  Factors stay side by side, so a row is never taken apart.
+    """
+    z = df
+    for n in weights:
+        z = zscore(z.withColumn(f"_{n}", F.col(n)), f"_{n}", by)
+    parts = F.filter(F.array(*[F.struct((-F.abs(w * d * F.col(f"_{n}"))).alias("size"), F.lit(n).alias("factor"), (w * d * F.col(f"_{n}")).alias("value"), F.lit(float(w)).alias("weight")) for n, (w, d) in weights.items()]), lambda x: x["value"].isNotNull())
+    total = lambda c: F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x[c])
+    named = F.transform(F.slice(F.array_sort("_parts"), 1, top), lambda x: F.struct(x["factor"].alias("factor"), x["value"].alias("value")))
+    return z.withColumn("_parts", parts).withColumn("score", F.try_divide(total("value"), total("weight"))).withColumn("contributions", named).drop("_parts", *[f"_{n}" for n in weights])
+
+
 def average_rank(x: str, by: list[str]) -> Column:
     """Rank with ties averaged, nulls apart."""
     w = Window.partitionBy(*by).orderBy(x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import frame
@@ -29,23 +29,23 @@ def bands(panel: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """code, ord, macd, signal: exponential means seeded with the first price; the signal starts at bar `slow`.
 
-    The recursion runs over one code's calendar at a time, which bounds the group.
+    The recursion is an aggregate over a code's prices in order, which are as many as the calendar has periods.
     """
+    held = "struct<e1:double,e2:double,s:double,n:int,out:array<struct<ord:bigint,macd:double,signal:double>>>"
 
-    def run(pdf):
-        pdf = pdf.sort_values("ord")
-        line, sig, e1, e2, s = [], [], None, None, None
-        for i, p in enumerate(pdf.px):
-            e1 = p if e1 is None else e1 + 2 / (fast + 1) * (p - e1)
-            e2 = p if e2 is None else e2 + 2 / (slow + 1) * (p - e2)
-            m = e1 - e2
-            if i >= slow - 1:
-                s = m if s is None else s + 2 / (signal + 1) * (m - s)
-            line.append(m)
-            sig.append(m if s is None else s)
-        return pdf[["code", "ord"]].assign(macd=line, signal=sig)
+    def step(a, x):
+        p = x["px"]
+        e1 = F.coalesce(a["e1"] + 2 / (fast + 1) * (p - a["e1"]), p)
+        e2 = F.coalesce(a["e2"] + 2 / (slow + 1) * (p - a["e2"]), p)
+        m = e1 - e2
+        s = F.when(a["n"] >= slow - 1, F.coalesce(a["s"] + 2 / (signal + 1) * (m - a["s"]), m))
+        row = F.struct(x["ord"].cast("bigint").alias("ord"), m.alias("macd"), F.coalesce(s, m).alias("signal"))
+        return F.struct(e1.alias("e1"), e2.alias("e2"), s.alias("s"), (a["n"] + 1).alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
 
-    return panel.where(F.col("px").isNotNull()).select("code", "ord", "px").groupBy("code").applyInPandas(run, "code long, ord long, macd double, signal double")
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("e1"), none.alias("e2"), none.alias("s"), F.lit(0).alias("n"), F.array().cast("array<struct<ord:bigint,macd:double,signal:double>>").alias("out")).cast(held)
+    prices = panel.where(F.col("px").isNotNull()).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("ord", "px"))).alias("l"))
+    return prices.select("code", F.explode(F.aggregate("l", start, step, lambda a: a["out"])).alias("r")).select("code", "r.*")
 
 
 def extrema(panel: DataFrame, reach: int = 5) -> DataFrame:
@@ -66,28 +66,77 @@ def volume_profile(panel: DataFrame, buckets: int = 40, top: float = 0.2) -> Dat
     return v.withColumn("dense", rank <= int(buckets * top))
 
 
+def zones(levels: Column, tolerance: float = 0.015) -> Column:
+    """Zones of an array of levels (px, tag, ...) in order: a price joins while within tolerance of the last zone's running mean.
+
+    An array of (total, lo, hi, touches, tags): the level is total over touches.  The order decides, so this is an aggregate over the array.
+    """
+    kind = "array<struct<total:double,lo:double,hi:double,touches:bigint,tags:array<string>>>"
+
+    def step(found, x):
+        last = F.get(found, F.size(found) - 1)
+        joins = F.coalesce(F.abs(x["px"] - last["total"] / last["touches"]) / F.greatest(x["px"], F.lit(1e-9)) <= tolerance, F.lit(False))
+        own = F.struct(x["px"].alias("total"), x["px"].alias("lo"), x["px"].alias("hi"), F.lit(1).cast("bigint").alias("touches"), F.array(x["tag"]).alias("tags"))
+        more = F.struct((last["total"] + x["px"]).alias("total"), last["lo"].alias("lo"), x["px"].alias("hi"), (last["touches"] + 1).alias("touches"), F.concat(last["tags"], F.array(x["tag"])).alias("tags"))
+        return F.when(joins, F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(found, F.array(own)))
+
+    return F.aggregate(levels, F.array().cast(kind), step)
+
+
 def level_zones(levels: DataFrame, tolerance: float = 0.015) -> DataFrame:
-    """Zones of sorted prices: a price joins while within tolerance of the zone's running mean: code, level (the mean), lo, hi, touches, strength.
+    """code, level (a zone's mean), lo, hi, touches, strength of levels (code, px, tag: the method that names it); strength counts a zone's distinct tags.
 
-    levels: code, px, tag (the method that names it); strength counts a zone's distinct tags.  The order
-    decides, so a code's prices are gone through in a task; there are a few dozen.
+    A code has a few dozen levels.
     """
+    named = levels.where(F.col("px").isNotNull()).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("px", "tag"))).alias("l"))
+    z = named.select("code", F.explode(zones(F.col("l"), tolerance)).alias("z"))
+    return z.select("code", (F.col("z.total") / F.col("z.touches")).alias("level"), "z.lo", "z.hi", "z.touches", F.size(F.array_distinct("z.tags")).cast("bigint").alias("strength"))
 
-    def run(pdf):
-        import pandas as pd
-
-        zones: list[tuple[list[float], set[str]]] = []
-        for p, tag in sorted(zip(pdf.px, pdf.tag, strict=True)):
-            held = zones[-1][0] if zones else []
-            if held and abs(p - sum(held) / len(held)) / max(p, 1e-9) <= tolerance:
-                held.append(p)
-                zones[-1][1].add(tag)
-            else:
-                zones.append(([p], {tag}))
-        rows = [(pdf.code.iloc[0], sum(z) / len(z), z[0], z[-1], len(z), len(tags)) for z, tags in zones]
-        return pd.DataFrame(rows, columns=["code", "level", "lo", "hi", "touches", "strength"])
-
-    return levels.where(F.col("px").isNotNull()).select("code", "px", "tag").groupBy("code").applyInPandas(run, "code long, level double, lo double, hi double, touches long, strength long")
+
+def confirmed_levels(bars: DataFrame, back: int = 120, reach: int = 5, buckets: int = 40, tolerance: float = 0.015, near: int = 6, top: int = 3) -> DataFrame:
+    """Supports and resistances that several kinds of evidence name: code, side, place (1: nearest), level, lo, hi, strength, touches, tags.
+
+    bars: code, ord, high, low, close, vol; only traded ones, of which the last `back` of a code count.  Evidence: lows (highs) that are the
+    least (greatest) of the bars around them; buckets of the typical price, (high + low + close) / 3, with the most volume; means of the last 20, 60
+    and 120 closes; the range's ends.  Of the `near` zones nearest to the last close on a side, the `top` strongest stay.
+    A code with fewer than 2 * reach + 5 bars has none.
+
+    The bars are read once: swings are window frames over a code's bars, all else two aggregates.
+    """
+    by = Window.partitionBy("code").orderBy("ord")
+    w = bars.withColumn("_back", F.row_number().over(Window.partitionBy("code").orderBy(F.col("ord").desc()))).where(F.col("_back") <= back)
+    around, all_of_them = by.rowsBetween(-reach, reach), Window.partitionBy("code")
+    full = F.count("*").over(around) == 2 * reach + 1
+    w = w.select(
+        "code", "ord", "close", "vol", "_back", F.min("low").over(all_of_them).alias("_lo"), F.max("high").over(all_of_them).alias("_hi"), F.count("*").over(all_of_them).alias("_n"), ((F.col("high") + F.col("low") + F.col("close")) / 3).alias("_typical"),
+        F.when(full & (F.col("low") == F.min("low").over(around)), F.col("low")).alias("_trough"), F.when(full & (F.col("high") == F.max("high").over(around)), F.col("high")).alias("_peak"),
+    ).where(F.col("_n") >= 2 * reach + 5)
+    wide = (F.col("_hi") - F.col("_lo")) / buckets
+    w = w.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(F.try_divide(F.col("_typical") - F.col("_lo"), wide))).cast("int"))
+    level = lambda px, tag: F.struct(px.alias("px"), F.lit(tag).alias("tag"))
+    # A row for each bucket first, so that the volumes and the rest come of one pass.
+    some = lambda c, tag: F.collect_list(F.when(F.col(c).isNotNull(), level(F.col(c), tag)))
+    part = w.groupBy("code", "_bucket").agg(
+        F.sum("vol").alias("vol"), F.first("_lo").alias("lo"), F.first("_hi").alias("hi"), F.first("_n").alias("n"), some("_trough", "trough").alias("troughs"), some("_peak", "peak").alias("peaks"),
+        *[F.sum(F.when(F.col("_back") <= k, F.col("close"))).alias(f"s{k}") for k in (20, 60, 120)], F.max(F.when(F.col("_back") == 1, F.col("close"))).alias("now"),
+    )
+    g = part.groupBy("code").agg(
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"), F.flatten(F.collect_list("troughs")).alias("troughs"), F.flatten(F.collect_list("peaks")).alias("peaks"),
+        *[F.sum(f"s{k}").alias(f"s{k}") for k in (20, 60, 120)], F.max("now").alias("now"), F.array_sort(F.collect_list(F.when(F.col("_bucket").isNotNull(), F.struct((-F.col("vol")).alias("v"), F.col("_bucket").alias("b"))))).alias("v"),
+    )
+    dense = F.when(F.col("hi") > F.col("lo"), F.transform(F.slice("v", 1, max(1, buckets // 5)), lambda x: level(F.col("lo") + (x["b"] + 0.5) * ((F.col("hi") - F.col("lo")) / buckets), "volume"))).otherwise(F.slice("troughs", 1, 0))
+    means = F.filter(F.array(*[level(F.when(F.col("n") >= k, F.col(f"s{k}") / k), f"ma{k}") for k in (20, 60, 120)]), lambda x: x["px"].isNotNull())
+    ends = F.array(level(F.col("lo"), "range_low"), level(F.col("hi"), "range_high"))
+    rounded = F.transform(F.concat("troughs", "peaks", dense, means, ends), lambda x: F.struct(F.round(x["px"], 9).alias("px"), x["tag"].alias("tag")))
+    z = g.select("code", "now", F.explode(zones(F.array_sort(rounded), tolerance)).alias("z"))
+    z = z.select("code", F.round("now", 6).alias("now"), F.round(F.col("z.total") / F.col("z.touches"), 6).alias("level"), F.round("z.lo", 6).alias("lo"), F.round("z.hi", 6).alias("hi"), "z.touches", F.array_sort(F.array_distinct("z.tags")).alias("tags"))
+    side = F.when(F.col("level") < F.col("now"), "support").when(F.col("level") > F.col("now"), "resistance")
+    z = z.withColumn("side", side).where("side is not null").withColumn("strength", F.size("tags").cast("bigint")).withColumn("_far", F.abs(F.col("level") - F.col("now")))
+    each = Window.partitionBy("code", "side")
+    z = z.withColumn("_k", F.row_number().over(each.orderBy("_far", "level"))).where(F.col("_k") <= near)
+    z = z.withColumn("_s", F.row_number().over(each.orderBy(F.col("strength").desc(), "_k"))).where(F.col("_s") <= top)
+    place = F.row_number().over(each.orderBy("_k")).cast("bigint")
+    return z.select("code", "side", place.alias("place"), "level", "lo", "hi", "strength", "touches", F.array_join("tags", ",").alias("tags"))
 
 
 def risk_metrics(panel: DataFrame, per_year: int = 52, confidence: float = 0.95) -> DataFrame:

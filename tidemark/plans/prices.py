@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as ind
 from ..operators.asof import backward_asof
-from ..operators.panel import frame
-from ..session import table
+from ..operators.panel import bars, frame
+from ..session import stored, table
 from .market import ALL, ATTRIBUTES, PANEL, attributes, exposures, month_ends, the_panel
 from .pit import SQL as PIT
 from .pit import value_factors
@@ -127,7 +127,7 @@ def price_levels(spark, sf_dir: str) -> DataFrame:
     """
     p = the_panel(spark, sf_dir).where(~F.col("suspended")).select("code", "ord", "px", "vol", "suspended")
     last = F.row_number().over(Window.partitionBy("code").orderBy(F.col("ord").desc()))
-    p = p.withColumn("back", last).where(F.col("back") <= LEVEL_BACK)
+    p = stored(p.withColumn("back", last).where(F.col("back") <= LEVEL_BACK), "level-bars")
     swings = ind.extrema(p).select("code", "px", F.col("kind").alias("tag"))
     edges = p.groupBy("code").agg(F.min("px").alias("lo"), F.max("px").alias("hi"))
     full = ind.volume_profile(p).where("dense").join(edges, "code").where("hi > lo")
@@ -142,6 +142,11 @@ def price_levels(spark, sf_dir: str) -> DataFrame:
     return z.select("code", F.round("level", 6).alias("level"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "touches", "strength", side.alias("side"))
 
 
+def price_zones(spark, sf_dir: str) -> DataFrame:
+    """Supports and resistances by evidence from highs, lows and typical prices."""
+    return ind.confirmed_levels(bars(table(spark, sf_dir, "lineitem")).where("close is not null").withColumnRenamed("d", "ord"), LEVEL_BACK)
+
+
 def factor_exposure(spark, sf_dir: str) -> DataFrame:
     """Each supplier's reversal at asked days: of the day's cross-section, or of the last one before that has it, with its rank there."""
     e = exposures(spark, sf_dir).where(F.col("reversal_20").isNotNull()).select("code", "d", F.round("reversal_20", 9).alias("v"))
@@ -180,6 +185,7 @@ QUERIES = {
     "mark_to_market": mark_to_market,
     "relative_performance": relative_performance,
     "price_levels": price_levels,
+    "price_zones": price_zones,
     "factor_exposure": factor_exposure,
     "fundamentals_snapshot": fundamentals_snapshot,
     "listing_union": listing_union,
@@ -234,6 +240,25 @@ SQL = {
           FROM r JOIN o ON o.code = r.code AND o.i = r.i + 1),
         g AS (SELECT code, z, avg(px) AS level, min(px) AS lo, max(px) AS hi, count(*) AS touches, count(DISTINCT tag) AS strength FROM r GROUP BY code, z)
         SELECT g.code, round(level, 6) AS level, round(lo, 6) AS lo, round(hi, 6) AS hi, touches, strength, CASE WHEN level < p.px THEN 'support' WHEN level > p.px THEN 'resistance' ELSE 'at' END AS side FROM g JOIN p ON p.code = g.code AND back = 1""",
+    "price_zones": f"""WITH RECURSIVE {PANEL}, q AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS back FROM bars),
+        p AS (SELECT *, count(*) OVER (PARTITION BY code) AS n FROM q WHERE back <= {LEVEL_BACK} QUALIFY n >= 15),
+        ed AS (SELECT code, min(low) AS lo, max(high) AS hi, max(n) AS n, max(close) FILTER (WHERE back = 1) AS now FROM p GROUP BY code),
+        w AS (SELECT code, low, high, low = min(low) OVER c AND count(*) OVER c = 11 AS t, high = max(high) OVER c AND count(*) OVER c = 11 AS u FROM p WINDOW c AS (PARTITION BY code ORDER BY d ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+        v AS (SELECT code, lo, hi, least(39, floor(((high + low + close) / 3 - lo) / ((hi - lo) / 40)))::INT AS bucket, sum(vol) AS vol FROM p JOIN ed USING (code) WHERE hi > lo GROUP BY ALL),
+        cand AS (SELECT code, low AS px, 'trough' AS tag FROM w WHERE t UNION ALL SELECT code, high, 'peak' FROM w WHERE u
+          UNION ALL SELECT code, lo + (bucket + 0.5::DOUBLE) * ((hi - lo) / 40), 'volume' FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY vol DESC, bucket) AS k FROM v) WHERE k <= 8
+          UNION ALL SELECT code, avg(close), 'ma' || k FROM p, (VALUES (20), (60), (120)) m(k) WHERE back <= k AND n >= k GROUP BY code, k
+          UNION ALL SELECT code, lo, 'range_low' FROM ed UNION ALL SELECT code, hi, 'range_high' FROM ed),
+        o AS (SELECT code, px, tag, row_number() OVER (PARTITION BY code ORDER BY px, tag) AS i FROM (SELECT code, round(px, 9) AS px, tag FROM cand)),
+        r(code, i, z, total, n, px, tag) AS (
+          SELECT code, i, 1, px, 1, px, tag FROM o WHERE i = 1
+          UNION ALL SELECT o.code, o.i, CASE WHEN abs(o.px - total / n) / greatest(o.px, 1e-9) <= 0.015 THEN z ELSE z + 1 END,
+            CASE WHEN abs(o.px - total / n) / greatest(o.px, 1e-9) <= 0.015 THEN total + o.px ELSE o.px END, CASE WHEN abs(o.px - total / n) / greatest(o.px, 1e-9) <= 0.015 THEN n + 1 ELSE 1 END, o.px, o.tag
+          FROM r JOIN o ON o.code = r.code AND o.i = r.i + 1),
+        g AS (SELECT code, round(avg(px), 6) AS level, round(min(px), 6) AS lo, round(max(px), 6) AS hi, count(*) AS touches, count(DISTINCT tag) AS strength, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM r GROUP BY code, z),
+        s AS (SELECT g.*, CASE WHEN level < round(now, 6) THEN 'support' ELSE 'resistance' END AS side, row_number() OVER (PARTITION BY g.code, level < round(now, 6) ORDER BY abs(level - round(now, 6)), level) AS k FROM g JOIN ed USING (code) WHERE level <> round(now, 6)),
+        t AS (SELECT *, row_number() OVER (PARTITION BY code, side ORDER BY strength DESC, k) AS best FROM s WHERE k <= 6)
+        SELECT code, side, row_number() OVER (PARTITION BY code, side ORDER BY k) AS place, level, lo, hi, strength, touches, tags FROM t WHERE best <= 3""",
     "factor_exposure": f"""{ALL}, e AS (SELECT code, d, v, round(percent_rank() OVER (PARTITION BY d ORDER BY v), 6) AS rank FROM (SELECT code, d, round(reversal_20, 9) AS v FROM expo WHERE reversal_20 IS NOT NULL)),
         a AS (SELECT code, as_of FROM attr, (VALUES (DATE '1996-06-15'), (DATE '1998-12-31'), (DATE '2003-01-01')) t(as_of))
         SELECT a.code, as_of, e.d AS used, round(v, 6) AS value, rank FROM a ASOF LEFT JOIN e ON a.code = e.code AND a.as_of >= e.d""",
