@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
-
 
 def clean(x: Column) -> Column:
     """Null for NaN and infinities: missing is never zero and never NaN."""
@@ -79,6 +77,6 @@ def covered(raw: str | Column, value: Column, first: int, last: int = 0, share:
 
 
 def panel(lines: DataFrame) -> DataFrame:
-    """The dense panel with px, the filled close.  Bars are stored, as calendar, listings and rows all come of them: lines are read once."""
-    b = stored(bars(lines), "bars")
+    """The dense panel with px, the filled close.  Calendar, listings and rows all come of the bars, whose exchange Spark reuses; measured, that is cheaper than storing them."""
+    b = bars(lines)
     return densify(b, calendar(b)).withColumn("px", filled("close"))

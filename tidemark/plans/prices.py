@@ -34,9 +34,9 @@ def seeded_batch(spark, sf_dir: str) -> DataFrame:
     return b.select("code", "d", "suspended", F.round("filled", 9).alias("filled"), F.round("factor", 6).alias("factor"), F.round(F.when(~F.col("suspended"), F.col("close") * F.col("factor")), 9).alias("adjusted"))
 
 
-def index_series(spark, sf_dir: str) -> DataFrame:
+def index_series(spark, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
     """Per period: the volume-weighted index close, total value, value held (returned lines; a code without any holds 0), and price over a tenth of a year's amount."""
-    p = the_panel(spark, sf_dir).join(attributes(spark, sf_dir).select("code", "shares"), "code")
+    p = (the_panel(spark, sf_dir) if panel is None else panel).join(attributes(spark, sf_dir).select("code", "shares"), "code")
     g = p.groupBy("ord", "d", "month_end").agg(
         F.try_divide(F.sum("amount"), F.sum("vol")).alias("close"), F.sum(F.col("px") * F.col("shares")).alias("mv"), F.sum(F.coalesce(F.col("returned") * F.col("px"), F.lit(0.0))).alias("held"), F.sum("amount").alias("amount"),
     )
@@ -81,12 +81,12 @@ def macro_indicators(spark, sf_dir: str) -> DataFrame:
     return both.select("month", *[F.round(c, 6).alias(c) for c in INDICATORS])
 
 
-def held_shares(spark, sf_dir: str) -> DataFrame:
+def held_shares(spark, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
     """code, ord, d, px, shares held through each period: at month ends 1,000 of money in each of the 20 largest by amount, every other code then 0; between them the last holding.
 
     What is not named at a rebalance is sold: 0 is filled in before the last value is carried forward.
     """
-    p = the_panel(spark, sf_dir).select("code", "ord", "d", "px", "low", "amount", "month_end")
+    p = (the_panel(spark, sf_dir) if panel is None else panel).select("code", "ord", "d", "px", "low", "amount", "month_end")
     rank = F.row_number().over(Window.partitionBy("ord").orderBy(F.col("amount").desc(), "code"))
     named = F.when(F.col("month_end"), F.when((rank <= 20) & (F.col("px") > 0), 1000 / F.col("px")).otherwise(0.0))
     so_far = Window.partitionBy("code").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
@@ -105,10 +105,11 @@ def mark_to_market(spark, sf_dir: str) -> DataFrame:
 def relative_performance(spark, sf_dir: str) -> DataFrame:
     """The holdings' returns against the index's, dates with both alone (none is filled in): active return, tracking error, information ratio, drawdown and Calmar ratio."""
     by_code = Window.partitionBy("code").orderBy("ord")
-    h = held_shares(spark, sf_dir).withColumn("s0", F.lag("shares").over(by_code)).withColumn("p0", F.lag("px").over(by_code))
+    p = stored(the_panel(spark, sf_dir), "performance-panel")
+    h = held_shares(spark, sf_dir, p).withColumn("s0", F.lag("shares").over(by_code)).withColumn("p0", F.lag("px").over(by_code))
     mine = h.groupBy("ord").agg(F.try_divide(F.sum(F.col("s0") * F.col("px")), F.sum(F.when(F.col("px").isNotNull(), F.col("s0") * F.col("p0")))).alias("f")).where("f is not null").select("ord", (F.col("f") - 1).alias("r"))
     one = Window.partitionBy(F.lit(0)).orderBy("ord")  # a row per period
-    index = index_series(spark, sf_dir).select("ord", (F.try_divide(F.col("close"), F.lag("close").over(one)) - 1).alias("b")).where("b is not null")
+    index = index_series(spark, sf_dir, p).select("ord", (F.try_divide(F.col("close"), F.lag("close").over(one)) - 1).alias("b")).where("b is not null")
     j = mine.join(index, "ord").withColumn("a", F.col("r") - F.col("b")).withColumn("value", F.exp(F.sum(F.ln(1 + F.col("r"))).over(one.rowsBetween(Window.unboundedPreceding, 0))))
     j = j.withColumn("dd", 1 - F.try_divide(F.col("value"), F.greatest(F.max("value").over(one.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))))
     g = j.agg(F.count("*").alias("n"), (52 * F.avg("r")).alias("annual_return"), (52 * F.avg("a")).alias("active_return"), (F.stddev_samp("a") * 52**0.5).alias("tracking_error"), F.max("dd").alias("max_drawdown"))
