@@ -35,3 +35,17 @@ def test_filter_has_every_key_of_two_documents(spark, range_lines):
     # The filter is sized by the repeated lines, not by all.
     more = docs.unionByName(spark.range(5000, 25000).selectExpr("id AS doc_id", "concat('a line found nowhere else: ', id) AS text"))
     assert ld.twice_filter(more, range_lines=1 << 20).packed.size <= ld.twice_filter(docs, range_lines=1 << 20).packed.size
+
+
+def test_many_rows_without_an_id(spark):
+    """Rows of one null id are one document; what each text loses is gathered by text."""
+    rng = np.random.default_rng(2)
+    shared = [f"a passage number {i} that many documents hold" for i in range(300)]
+    rows = [(None, "\n".join(shared[k] for k in rng.choice(300, 5))) for _ in range(400)] + [(d, "\n".join(shared[d : d + 40])) for d in range(0, 260, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS h", "8 AS _h", "9 AS _oh").repartition(6)
+    got = ld.dedup_lines(docs)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(by_hand_lines(rows), key=str)
+    gone = ld.lost_lines(docs.select("doc_id", "text"), 20, 3, ld.MAX_BITS)
+    assert gone.where("size(_gone) > 40").count() == 0 and gone.where("_id is null").count() > 300
+    nulls = docs.where("doc_id is null")
+    assert sorted(r.text for r in ld.dedup_lines(nulls).collect()) == sorted(t for d, t in rows if d is None)

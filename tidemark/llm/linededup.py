@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ..session import aside, few, scratch, stored
 
 BITS_PER_LINE, MAX_BITS, PROBES = 8, 1 << 30, 4
-#: Lines of a range of hashes, ranges at most, and hashes that a task gathers before it deals them.
-RANGE_LINES, MOST_RANGES, GATHERED = 1 << 18, 4096, 1 << 18
+#: Lines of a range of hashes, ranges at most (16 MB of filter each at 10^12 lines), and hashes that a task gathers for each range, and at least, before it deals them.
+RANGE_LINES, MOST_RANGES, GATHERED, LEAST_GATHERED = 1 << 18, 1 << 16, 64, 1 << 18
 
 
 def line_keys(text: str | None, least: int = 20) -> list[bytes]:
@@ -78,7 +78,7 @@ def _dealt(n_ranges: int, least: int):
                 keys = set(line_keys(text.as_py(), least))
                 keys.discard(b"")
                 hashes.extend(map(digest, keys))
-                if len(hashes) > GATHERED:
+                if len(hashes) > max(LEAST_GATHERED, GATHERED * n_ranges):
                     yield given(hashes)
                     hashes = []
         if hashes:
@@ -87,6 +87,15 @@ def _dealt(n_ranges: int, least: int):
     return run
 
 
+def held(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether all bits of each row of positions are set."""
+    return ((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
+def put(packed: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(packed, at.ravel() >> 3, np.left_shift(1, at.ravel() & 7).astype(np.uint8))
+
+
 def _suspected(bits: int):
     """Rows sorted by range to a row per range: the hashes that its once-seen filter met again."""
 
@@ -102,11 +111,11 @@ def _suspected(bits: int):
                 if r != now:
                     if again:
                         yield row()
-                    now, seen, again = r, np.zeros(bits, bool), []
+                    now, seen, again = r, np.zeros(bits // 8, np.uint8), []
                 h = np.frombuffer(once.as_buffer(), np.uint64)
                 at = positions(h, bits)
-                met = h[seen[at].all(axis=1)]
-                seen[at] = True
+                met = h[held(seen, at)]
+                put(seen, at)
                 own = np.frombuffer(twice.as_buffer(), np.uint64)
                 if len(met) or len(own):
                     again.append(np.union1d(met, own))
@@ -125,9 +134,9 @@ def _packed(bits: int):
         for batch in batches:
             out = []
             for hashes in batch.column("hashes"):
-                part = np.zeros(bits, bool)
-                part[positions(np.frombuffer(hashes.as_buffer(), np.uint64), bits)] = True
-                out.append(np.packbits(part).tobytes())
+                part = np.zeros(bits // 8, np.uint8)
+                put(part, positions(np.frombuffer(hashes.as_buffer(), np.uint64), bits))
+                out.append(part.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("range"), pa.array(out, pa.binary())], names=["range", "bits"])
 
     return run
@@ -142,7 +151,7 @@ class Filter:
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         n, size = self.packed.shape
         at, row = positions(hashes, size * 8), ranges_of(hashes, n)[:, None]
-        return ((self.packed[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+        return ((self.packed[row, at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
 
 
 def twice_filter(docs: DataFrame, least: int = 20, max_bits: int = MAX_BITS, range_lines: int = RANGE_LINES) -> Filter:
@@ -165,7 +174,7 @@ def twice_filter(docs: DataFrame, least: int = 20, max_bits: int = MAX_BITS, ran
 
 
 def _suspects(shared, least: int):
-    """(doc_id, digest) of each key that the twice-seen filter holds, once per row."""
+    """(doc_id, h, digest) of each key that the twice-seen filter holds, once per row; h is the hash of the row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
@@ -181,7 +190,8 @@ def _suspects(shared, least: int):
                 continue
             found = np.flatnonzero(twice.holds(np.frombuffer(b"".join(map(xxhash.xxh64_digest, keys)), dtype=">u8").astype(np.uint64)))
             digests = pa.array([xxhash.xxh3_128_digest(keys[i]) for i in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.asarray(row, dtype=np.int64)[found])), digests], names=["doc_id", "digest"])
+            of = pa.array(np.asarray(row, dtype=np.int64)[found])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("h").take(of), digests], names=["doc_id", "h", "digest"])
 
     return run
 
@@ -215,22 +225,28 @@ def dedup_lines(docs: DataFrame, least: int = 20, in_docs: int = 3, max_bits: in
     A key of at least `least` code points held by `in_docs` or more documents keeps its lines in the
     largest doc_id alone.
     """
-    docs, back = aside(docs.drop("n_lines", "n_dropped"), ("_id", "_gone"))
+    docs, back = aside(docs.drop("n_lines", "n_dropped"), ("_id", "_oh", "_h", "_gone"))
     with scratch() as s:
         gone = s.keep(stored(lost_lines(docs, least, in_docs, max_bits), "line-gone"))
-    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_gone")
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_oh"))
+    joined = docs.withColumn("_h", F.xxhash64("text")).join(gone, own, "left").select(*docs.columns, "_gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
     return joined.mapInArrow(_drop(least), schema).withColumnsRenamed(back)
 
 
 def lost_lines(docs: DataFrame, least: int, in_docs: int, max_bits: int) -> DataFrame:
-    """(_id, _gone): the digests of the keys that a document loses."""
+    """(_id, _oh, _gone): the digests of the keys that a text of a document loses.
+
+    They are gathered by doc_id and text, so that many rows under one doc_id, or under none, are not one group: a set is no larger than its text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, least, max_bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    suspects = stored(docs.select("doc_id", "text").mapInArrow(_suspects(shared, least), f"doc_id {kind}, digest binary").distinct(), "line-suspects")
-    confirmed = suspects.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= in_docs).select("digest", "keeper")
+    found = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_suspects(shared, least), f"doc_id {kind}, h long, digest binary").distinct()
+    suspects = stored(found, "line-suspects")
+    held_by = suspects.select("doc_id", "digest").distinct()
+    confirmed = held_by.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= in_docs).select("digest", "keeper")
     losers = suspects.join(few(stored(confirmed, "line-confirmed"), 200_000), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return losers.groupBy("doc_id").agg(F.collect_set("digest").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    return losers.groupBy("doc_id", "h").agg(F.collect_set("digest").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "h": "_oh"})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
