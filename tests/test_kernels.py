@@ -242,3 +242,44 @@ def test_latest_valid_date_of_a_name(spark):
     pieces, date = memory.latest_date(df.name)
     got = {r.name: r.d and r.d.isoformat() for r in df.withColumn("_pieces", pieces).select("name", date.alias("d")).collect()}
     assert got == names | {None: None}
+
+
+def test_cache_readers_keep_what_they_began_with(spark, monkeypatch):
+    import datetime
+
+    from tidemark.sources import cache
+
+    rows = lambda v, months=(1, 2): spark.createDataFrame([("a", datetime.date(2024, m, 5), 1, v, "s1") for m in months], "factor string, d date, code long, value double, snapshot string")
+    seen = lambda df: sorted((r.d.month, r.value) for r in df.collect())
+    c = cache.FactorCache(spark, scratch_path(spark, "test-manifest"))
+    first = c.put(rows(1.0))
+    reader = c.read()
+    c.put(rows(2.0, (2,)))
+    assert seen(reader) == [(1, 1.0), (2, 1.0)] == seen(c.read(version=first)) and seen(c.read()) == [(1, 1.0), (2, 2.0)]
+    # A writer that dies after its rows are down, and before the manifest is, changes nothing.
+    with monkeypatch.context() as m:
+        m.setattr(cache.Versions, "publish", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            c.put(rows(3.0))
+    assert seen(c.read()) == [(1, 1.0), (2, 2.0)]
+    # Within the grace time nothing goes; after it, the dead writer's rows alone, as the newest manifest names both other writes.
+    assert c.prune(3600) == 0 and seen(reader) == [(1, 1.0), (2, 1.0)]
+    assert c.prune(0) == 1 and seen(c.read()) == [(1, 1.0), (2, 2.0)]
+    c.put(rows(4.0))
+    assert c.prune(0) == 2 and seen(c.read()) == [(1, 4.0), (2, 4.0)] and len(c.versions.kept()) == 1
+    c.drop_orphans(spark.createDataFrame([], "snapshot string"))
+    assert c.read().count() == 0 and c.build(rows(0.0).select("factor", "d"), spark.createDataFrame([("s1",)], "snapshot string"), lambda days: rows(5.0)) == 2
+    assert seen(c.read()) == [(1, 5.0), (2, 5.0)]
+
+
+def test_versions_are_kept_for_a_while(spark):
+    v = Versions(spark, scratch_path(spark, "test-retention"))
+    assert v.prune(1, 0) == [] and v.kept() == []
+    names = [v.publish(spark.range(i + 1)) for i in range(4)]
+    assert v.prune(2, 3600) == [] and v.kept() == names[::-1]
+    v.rollback(names[0])
+    assert v.prune(2, 0) == [names[2], names[1]] and v.kept() == [names[0], names[3]] and v.read().count() == 1
+    for missing in (names[1], "v-never"):
+        with pytest.raises(ValueError):
+            v.rollback(missing)
+    assert v.current() == names[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cross_section as xs
 from ..operators import factors as fac
-from ..session import scratch_path, table
+from ..session import few, scratch, scratch_path, stored, table
 from ..sources import cache
 from .market import ALL, FACTORS, MONTH, PANEL, RETURNS, exposures, month_ends, the_panel
 
@@ -35,10 +35,11 @@ def announcements(spark, sf_dir: str) -> DataFrame:
     return days.withColumn("rank", rank.cast("long")).where("rank <= 5")
 
 
-def cached(spark, sf_dir: str):
-    """The cache of two factors at month ends: rows of before 1998 from an old snapshot, of 1999 from one no longer valid, some lost."""
+def cached(spark, sf_dir: str, keep: bool = False):
+    """(values, cache, valid snapshots): the cache of two factors at month ends: rows of before 1998 from an old snapshot, of 1999 from one no longer valid, some lost."""
     f = month_ends(fac.price_factors(the_panel(spark, sf_dir), ("month_end",)))
     long = f.select("code", "d", F.explode(F.create_map(F.lit("reversal_20"), F.col("reversal_20"), F.lit("max_ret_20"), F.col("max_ret_20"))).alias("factor", "value"))
+    long = stored(long, "factor-values") if keep else long  # computed once
     snapshot = F.when(F.year("d") < 1998, "s1").when(F.year("d") == 1999, "gone").otherwise("s2")
     lost = (F.col("code") == 3) & (F.month("d") == 6)
     return long, long.where(~lost & (F.year("d") < 2000)).withColumn("snapshot", snapshot), spark.createDataFrame([("s1",), ("s2",)], "snapshot string")
@@ -55,10 +56,11 @@ def cache_missing(spark, sf_dir: str) -> DataFrame:
 
 def cache_build(spark, sf_dir: str) -> DataFrame:
     """The cache written as tables, its missing days computed and added, rows of the snapshot no longer valid dropped; read back for one factor and all, by a window of dates."""
-    long, kept, valid = cached(spark, sf_dir)
-    c = cache.FactorCache(spark, scratch_path(spark, "factor-cache"))
-    c.put(kept)
-    c.build(long.where(F.year("d") < 2001), valid, lambda days: long.join(days, ["factor", "d"]).withColumn("snapshot", F.lit("s2")))
+    with scratch():
+        long, kept, valid = cached(spark, sf_dir, keep=True)
+        c = cache.FactorCache(spark, scratch_path(spark, "factor-cache"))
+        c.put(kept)
+        c.build(long.where(F.year("d") < 2001), valid, lambda days: long.join(few(days), ["factor", "d"]).withColumn("snapshot", F.lit("s2")))
     c.drop_orphans(valid)
     both = c.read(["reversal_20"], "1996-03-01", "2000-06-30").unionByName(c.read(["max_ret_20"], since="1999-01-01"))
     return both.withColumn("value", F.round("value", 6))

@@ -75,10 +75,42 @@ class Versions:
         self._append(version, affected)
         return version
 
+    def exists(self, version: str) -> bool:
+        fs, path = self._path(version)
+        return fs.exists(path)
+
     def rollback(self, version: str) -> None:
-        """Point to an earlier publication again; nothing is rewritten."""
+        """Point to an earlier publication again; nothing is rewritten.  A version that was never published, or has been pruned, is an error."""
+        log = self._log()
+        if log is None or not log.where(F.col("version") == version).limit(1).count() or not self.exists(version):
+            raise ValueError(f"no version {version}")
         self._append(version, None)
 
+    def kept(self) -> list[str]:
+        """Versions whose data are there, the newest publication first."""
+        log = self._log()
+        last = log.groupBy("version").agg(F.max("number").alias("n")).orderBy(F.col("n").desc()).select("version").collect() if log is not None else []
+        return [r.version for r in last if self.exists(r.version)]
+
+    def prune(self, keep: int = 5, grace_seconds: float = 86_400.0) -> list[str]:
+        """Delete the data of all but the `keep` versions published last; the versions deleted.
+
+        The current one always stays, and so does one that was current within the grace time, as readers may still hold it.
+        The ledger stays whole: it says when the deleted ones were current.
+        """
+        log = self._log()
+        if log is None:
+            return []
+        until = F.lead("published").over(Window.partitionBy(F.lit(0)).orderBy("number"))  # a row per publication
+        last = log.withColumn("until", until).groupBy("version").agg(F.max("number").alias("n"), F.max(F.coalesce("until", F.lit("9999-12-31").cast("timestamp"))).alias("until"))
+        limit = datetime.now(UTC).timestamp() - grace_seconds
+        old = [r.version for r in last.select("version", "n", F.unix_micros("until").alias("until")).orderBy(F.col("n").desc()).collect()[max(keep, 1) :] if r.until / 1e6 <= limit]
+        gone = [v for v in old if self.exists(v)]
+        for v in gone:
+            fs, path = self._path(v)
+            fs.delete(path, True)
+        return gone
+
     def read(self, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{version or self.current()}")
 
