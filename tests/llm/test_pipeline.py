@@ -2,7 +2,6 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_packing import check_places, pieces_by_hand
-from test_simhash import brute_components
 
 import corpus_pipeline as cp
 from tidemark.llm import linededup, simhash
@@ -22,13 +21,36 @@ def by_hand_lines(rows):
     return out
 
 
+def similar_roots(texts, k=5, similarity=0.8):
+    """{text: root}: what pairs of texts with 0.8 of their shingles in common connect; texts of the same words are alike."""
+    words = {t: b" ".join((t or "").encode().lower().split()) for t in texts}
+    sets = {w: frozenset(simhash.shingle_hashes(w.decode(), k).tolist()) for w in words.values()}
+    parent = {w: w for w in sets}
+
+    def root(w):
+        while parent[w] != w:
+            w = parent[w]
+        return w
+
+    held = {}
+    for w, s in sets.items():
+        for x in sorted(s)[: len(s) // 5 + 1]:  # two texts at 0.8 share one of these
+            held.setdefault(x, []).append(w)
+    for group in held.values():
+        for i, u in enumerate(group):
+            for v in group[:i]:
+                both = len(sets[u] & sets[v])
+                if root(u) != root(v) and both >= similarity * (len(sets[u]) + len(sets[v]) - both):
+                    parent[root(u)] = root(v)
+    return {t: root(w) for t, w in words.items()}
+
+
 def by_hand_near(rows):
-    fp = {doc: simhash.simhash(text) for doc, text in rows}
-    root = brute_components(set(fp.values()))
+    root = similar_roots({t for _, t in rows})
     least = {}
-    for doc, _ in rows:
-        least[root[fp[doc]]] = min(least.get(root[fp[doc]], doc), doc)
-    return [(d, t) for d, t in rows if least[root[fp[d]]] == d]
+    for doc, text in rows:
+        least[root[text]] = min(least.get(root[text], doc), doc)
+    return [(d, t) for d, t in rows if least[root[t]] == d]
 
 
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
@@ -73,13 +95,12 @@ def test_repeated_and_null_ids(spark):
     lines = cp.stored(cp.drop_lines(spark, docs, SF), "again-lines")
     assert table(lines) == sorted(by_hand_lines(rows), key=str)
     left = table(lines)
-    fp = {t: simhash.simhash(t) for _, t in left}
-    root = brute_components(set(fp.values()))
+    root = similar_roots({t for _, t in left})
     kept = cp.stored(cp.drop_near_duplicates(spark, lines, SF), "again-near")
     found = table(kept)
-    assert sorted(root[fp[t]] for _, t in found) == sorted({root[f] for f in fp.values()})
+    assert sorted(root[t] for _, t in found) == sorted(set(root.values()))
     for d, t in found:
-        assert (d is None, d or 0) == min((e is None, e or 0) for e, u in left if root[fp[u]] == root[fp[t]])
+        assert (d is None, d or 0) == min((e is None, e or 0) for e, u in left if root[u] == root[t])
     mixed = cp.stored(cp.mix_sources(spark, kept, SF), "again-mix")
     rows = cp.pack_sequences(spark, mixed, SF).collect()
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == pieces_by_hand(table(mixed))

@@ -120,3 +120,38 @@ def test_keep_one_loses_no_component_whatever_the_partitions(spark):
         assert all((d, t) in rows for d, t in kept)
         seen.add(tuple(sorted(kept, key=str)))
     assert len(seen) == 1
+
+
+def test_keep_similar_finds_edited_copies_and_leaves_others(spark):
+    from test_pipeline import similar_roots
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = " ".join(word() for _ in range(50))
+    texts = []
+    for n, copies in ((60, 2), (120, 3), (400, 150), (1500, 2), (90, 40)):
+        base = [word() for _ in range(n)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, n // 60))):
+                w[rng.randrange(n)] = word()
+            texts.append(" ".join(w))
+    texts += [passage + " " + " ".join(word() for _ in range(rng.randint(10, 60))) for _ in range(150)]
+    texts += [" ".join(word() for _ in range(rng.randint(0, 90))) for _ in range(200)] + ["", None, " ", "One two", "one  TWO\n", "a b c d e", "a b c d f", "x " * 30000, "x " * 29000]
+    rng.shuffle(texts)
+    rows = [(rng.choice((None, i, i, i, i)), t) for i, t in enumerate(texts)] + [(3, texts[0]), (3, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS _h", "3 AS h", "4 AS minima", "5 AS u").repartition(6)
+    kept = sh.keep_similar(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    root = similar_roots({t for _, t in rows})
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(root[t], []).append((d is None, d or 0))
+    # What is dropped always has a kept one in its group, which is the first; of what is to go, hardly anything stays.
+    assert {root[t] for _, t in found} == set(groups)
+    assert all(min(m) in {(d is None, d or 0) for d, t in found if root[t] == r} for r, m in groups.items())
+    assert len(found) - len(groups) <= 0.05 * (len(rows) - len(groups))
+    assert sh.keep_similar(docs.limit(0)).count() == 0
+    nulls = sh.keep_similar(docs.where("text is null or trim(text) = ''"))
+    assert nulls.count() == 1

@@ -11,6 +11,11 @@ key, and all of those are within 2 bits, so the work stays linear in the nodes h
 
 Components come from alternating star contraction on the links, every round written to the shared folder.
 
+`keep_similar` is for texts that share most of their shingles (0.8 of those of two) and whose fingerprints may so differ in ten bits, more
+than any segments that are long enough tell apart.  It takes its candidates from the same index and from BANDS keys of MINIMA least
+hashes of the shingles each; of the nodes under a key, all are compared with the least and the greatest alone, so that
+candidates are a few for each node; and every candidate is verified by the shingles of both texts.
+
 Defined results: null or empty texts have fingerprint 0 and link like others; repeated rows are
 copies; a component of null ids alone has a null id; an empty table gives no rows; further columns are not read.
 """
@@ -53,7 +58,11 @@ def shingle_digests(words: list[bytes], k: int, seed: int = 42) -> bytes:
 
 def simhash(text: str | None, k: int = 3) -> int:
     """The signed 64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
-    digests = np.frombuffer(shingle_digests(py_lower_words(text), k), np.uint8).reshape(-1, 8)
+    return _majority(shingle_digests(py_lower_words(text), k))
+
+
+def _majority(raw: bytes) -> int:
+    digests = np.frombuffer(raw, np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(digests), 1 << 15):
         ones += np.unpackbits(digests[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
@@ -150,10 +159,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def _labelled(fps: DataFrame) -> DataFrame:
+def _labelled(fps: DataFrame, linked=links) -> DataFrame:
     """(fp, lo, root) of every distinct fp: its least doc_id and the least fp that links reach."""
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("lo")), "simhash-nodes")
-    roots = components(links(nodes))
+    roots = components(linked(nodes))
     return stored(nodes.join(few(roots.withColumnRenamed("node", "fp"), FEW_KEYS), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")), "simhash-roots")
 
 
@@ -167,13 +176,12 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     return fps.join(chosen, "fp").select("doc_id", "fp", "component_id")
 
 
-def unkept(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(doc_id, h, lost, n) of the rows that do not simply stay: those that go, and those that stay once though found n times.
+def unkept(fps: DataFrame, linked=links) -> DataFrame:
+    """fps: doc_id, h, fp.  (doc_id, h, lost, n) of the rows that do not simply stay: those that go, and those that stay once though found n times.
 
     A component keeps its first row by doc_id (null after all others), fp and h.
     """
-    fps = stored(fingerprints(docs, k), "simhash-fp")
-    labelled = _labelled(fps)
+    labelled = _labelled(fps, linked)
     by_root = labelled.groupBy("root").agg(F.min(F.struct(F.col("lo").isNull().alias("nil"), "lo", "fp")).alias("v"))
     first = by_root.select("root", F.col("v.lo").alias("keep_id"), F.col("v.fp").alias("keep_fp"))
     keepers = stored(labelled.join(first, "root").select("fp", "keep_id", "keep_fp"), "simhash-keepers")
@@ -199,7 +207,13 @@ def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
     """
     moved, back = aside(docs, ("_id", "_h", "_oh"))
     with scratch() as s:
-        odd = s.keep(stored(unkept(docs.select("doc_id", "text"), k), "simhash-unkept"))
+        fps = stored(fingerprints(docs, k), "simhash-fp")
+        odd = s.keep(stored(unkept(fps), "simhash-unkept"))
+    return _without(moved, odd).withColumnsRenamed(back)
+
+
+def _without(moved: DataFrame, odd: DataFrame) -> DataFrame:
+    """The rows without those that unkept() names as lost, and with one row of each that stays once."""
     named = lambda d: few(d.select(F.col("doc_id").alias("_id"), F.col("h").alias("_oh")), FEW_KEYS)
     own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_oh"))
     hashed = moved.withColumn("_h", F.xxhash64("text"))
@@ -207,7 +221,110 @@ def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
     again = odd.where("not lost")
     if again.limit(1).count():
         out = out.unionByName(hashed.join(named(again), own, "left_semi").dropDuplicates(["doc_id", "_h"]))
-    return out.drop("_h").withColumnsRenamed(back)
+    return out.drop("_h")
+
+
+#: Keys of a text's least hashes, hashes of each, and the part of them that a candidate pair is to have in common.
+BANDS, MINIMA, ALIKE = 8, 3, 0.5
+#: Odd multipliers, one for each order of the hashes.
+ORDERS = np.random.default_rng(11).integers(1 << 62, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    return np.unique(np.frombuffer(shingle_digests(py_lower_words(text), k), ">u8").astype(np.uint64))
+
+
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The least hash in each of the orders, its upper 32 bits."""
+    out = np.full(len(ORDERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1 << 14):
+        out = np.minimum(out, (h[at : at + (1 << 14), None] * ORDERS).min(axis=0))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def _described(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints, minima = [], [], []
+            for t in batch.column("text"):
+                w = py_lower_words(t.as_py())
+                digests = shingle_digests(w, k)
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(w), 7))
+                prints.append(_majority(digests))
+                minima.append(least_hashes(np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))).tobytes() if w else None)
+            columns = [np.array(nodes, np.uint64).view(np.int64), prints]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pa.array(c, pa.int64()) for c in columns), pa.array(minima, pa.binary())], names=["doc_id", "h", "fp", "bits", "minima"])
+
+    return run
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, key) for each band of a node's least hashes."""
+    for batch in batches:
+        if len(batch):
+            m = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint8).reshape(len(batch), BANDS, 4 * MINIMA)
+            keys = [xxhash.xxh64_intdigest(bytes([b]) + m[i, b].tobytes()) for i in range(len(batch)) for b in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("fp").to_numpy(), BANDS)), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["fp", "key"])
+
+
+def _shingled(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([shingle_hashes(t.as_py(), k).tobytes() for t in batch.column("text")], pa.binary())], names=["fp", "shingles"])
+
+    return run
+
+
+def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / (len(x) + len(y) - both) if both else 0.0)
+    return pa.array(out, pa.float64())
+
+
+def similar_links(docs: DataFrame, described: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(u, v), u < v: candidate nodes whose texts have `similarity` of their k-word shingles in common.  docs have h, the hash of the text."""
+    nodes = stored(described.where("minima is not null").groupBy("fp").agg(F.min("bits").alias("bits"), F.min("minima").alias("minima"), F.min("h").alias("h")), "similar-nodes")
+    keys = stored(nodes.select("fp", "minima").mapInArrow(_banded, "fp long, key long"), "similar-keys")
+    ends = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    each = keys.join(few(stored(ends, "similar-ends"), FEW_KEYS), "key")
+    pairs = each.select("fp", F.explode(F.array("lo", "hi")).alias("other")).where("fp <> other")
+    # The index of one-wildcard variants, on the fingerprints of these shingles; the least node stands for those of one fingerprint.
+    prints = stored(nodes.groupBy("bits").agg(F.min("fp").alias("head")), "similar-prints")
+    alike = nodes.join(few(prints, FEW_KEYS), "bits").where("fp <> head").select("fp", F.col("head").alias("other"))
+    near = links(prints.select(F.col("bits").alias("fp")))
+    named = few(prints, FEW_KEYS)
+    near = near.join(named.select(F.col("bits").alias("u"), F.col("head").alias("fp")), "u").join(named.select(F.col("bits").alias("v"), F.col("head").alias("other")), "v").select("fp", "other")
+    pairs = pairs.unionByName(alike).unionByName(near).select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+    # Most of what shares a key by chance goes by its least hashes; what stays is verified.
+    own = nodes.select("fp", "minima")
+    met = pairs.join(own.select(F.col("fp").alias("u"), F.col("minima").alias("a")), "u").join(own.select(F.col("fp").alias("v"), F.col("minima").alias("b")), "v")
+    common = F.expr(" + ".join(f"if(substring(a, {4 * i + 1}, 4) = substring(b, {4 * i + 1}, 4), 1, 0)" for i in range(BANDS * MINIMA)))
+    pairs = stored(met.where(common >= ALIKE * BANDS * MINIMA).select("u", "v"), "similar-pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    wanted = stored(nodes.select("fp", "h").join(few(ends, FEW_KEYS), "fp", "left_semi"), "similar-wanted")
+    texts = docs.select("h", "text").join(few(wanted, FEW_KEYS), "h")
+    sets = stored(texts.mapInArrow(_shingled(k), "fp long, shingles binary").dropDuplicates(["fp"]), "similar-sets")
+    side = lambda a, c: sets.select(F.col("fp").alias(a), F.col("shingles").alias(c))
+    found = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    return stored(found.where(F.arrow_udf(_similarity, "double")("a", "b") >= similarity).select("u", "v"), "similar-links")
+
+
+def keep_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of texts that verified links connect: the first by doc_id (null after all others), words and a hash of the text.
+
+    Words are lower-cased; texts of the same words are alike whatever lies between; those without words are one group.
+    """
+    moved, back = aside(docs, ("_id", "_h", "_oh"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    with scratch() as s:
+        hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+        described = stored(hashed.mapInArrow(_described(k), f"doc_id {kind}, h long, fp long, bits long, minima binary"), "similar-described")
+        found = similar_links(hashed, described, k, similarity)
+        odd = s.keep(stored(unkept(described.select("doc_id", "h", "fp"), lambda nodes: found), "simhash-unkept"))
+    return _without(moved, odd).withColumnsRenamed(back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
