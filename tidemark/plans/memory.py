@@ -84,6 +84,13 @@ def memory_search(spark, sf_dir: str) -> DataFrame:
     return hits.groupBy("vec_id").agg(F.count("*").alias("touches"), F.max("similarity").alias("best"), F.min("query_id").alias("first_query"))
 
 
+def memory_admission(spark, sf_dir: str) -> DataFrame:
+    """Memories (the first five places of the vectors, by label as their user, in a shuffled order of arrival), each accepted or rejected as a duplicate of one accepted before."""
+    v = table(spark, sf_dir, "embeddings")
+    m = v.select("vec_id", F.col("label").alias("owner"), F.pmod(F.col("vec_id") * 7919, F.lit(10007)).alias("at"), F.slice("embedding", 1, 5).alias("embedding"))
+    return retrieval.admitted(m)
+
+
 def memory_upkeep(spark, sf_dir: str) -> DataFrame:
     """Memories (events) after upkeep, newest first by user: one user's are cleared, errors of every tenth user deleted, those of users not seen for five days pruned."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
@@ -123,6 +130,7 @@ QUERIES = {
     "nearest_by_cells": nearest_by_cells,
     "reranked_vectors": reranked,
     "memory_search": memory_search,
+    "memory_admission": memory_admission,
     "memory_upkeep": memory_upkeep,
     "profile_merge": profiles,
     "audit_counters": audit_counters,
@@ -144,6 +152,16 @@ SQL = {
         SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f WHERE k <= 50 AND score >= -10) WHERE rank <= 10""",
     "memory_search": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 AND v.label < 5)
         SELECT vec_id, count(*) AS touches, max(similarity) AS best, min(query_id) AS first_query FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS k FROM s) WHERE k <= 10 AND similarity >= 0.2 GROUP BY vec_id""",
+    "memory_admission": """WITH RECURSIVE m AS (SELECT vec_id, label AS owner, (vec_id * 7919) % 10007 AS at_, embedding[1:5]::DOUBLE[] AS e FROM embeddings),
+        o AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY at_, vec_id) AS i FROM m),
+        r(owner, i, vec_id, kept, best) AS (
+          SELECT owner, i, vec_id, [{'e': e, 'a': at_, 'v': vec_id}], NULL::STRUCT(s DOUBLE, a BIGINT, v BIGINT) FROM o WHERE i = 1
+          UNION ALL
+          SELECT owner, i, vec_id, CASE WHEN len(near) = 0 THEN list_append(kept, {'e': e, 'a': at_, 'v': vec_id}) ELSE kept END, near[1] FROM (
+            SELECT o.owner, o.i, o.vec_id, o.e, o.at_, r.kept,
+              list_sort(list_transform(list_filter(r.kept, lambda k: list_cosine_similarity(k.e, o.e) >= 0.85), lambda k: {'s': -round(list_cosine_similarity(k.e, o.e), 6), 'a': k.a, 'v': k.v})) AS near
+            FROM r JOIN o ON o.owner = r.owner AND o.i = r.i + 1))
+        SELECT vec_id, owner, best IS NULL AS accepted, best.v AS duplicate_of, -best.s AS similarity FROM r""",
     "memory_upkeep": """WITH l AS (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY)
         SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events
         WHERE user_id IN (FROM l) AND user_id <> 7 AND NOT (event_type = 'error' AND user_id % 10 = 3)""",
