@@ -32,7 +32,7 @@ CAPACITY = 2048
 #: Items that a task packs at once, rounds at most, and how many tasks' residuals meet in one of the next round.
 BLOCK, ROUNDS, FAN_IN = 50_000, 4, 8
 #: Words, and as many stems, that a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: A bin is done when no more than this part of it is empty.
 NEARLY = 128
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

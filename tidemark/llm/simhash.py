@@ -245,6 +245,7 @@ def least_hashes(h: np.ndarray) -> np.ndarray:
 def _described(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             nodes, prints, minima = [], [], []
             for t in batch.column("text"):
                 w = py_lower_words(t.as_py())
@@ -270,12 +271,14 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([shingle_hashes(t.as_py(), k).tobytes() for t in batch.column("text")], pa.binary())], names=["fp", "shingles"])
 
     return run
 
 
 def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    pa.default_memory_pool().release_unused()
     out = []
     for x, y in zip(a, b, strict=True):
         x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
