@@ -16,9 +16,6 @@ from ..session import few, scratch, stored
 #: Separators in the order they are tried, and sizes in characters.
 SEPARATORS = ("\n\n", "\n", ". ", ", ", " ")
 CHUNK, OVERLAP, LEAST = 500, 50, 30
-#: Query vectors that are sent to tasks at once.
-QUERY_BLOCK = 10_000
-
 #: Patterns of personal data.
 PERSONAL = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -87,47 +84,22 @@ def reranked(found: DataFrame, score: Column, k: int, least: float) -> DataFrame
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k vectors of greatest cosine for every query, itself apart.
 
-    Queries go to tasks in blocks of a fixed size; each task keeps k for each, and those are merged, so what
-    moves is k rows per query and task.
+    Exact: every query meets every vector, in groups of a bounded number of either, each of which gives k for each of its
+    queries.  Neither goes through the driver.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    found = None
-    for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select("vec_id", "embedding").collect()  # about QUERY_BLOCK
-        if not rows:
-            continue
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows]), _unit(np.array([r.embedding for r in rows], np.float64))))
-        part = vectors.select("vec_id", "embedding").mapInArrow(_best(shared, k), "query_id long, vec_id long, similarity double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = queries.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    one = F.lit(0).alias("cell")
+    v = F.col("embedding").cast("array<double>").alias("embedding")
+    asked = queries.select(one, F.col("vec_id").alias("_r"), F.col("vec_id").alias("query_id"), v)
+    held = vectors.select(one, F.col("vec_id").alias("_r"), "vec_id", v)
+    return _ranked(asked, held, k, PIECE)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _best(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
-        for batch in batches:
-            vid = batch.column("vec_id").to_numpy()
-            width = q.shape[1]
-            v = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width))
-            s = np.round(q @ v.T, 6)
-            s[qid[:, None] == vid[None, :]] = -2
-            order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
-            top = np.take_along_axis(s, order, axis=1)
-            keep = top > -2
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep.ravel()]), pa.array(vid[order].ravel()[keep.ravel()]), pa.array(top.ravel()[keep.ravel()])], names=["query_id", "vec_id", "similarity"])
-
-    return run
-
-
 #: Vectors of the sample that cells are fitted on at most, cells at most, sampled queries and the recall wanted of them, and vectors of a piece of a cell.
-CELL_SAMPLE, MOST_CELLS, TRIED, RECALL, PIECE = 20_000, 4096, 500, 0.95, 20_000
+CELL_SAMPLE, MOST_CELLS, TRIED, RECALL, PIECE = 20_000, 4096, 500, 0.95, 4096
 
 
 @dataclass
@@ -207,7 +179,12 @@ def nearest_in_cells(queries: DataFrame, vectors: DataFrame, cells: Cells, k: in
     """
     placed = in_cells(vectors, cells.centres, 1, "vec_id").select("cell", F.col("vec_id").alias("_r"), "vec_id", "embedding")
     asked = stored(in_cells(queries, cells.centres, cells.probes, "query_id").select("cell", F.col("query_id").alias("_r"), "query_id", "embedding"), "cell-queries")
-    left, right, by = dealt(asked, placed, ["cell"], piece)
+    return _ranked(asked, placed, k, piece)
+
+
+def _ranked(asked: DataFrame, held: DataFrame, k: int, piece: int) -> DataFrame:
+    """asked: cell, _r, query_id, embedding; held: cell, _r, vec_id, embedding."""
+    left, right, by = dealt(asked, held, ["cell"], piece)
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         qid, vid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()

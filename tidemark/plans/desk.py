@@ -9,7 +9,7 @@ from ..operators import cross_section as xs
 from ..operators import factors as fac
 from ..session import few, scratch, scratch_path, stored, table
 from ..sources import cache
-from .market import ALL, FACTORS, MONTH, PANEL, RETURNS, exposures, month_ends, the_panel
+from .market import ALL, ATTRIBUTES, FACTORS, MONTH, PANEL, RETURNS, attributes, exposures, month_ends, the_panel
 
 #: Dimension: factor, value scored 0, value scored 100, weight in percent.
 DIMENSIONS = {"momentum_120_20": (-1.0, 1.0, 30), "reversal_20": (-1.0, 1.0, 25), "volatility_60": (2.0, 0.0, 20), "turnover_20": (0.0, 0.1, 15), "max_ret_20": (10.0, 0.0, 10)}
@@ -73,13 +73,20 @@ def cache_range(spark, sf_dir: str) -> DataFrame:
 
 
 def parameter_grid(spark, sf_dir: str) -> DataFrame:
-    """Every combination of three short lists of parameters with its hash: of the canonical JSON, keys in order, 12 digits."""
-    lists = [("cap", "int", (4, 8)), ("cost", "double", (0.0, 0.001, 0.002)), ("n", "int", (10, 20, 40))]
-    grid = None
-    for name, kind, values in lists:
-        one = spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-        grid = one if grid is None else grid.crossJoin(one)  # lists of parameters: a few rows each
-    return grid.withColumn("param_hash", F.substring(F.sha2(F.to_json(F.struct("cap", "cost", "n")), 256), 1, 12))
+    """Every combination of the values that three fields of the data take (region, priority, return flag), as parameters of a run, with its hash: of the canonical JSON, keys in order, 12 digits; and the values of lines under it.
+
+    The fields have a few values each; a list of each is made, and the lists are taken apart in turn.
+    """
+    values = lambda t, c: table(spark, sf_dir, t).agg(F.array_sort(F.collect_set(c)))
+    lists = [("priority", "orders", "o_orderpriority"), ("region", "region", "r_name"), ("returned", "lineitem", "l_returnflag")]
+    grid = spark.range(1)
+    for name, t, c in lists:
+        grid = grid.select("*", F.explode(F.array(*[F.lit(x) for x in values(t, c).first()[0]])).alias(name))  # a few values each
+    grid = grid.select("priority", "region", "returned", F.substring(F.sha2(F.to_json(F.struct("priority", "region", "returned")), 256), 1, 12).alias("param_hash"))
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(attributes(spark, sf_dir), F.col("l_suppkey") == F.col("code"))
+    found = j.groupBy(F.col("o_orderpriority").alias("priority"), F.col("sector").alias("region"), F.col("l_returnflag").alias("returned")).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"), F.count("*").alias("n"))
+    return grid.join(found, ["priority", "region", "returned"], "left").fillna(0, ["n"]).fillna(0.0, ["value"])
 
 
 def industry_attribution(spark, sf_dir: str) -> DataFrame:
@@ -148,6 +155,8 @@ SQL = {
         SELECT factor, d, code, round(value, 6) AS value, snapshot FROM a
         WHERE factor = 'reversal_20' AND d BETWEEN DATE '1996-03-01' AND DATE '2000-06-30' OR factor = 'max_ret_20' AND d >= DATE '1999-01-01'""",
     "factor_cache_range": f"{CACHE} SELECT factor, snapshot, min(d) AS first, max(d) AS last, count(DISTINCT d) AS n_days, count(*) AS n FROM c GROUP BY ALL",
-    "parameter_grid": """SELECT cap, cost, n, substr(sha256('{"cap":' || cap || ',"cost":' || cost || ',"n":' || n || '}'), 1, 12) AS param_hash
-        FROM (VALUES (4), (8)) a(cap), (VALUES (0.0::DOUBLE), (0.001), (0.002)) b(cost), (VALUES (10), (20), (40)) c(n)""",
+    "parameter_grid": f"""WITH {ATTRIBUTES}, g AS (SELECT priority, region, returned FROM (SELECT DISTINCT o_orderpriority AS priority FROM orders), (SELECT DISTINCT r_name AS region FROM region), (SELECT DISTINCT l_returnflag AS returned FROM lineitem)),
+        f AS (SELECT o_orderpriority AS priority, sector AS region, l_returnflag AS returned, round(sum(l_extendedprice), 2) AS value, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN attr ON l_suppkey = code GROUP BY ALL)
+        SELECT g.priority, g.region, g.returned, substr(sha256('{{"priority":"' || g.priority || '","region":"' || g.region || '","returned":"' || g.returned || '"}}'), 1, 12) AS param_hash, coalesce(value, 0) AS value, coalesce(n, 0)::BIGINT AS n
+        FROM g LEFT JOIN f USING (priority, region, returned)""",
 }
