@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat
 
@@ -55,3 +56,21 @@ def test_examples_and_reading_back(spark):
         texts = [w[4] for w in sorted(want, key=str) if w[0] == r.conv_id and w[1] is not None]
         assert (r.n_examples, r.example_chars) == (len(texts), sum(map(len, texts)))
     assert chat.read_back(chat.expand(talks.limit(0))).count() == 0 and chat.expand(talks.limit(0)).count() == 0
+
+
+def test_a_long_conversation_and_none_with_an_id(spark):
+    """3,000 turns over many spans and blocks; and all rows without an id, which are one conversation."""
+    turns = [("assistant" if i % 3 == 2 else "user", f"t{i} <turn: é") for i in range(3000)]
+    rows = [(5, i, r, x) for i, (r, x) in enumerate(turns)] + [(5, None, "system", "first")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS span", "2 AS _k", "3 AS _n").repartition(7)
+    order = [("system", "first"), *turns]
+    replies = "".join(x for r, x in order if r == "assistant")
+    for df in (talks, talks.withColumn("conv_id", F.lit(None).cast("long"))):
+        for span in (50, chat.SPAN):
+            p = chat.placed(df, span)
+            got = {r.position: (r.nth, r.n_all, r.segment) for r in p.collect()}
+            assert got == {i: (sum(r == "assistant" for r, _ in order[:i]), 3001, by_hand_segment(*t)) for i, t in enumerate(order)}
+        (one,) = chat.read_back(chat.expand(df)).collect()
+        assert (one.n_turns, one.n_examples, one.loss_chars) == (3001, 1000, len(replies))
+        assert one.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in order).encode()).hexdigest()
+        assert one.loss_sha256 == hashlib.sha256(replies.encode()).hexdigest()

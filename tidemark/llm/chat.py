@@ -5,7 +5,7 @@ and its loss mask loss_start..loss_end (code points) covers that reply's text al
 does not end with an assistant turn has one more row with all its turns and no mask, so that the output
 holds every turn.  By definition the output grows with the square of a conversation's turns.
 
-Turns are numbered in a window; each then goes to the blocks of BLOCK turns that follow in its conversation,
+Turns are numbered in windows over spans of turn numbers; each then goes to the blocks of BLOCK turns that follow in its conversation,
 and a task streams through a block's turns in order, so that a long conversation's examples are written by
 many tasks, each of which holds one text at a time.
 
@@ -14,8 +14,8 @@ the control strings `<turn:` and `</turn>` get one in front (in roles, `>` too):
 
 Defined results: null role or text is empty; turns are ordered by turn (null first), then role and
 text, so ties and repeated rows have one order; a null conv_id is one conversation; without an
-assistant turn there are no examples, only the row of all turns; an empty table gives no rows; further
-columns are not read.
+assistant turn there are no examples, only the row of all turns; an example is one text, so a conversation
+whose formatted turns exceed the 2^31 - 1 bytes of a cell is an error; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from ..session import stored
 OPEN, CLOSE, TRAINED = "<turn:", "</turn>", "assistant"
 #: Turns of a block, and code points that a batch of written examples holds about.
 BLOCK, WRITTEN_CHARS = 64, 4 << 20
+#: Turn numbers of a span, within which turns are numbered.
+SPAN = 4096
 
 
 def escaped(text: Column) -> Column:
@@ -46,15 +48,27 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL) if "\\" in text else text
 
 
-def placed(conversations: DataFrame) -> DataFrame:
-    """Formatted turns with their position in the conversation, the number of assistant turns before, and the turns in all."""
+def placed(conversations: DataFrame, span: int = SPAN) -> DataFrame:
+    """Formatted turns with their position in the conversation, the number of assistant turns before, and the turns in all.
+
+    Turns are numbered within spans of turn numbers, and a span begins where those before it end: a long conversation is
+    not in one task.
+    """
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit(">"), F.lit("\\>")), F.lit(">\n"))
     body = escaped(F.col("text"))
-    parts = turns.select("conv_id", "turn", "role", "text", F.concat(head, body, F.lit(CLOSE + "\n")).alias("segment"), F.length(head).alias("n_head"), F.length(body).alias("n_body"), (F.col("role") == TRAINED).alias("target"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    nth = F.coalesce(F.sum(F.col("target").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("position"), F.count("*").over(Window.partitionBy("conv_id")).alias("n_all"), nth.alias("nth"), "target", "segment", "n_head", "n_body")
+    at = F.coalesce(F.floor(F.col("turn") / span), F.lit(-(1 << 62)))
+    parts = turns.select("conv_id", at.alias("span"), "turn", "role", "text", F.concat(head, body, F.lit(CLOSE + "\n")).alias("segment"), F.length(head).alias("n_head"), F.length(body).alias("n_body"), (F.col("role") == TRAINED).alias("target"))
+    order = Window.partitionBy("conv_id", "span").orderBy("turn", "role", "text")
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    target = F.col("target").cast("long")
+    own = parts.withColumn("_k", F.row_number().over(order) - 1).withColumn("_t", before(target, order))
+    # A row for each span; those of one conversation are few.
+    ends = turns.select("conv_id", at.alias("span"), (F.col("role") == TRAINED).cast("long").alias("t")).groupBy("conv_id", "span").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    line = Window.partitionBy("conv_id").orderBy("span")
+    begun = ends.select(F.col("conv_id").alias("_id"), F.col("span").alias("_span"), before(F.col("n"), line).alias("_n"), before(F.col("t"), line).alias("_m"), F.sum("n").over(Window.partitionBy("conv_id")).alias("n_all"))
+    found = own.join(begun, F.col("conv_id").eqNullSafe(F.col("_id")) & (F.col("span") == F.col("_span")))
+    return found.select("conv_id", (F.col("_n") + F.col("_k")).cast("long").alias("position"), "n_all", (F.col("_m") + F.col("_t")).alias("nth"), "target", "segment", "n_head", "n_body")
 
 
 def _written(block_turns: int):

@@ -30,7 +30,7 @@ from ..session import stored
 
 CAPACITY = 2048
 #: Items that a task packs at once, rounds at most, and how many tasks' residuals meet in one of the next round.
-BLOCK, ROUNDS, FAN_IN = 50_000, 4, 8
+BLOCK, FAN_IN = 50_000, 8
 #: Words, and as many stems, that a worker remembers.
 REMEMBERED = 400_000
 #: A bin is done when no more than this part of it is empty.
@@ -266,14 +266,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, wit
     fills = pieces.groupBy("bin").agg(F.sum("length").alias("fill"))
     open_bins = stored(fills.where(F.col("fill") < capacity - capacity // NEARLY), "pack-open")
     placed = pieces
-    for level in range(1, ROUNDS):
-        tasks = max(1, tasks // FAN_IN)
+    level = 0
+    while level == 0 or tasks > 1:  # up to the round in which all that is left meets in one task
+        level, tasks = level + 1, max(1, tasks // FAN_IN)
         items = open_bins.select(F.col("bin").alias("item"), F.col("fill").alias("item_length"))
         moved = stored(items.repartition(tasks, F.xxhash64("item")).sortWithinPartitions("item").mapInArrow(_repacked(level, capacity), "item long, up long, up_place long, fill long"), f"pack-{level}")
         placed = placed.join(moved.select("item", "up", "up_place"), F.col("bin") == F.col("item"), "left").withColumn("place", F.col("place") + F.coalesce("up_place", F.lit(0))).withColumn("bin", F.coalesce("up", "bin")).drop("item", "up", "up_place")
-        if tasks == 1:
-            break
-        open_bins = stored(moved.where(F.col("fill") < capacity - capacity // NEARLY).select(F.col("up").alias("bin"), "fill").distinct(), "pack-open")
+        if tasks > 1:
+            open_bins = stored(moved.where(F.col("fill") < capacity - capacity // NEARLY).select(F.col("up").alias("bin"), "fill").distinct(), "pack-open")
     return placed.withColumnRenamed("bin", "sequence_id").withColumnRenamed("place", "offset")
 
 
