@@ -77,3 +77,26 @@ def test_few_bars_and_flat_prices_have_defined_levels(spark):
     assert out and all((r.side == "support") == (r.level < 18.5) for r in out)
     assert max(r.strength for r in out) >= 2 and out[0].lo <= out[0].level <= out[0].hi
     assert indicators.level_zones(df.select("code", F.col("close").alias("px"), F.lit("x").alias("tag")).limit(0)).count() == 0
+
+
+def test_a_universe_is_checked(spark):
+    make = lambda rows: spark.createDataFrame(rows, "d long, code string")
+    good = make([(1, "a"), (1, "b"), (2, "a")])
+    assert xs.checked_universe(good) is good
+    for rows in ([], [(1, None)], [(None, "a")], [(1, "a"), (1, "a")]):
+        with pytest.raises(ValueError):
+            xs.checked_universe(make(rows))
+
+
+def test_alerts_fire_once_in_order_of_time(spark):
+    from tidemark.operators import alerts
+
+    rng = random.Random(4)
+    rules = [(i, rng.choice("ab"), rng.choice((">=", "<=", ">=", "??")), rng.choice((None, float(rng.randrange(20)))), rng.randrange(30), rng.choice((None, None, rng.randrange(40)))) for i in range(120)] + [(500, "a", ">=", 1.0, None, None), (501, None, ">=", 1.0, 0, None)]
+    quotes = [(i, rng.choice("ab"), rng.randrange(40), rng.choice((None, float("nan"), float(rng.randrange(20)), float(rng.randrange(20))))) for i in range(150)]
+    want = {}
+    for r, symbol, op, x, made, gone in rules:
+        hits = [(at, q) for q, s, at, p in quotes if s == symbol and made is not None and at > made and (gone is None or at < gone) and None not in (x, p) and p == p and ((op == ">=" and p >= x) or (op == "<=" and p <= x))]
+        want[r] = (min(hits)[1], "triggered") if hits else (None, "active" if gone is None else "deleted")
+    df = alerts.fired(spark.createDataFrame(rules, "rule_id long, symbol string, op string, x double, created long, deleted long").repartition(3), spark.createDataFrame(quotes, "quote_id long, symbol string, at long, price double"))
+    assert {r.rule_id: (r.quote_id, r.status) for r in df.collect()} == want

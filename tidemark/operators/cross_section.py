@@ -48,6 +48,14 @@ def process(df: DataFrame, x: str, size: str, group: str, by: list[str]) -> Data
     return out.withColumn(x, F.coalesce(F.col(x), F.lit(0.0)))
 
 
+def checked_universe(universe: DataFrame, by: str = "d", code: str = "code") -> DataFrame:
+    """The universe if it can be used: an error if it is empty, has a null code or date, or a code twice on one date, which regressions would weigh twice."""
+    n = universe.groupBy(by, code).agg(F.count("*").alias("n")).agg(F.count("*").alias("n"), F.count_if(F.col(code).isNull() | F.col(by).isNull()).alias("nulls"), F.count_if(F.col("n") > 1).alias("twice")).first()
+    if not n.n or n.nulls or n.twice:
+        raise ValueError(f"the universe is empty, or has {n.nulls} rows without code or date, or {n.twice} codes more than once")
+    return universe
+
+
 def combine(long: DataFrame, weights: dict[str, tuple[float, int]], min_coverage: float = 0.6) -> DataFrame:
     """Weighted sum of direction * z over the factors of a date that cover enough of it (on raw values).
 

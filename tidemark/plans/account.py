@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import alerts
 from ..session import table
 from .market import ALL, PANEL, exposures, the_panel
 
@@ -79,9 +80,26 @@ def permuted_scores(spark, sf_dir: str) -> DataFrame:
     return e.select("d", "code", "k", "score").join(e.select("d", F.col("m").alias("k"), F.col("score").alias("permuted")), ["d", "k"]).select("d", "code", "score", "permuted")
 
 
-QUERIES = {"price_history": price_history, "option_expirations": option_expirations, "paper_account": paper_account, "execution_returns": execution_returns, "permuted_scores": permuted_scores}
+def alert_rules(spark, sf_dir: str) -> DataFrame:
+    """Alerts that users make, delete and leave (signups: a threshold on one of fifty symbols, a third deleted some days later), over quotes (views, clicks): which quote fired each, and what became of it."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value", (F.col("user_id") % 50).alias("symbol"))
+    op = F.when(F.col("event_id") % 2 == 0, ">=").otherwise("<=")
+    x = F.when(F.col("event_id") % 2 == 0, F.col("value") + 60).otherwise(F.col("value") / 20)
+    deleted = F.when(F.col("event_id") % 3 == 0, F.timestamp_add("DAY", (F.col("event_id") % 10).cast("int"), "ts"))
+    rules = e.where("event_type = 'signup'").select(F.col("event_id").alias("rule_id"), "symbol", op.alias("op"), x.alias("x"), F.col("ts").alias("created"), deleted.alias("deleted"))
+    quotes = e.where("event_type IN ('view', 'click')").select(F.col("event_id").alias("quote_id"), "symbol", F.col("ts").alias("at"), F.col("value").alias("price"))
+    return alerts.fired(rules, quotes).select("rule_id", "symbol", "op", "status", "quote_id")
+
+
+QUERIES = {"alert_rules": alert_rules, "price_history": price_history, "option_expirations": option_expirations, "paper_account": paper_account, "execution_returns": execution_returns, "permuted_scores": permuted_scores}
 
 SQL = {
+    "alert_rules": """WITH e AS (SELECT *, user_id % 50 AS symbol FROM events),
+        r AS (SELECT event_id AS rule_id, symbol, CASE WHEN event_id % 2 = 0 THEN '>=' ELSE '<=' END AS op, CASE WHEN event_id % 2 = 0 THEN value + 60 ELSE value / 20 END AS x, ts AS created,
+          CASE WHEN event_id % 3 = 0 THEN ts + to_days((event_id % 10)::INT) END AS deleted FROM e WHERE event_type = 'signup'),
+        h AS (SELECT rule_id, min({'t': ts, 'q': event_id}).q AS quote_id FROM r JOIN e ON e.symbol = r.symbol AND event_type IN ('view', 'click') AND ts > created AND (deleted IS NULL OR ts < deleted)
+          AND CASE WHEN op = '>=' THEN value >= x ELSE value <= x END GROUP BY rule_id)
+        SELECT rule_id, symbol, op, CASE WHEN quote_id IS NOT NULL THEN 'triggered' WHEN deleted IS NOT NULL THEN 'deleted' ELSE 'active' END AS status, quote_id FROM r LEFT JOIN h USING (rule_id)""",
     "price_history": f"""WITH l AS (SELECT l_suppkey AS code, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS source, l_shipdate::DATE AS d, l_quantity AS q, l_extendedprice AS x FROM lineitem),
         g AS (SELECT code, source, d, round(sum(x), 2) / sum(q) AS close FROM l WHERE NOT (code % 4 = 1 AND source = 1) AND NOT (code % 8 = 1 AND source = 2) GROUP BY ALL),
         n AS (SELECT *, count(*) OVER (PARTITION BY code, source) AS n, row_number() OVER (PARTITION BY code, source ORDER BY d DESC) AS back FROM g),
