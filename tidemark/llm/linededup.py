@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import aside, few, scratch, stored
+from .text import forget
 
 BITS_PER_LINE, MAX_BITS, PROBES = 8, 1 << 30, 4
 #: Lines of a range of hashes, ranges at most (16 MB of filter each at 10^12 lines), and hashes that a task gathers for each range, and at least, before it deals them.
@@ -71,6 +72,7 @@ def _dealt(n_ranges: int, least: int):
         return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["range", "once", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes: list[bytes] = []
         digest = xxhash.xxh64_digest
         for batch in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import text as text_
 
 CAPACITY = 2048
 #: Items that a task packs at once, rounds at most, and how many tasks' residuals meet in one of the next round.
@@ -138,10 +139,11 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+text_.REMEMBERED.append(_ENCODERS)
 
 
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a vocabulary file; it lives as long as the worker."""
+    """The worker's encoder for a vocabulary file; it lives until the worker begins another operator's work."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import aside, discard, few, scratch, stored
-from .text import py_lower_words
+from .text import forget, py_lower_words
 
 #: Comparing a node with up to so many under each of its 64 keys costs less than 2,016 rows for it.
 CROWD = 256
@@ -244,6 +244,7 @@ def least_hashes(h: np.ndarray) -> np.ndarray:
 
 def _described(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             pa.default_memory_pool().release_unused()
             nodes, prints, minima = [], [], []

@@ -30,3 +30,13 @@ def py_words(text: str | None) -> list[bytes]:
 def py_lower_words(text: str | None) -> list[bytes]:
     """py_words() with A-Z lower-cased; bytes.lower() touches ASCII alone."""
     return (text or "").encode().lower().split()
+
+
+#: What modules remember in a worker from task to task.
+REMEMBERED: list[dict] = []
+
+
+def forget() -> None:
+    """Called where a worker begins other work: what was remembered for an earlier operator is given back."""
+    for held in REMEMBERED:
+        held.clear()
