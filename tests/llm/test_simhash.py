@@ -1,5 +1,8 @@
+import math
 import random
 
+import pytest
+
 from tidemark.llm import simhash as sh
 
 M = (1 << 64) - 1
@@ -155,3 +158,42 @@ def test_keep_similar_finds_edited_copies_and_leaves_others(spark):
     assert sh.keep_similar(docs.limit(0)).count() == 0
     nulls = sh.keep_similar(docs.where("text is null or trim(text) = ''"))
     assert nulls.count() == 1
+
+
+def test_keep_similar_leaves_out_no_pair_at_the_threshold(spark):
+    from test_pipeline import similar_roots
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(100000)}"
+    hub = [word() for _ in range(200)]
+    texts = [" ".join(hub)]
+    # Each is alike to the hub alone (0.82 to 0.86), and to it by no key's least or greatest node; then pairs at 0.8 and just below.
+    for _ in range(90):
+        at = rng.sample(range(0, 200, 10), 4)
+        texts.append(" ".join(word() if i in at else w for i, w in enumerate(hub)))
+    for lost in (0, 1, 2, 3):
+        for n in (5, 9, 14, 49, 94, 184):
+            base = [word() for _ in range(n)]
+            texts += [" ".join(base), " ".join(base[: n - lost])]
+    chain = [word() for _ in range(120)]
+    for _ in range(40):  # each is alike to the one before
+        texts.append(" ".join(chain))
+        chain[rng.randrange(5, 115)] = word()
+    template = [word() for _ in range(70)]
+    texts += [" ".join(template + [word() for _ in range(20)]) for _ in range(80)]
+    root = similar_roots(set(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    first = {}
+    for d, t in enumerate(texts):
+        first.setdefault(root[t], d)
+    assert sorted(r.doc_id for r in sh.keep_similar(docs).collect()) == sorted(first.values())
+    assert len(first) < len(texts) - 100
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5, 0.9])
+def test_first_shingles_meet(similarity):
+    for n in range(1, 400):
+        for m in range(n, 400):
+            both = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            if both <= n:  # the sizes allow it: what is not shared may all come first
+                assert n - both < sh.first_of(n, similarity) and m - both < sh.first_of(m, similarity)

@@ -12,9 +12,10 @@ key, and all of those are within 2 bits, so the work stays linear in the nodes h
 Components come from alternating star contraction on the links, every round written to the shared folder.
 
 `keep_similar` is for texts that share most of their shingles (0.8 of those of two) and whose fingerprints may so differ in ten bits, more
-than any segments that are long enough tell apart.  It takes its candidates from the same index and from BANDS keys of MINIMA least
-hashes of the shingles each; of the nodes under a key, all are compared with the least and the greatest alone, so that
-candidates are a few for each node; and every candidate is verified by the shingles of both texts.
+than any segments that are long enough tell apart.  It is exact and uses no fingerprints: with all shingles in one order, two such texts have one of their
+first n - ceil(0.8 n) + 1 in common.  These are the keys; under each, all are compared with the least and the greatest
+node, and then whatever is still not connected with one another, so that many near copies do not meet in pairs.  Shingles that
+many texts begin with come last in the order, and every pair is verified by the shingles of both texts.
 
 Defined results: null or empty texts have fingerprint 0 and link like others; repeated rows are
 copies; a component of null ids alone has a null id; an empty table gives no rows; further columns are not read.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import aside, discard, few, scratch, stored
@@ -224,56 +225,58 @@ def _without(moved: DataFrame, odd: DataFrame) -> DataFrame:
     return out.drop("_h")
 
 
-#: Keys of a text's least hashes, hashes of each, and the part of them that a candidate pair is to have in common.
-BANDS, MINIMA, ALIKE = 8, 3, 0.5
-#: Odd multipliers, one for each order of the hashes.
-ORDERS = np.random.default_rng(11).integers(1 << 62, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A shingle that more nodes hold among their first is common: it comes last in the order of shingles.
+COMMON = 64
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.frombuffer(shingle_digests(py_lower_words(text), k), ">u8").astype(np.uint64))
 
 
-def least_hashes(h: np.ndarray) -> np.ndarray:
-    """The least hash in each of the orders, its upper 32 bits."""
-    out = np.full(len(ORDERS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1 << 14):
-        out = np.minimum(out, (h[at : at + (1 << 14), None] * ORDERS).min(axis=0))
-    return (out >> np.uint64(32)).astype(np.uint32)
+def first_of(n: int, similarity: float) -> int:
+    """Of how many first shingles, in any one order, two texts of that similarity have one in common, if n are the text's."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def _described(k: int):
+def _described(k: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             pa.default_memory_pool().release_unused()
-            nodes, prints, minima = [], [], []
+            nodes, sizes, firsts = [], [], []
             for t in batch.column("text"):
                 w = py_lower_words(t.as_py())
-                digests = shingle_digests(w, k)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(w), 7))
-                prints.append(_majority(digests))
-                minima.append(least_hashes(np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))).tobytes() if w else None)
-            columns = [np.array(nodes, np.uint64).view(np.int64), prints]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pa.array(c, pa.int64()) for c in columns), pa.array(minima, pa.binary())], names=["doc_id", "h", "fp", "bits", "minima"])
+                held = np.unique(np.frombuffer(shingle_digests(w, k), ">i8").astype(np.int64))
+                sizes.append(len(held))
+                firsts.append(held[: first_of(len(held), similarity)].tobytes() if w else None)
+            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], names=["doc_id", "h", "fp", "n", "firsts"])
 
     return run
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, key) for each band of a node's least hashes."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, n, key) for each of a node's hashes, of which the last column holds 8 bytes each; in parts, since texts can be long."""
     for batch in batches:
-        if len(batch):
-            m = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint8).reshape(len(batch), BANDS, 4 * MINIMA)
-            keys = [xxhash.xxh64_intdigest(bytes([b]) + m[i, b].tobytes()) for i in range(len(batch)) for b in range(BANDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("fp").to_numpy(), BANDS)), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["fp", "key"])
+        for at in range(0, len(batch), 512):
+            part = batch.slice(at, 512)
+            held = part.column(2).to_pylist()
+            each = [len(x) // 8 for x in held]
+            columns = [np.repeat(part.column(i).to_numpy(), each) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.frombuffer(b"".join(held), np.int64))], names=["fp", "n", "key"])
+
+
+KEYED = "fp long, n long, key long"
 
 
 def _shingled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pa.default_memory_pool().release_unused()
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([shingle_hashes(t.as_py(), k).tobytes() for t in batch.column("text")], pa.binary())], names=["fp", "shingles"])
+            sets = [shingle_hashes(t.as_py(), k) for t in batch.column("text")]
+            columns = [batch.column("fp"), pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "shingles"])
 
     return run
 
@@ -288,32 +291,79 @@ def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def similar_links(docs: DataFrame, described: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(u, v), u < v: candidate nodes whose texts have `similarity` of their k-word shingles in common.  docs have h, the hash of the text."""
-    nodes = stored(described.where("minima is not null").groupBy("fp").agg(F.min("bits").alias("bits"), F.min("minima").alias("minima"), F.min("h").alias("h")), "similar-nodes")
-    keys = stored(nodes.select("fp", "minima").mapInArrow(_banded, "fp long, key long"), "similar-keys")
-    ends = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    each = keys.join(few(stored(ends, "similar-ends"), FEW_KEYS), "key")
-    pairs = each.select("fp", F.explode(F.array("lo", "hi")).alias("other")).where("fp <> other")
-    # The index of one-wildcard variants, on the fingerprints of these shingles; the least node stands for those of one fingerprint.
-    prints = stored(nodes.groupBy("bits").agg(F.min("fp").alias("head")), "similar-prints")
-    alike = nodes.join(few(prints, FEW_KEYS), "bits").where("fp <> head").select("fp", F.col("head").alias("other"))
-    near = links(prints.select(F.col("bits").alias("fp")))
-    named = few(prints, FEW_KEYS)
-    near = near.join(named.select(F.col("bits").alias("u"), F.col("head").alias("fp")), "u").join(named.select(F.col("bits").alias("v"), F.col("head").alias("other")), "v").select("fp", "other")
-    pairs = pairs.unionByName(alike).unionByName(near).select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
-    # Most of what shares a key by chance goes by its least hashes; what stays is verified.
-    own = nodes.select("fp", "minima")
-    met = pairs.join(own.select(F.col("fp").alias("u"), F.col("minima").alias("a")), "u").join(own.select(F.col("fp").alias("v"), F.col("minima").alias("b")), "v")
-    common = F.expr(" + ".join(f"if(substring(a, {4 * i + 1}, 4) = substring(b, {4 * i + 1}, 4), 1, 0)" for i in range(BANDS * MINIMA)))
-    pairs = stored(met.where(common >= ALIKE * BANDS * MINIMA).select("u", "v"), "similar-pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    wanted = stored(nodes.select("fp", "h").join(few(ends, FEW_KEYS), "fp", "left_semi"), "similar-wanted")
-    texts = docs.select("h", "text").join(few(wanted, FEW_KEYS), "h")
-    sets = stored(texts.mapInArrow(_shingled(k), "fp long, shingles binary").dropDuplicates(["fp"]), "similar-sets")
+def _sets(docs: DataFrame, nodes: DataFrame, fps: DataFrame, k: int) -> DataFrame:
+    """(fp, n, shingles) of the nodes fps, one row or more each."""
+    wanted = stored(nodes.select("fp", "h").join(few(fps, FEW_KEYS), "fp", "left_semi"), "similar-wanted")
+    return docs.select("h", "text").join(few(wanted, FEW_KEYS), "h").mapInArrow(_shingled(k), "fp long, n long, shingles binary")
+
+
+def first_keys(docs: DataFrame, nodes: DataFrame, k: int, similarity: float, common: int = COMMON) -> DataFrame:
+    """(fp, n, key): the first shingles of every node, in one order for all: by how many nodes hold them, if common, then by hash."""
+    keys = stored(nodes.select("fp", "n", "firsts").mapInArrow(_keyed, KEYED), "similar-keys")
+    held = lambda rows: stored(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > common), "similar-common")
+    with_any = lambda some: stored(keys.join(few(some.select("key"), FEW_KEYS), "key", "left_semi").select("fp").distinct(), "similar-reordered")
+    all_of = lambda fps: stored(_sets(docs, nodes, fps, k).dropDuplicates(["fp"]).mapInArrow(_keyed, KEYED), "similar-shingles")
+    some = held(keys)
+    if not some.limit(1).count():
+        return keys
+    # Nodes with common shingles hold others that are as common, which would be first in their place.
+    held_there = all_of(with_any(some))
+    often = held(held_there)
+    discard(held_there)
+    moved = with_any(often)
+    every = all_of(moved)
+    ranked = every.join(few(often, FEW_KEYS), "key", "left").withColumn("i", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("c", F.lit(0)), "key")))
+    again = ranked.where(F.expr(f"i <= n - {_rest('n', similarity)}")).select("fp", "n", "key")
+    out = stored(keys.join(few(moved, FEW_KEYS), "fp", "left_anti").unionByName(again), "similar-keys")
+    discard(every)
+    discard(keys)
+    return out
+
+
+def _rest(n: str, similarity: float) -> str:
+    """The shingles that are not among the first_of() n, in SQL."""
+    return f"(ceil({similarity!r}D * {n} - 1e-9D) - 1)"
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(u, v) of met (u, nu, v, nv; a row for each key that both have) whose texts are similar.
+
+    Of the two, the one whose first shingles end earlier in the order has all that it shares of them among these keys; the others are
+    its rest.  So what shares too few keys for its sizes is no pair, and is not compared.
+    """
+    counted = met.groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("c"))
+    could = F.expr(f"c + greatest({_rest('nu', similarity)}, {_rest('nv', similarity)}) >= {similarity / (1 + similarity)!r}D * (nu + nv) - 1e-6D")
+    pairs = stored(counted.where(could).select("u", "v"), "similar-pairs")
+    sets = stored(_sets(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), k).dropDuplicates(["fp"]), "similar-sets")
     side = lambda a, c: sets.select(F.col("fp").alias(a), F.col("shingles").alias(c))
     found = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
-    return stored(found.where(F.arrow_udf(_similarity, "double")("a", "b") >= similarity).select("u", "v"), "similar-links")
+    found = stored(found.where(F.arrow_udf(_similarity, "double")("a", "b") >= similarity).select("u", "v"), "similar-links")
+    discard(sets)
+    return found
+
+
+def similar_links(docs: DataFrame, described: DataFrame, k: int, similarity: float, common: int = COMMON) -> DataFrame:
+    """(u, v), u < v: links between nodes whose texts have `similarity` of their k-word shingles in common; they connect all that such pairs connect.
+
+    docs have h, the hash of the text.
+    """
+    nodes = stored(described.where("firsts is not null").groupBy("fp").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.min("firsts").alias("firsts")), "similar-nodes")
+    keys = first_keys(docs, nodes, k, similarity, common)
+    ends = keys.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).where("lo.fp < hi.fp")
+    shared = stored(keys.join(few(stored(ends, "similar-ends"), FEW_KEYS), "key").selectExpr("key", "fp", "n", "lo", "hi"), "similar-shared")
+    sizes = F.expr(f"least(nu, nv) >= {similarity!r}D * greatest(nu, nv) - 1e-6D")
+    # First each with the least and the greatest node under a key: what is many times alike is so connected in few comparisons.
+    star = shared.select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.explode(F.array("lo", "hi")).alias("y")).where("x <> y.fp")
+    ordered = star.selectExpr("least(x, y.fp) AS u", "if(x < y.fp, nx, y.n) AS nu", "greatest(x, y.fp) AS v", "if(x < y.fp, y.n, nx) AS nv")
+    first = _verified(docs, nodes, ordered.where(sizes), k, similarity)
+    # Then all with all that are not yet connected: a pair left out here is a pair without a key in common, or in one component.
+    roots = stored(components(first), "similar-roots")
+    placed = shared.select("key", "fp", "n").join(few(roots.withColumnRenamed("node", "fp"), FEW_KEYS), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    apart = stored(placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key"), "similar-apart")
+    left = stored(placed.join(few(apart, FEW_KEYS), "key", "left_semi"), "similar-left")
+    side = lambda i: left.select("key", F.col("fp").alias(i), F.col("n").alias(f"n{i}"), F.col("root").alias(f"r{i}"))
+    met = side("u").join(side("v"), "key").where("u < v and ru <> rv").where(sizes).select("u", "nu", "v", "nv")
+    return first.unionByName(_verified(docs, nodes, met, k, similarity))
 
 
 def keep_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -325,7 +375,7 @@ def keep_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     with scratch() as s:
         hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-        described = stored(hashed.mapInArrow(_described(k), f"doc_id {kind}, h long, fp long, bits long, minima binary"), "similar-described")
+        described = stored(hashed.mapInArrow(_described(k, similarity), f"doc_id {kind}, h long, fp long, n long, firsts binary"), "similar-described")
         found = similar_links(hashed, described, k, similarity)
         odd = s.keep(stored(unkept(described.select("doc_id", "h", "fp"), lambda nodes: found), "simhash-unkept"))
     return _without(moved, odd).withColumnsRenamed(back)
