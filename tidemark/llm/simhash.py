@@ -25,14 +25,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import aside, discard, few, scratch, stored
+from .linededup import BITS_PER_LINE, MAX_BITS, MOST_RANGES, RANGE_LINES, positions, power_of_two, put, ranges_of
 from .text import forget, py_lower_words
 
 #: Comparing a node with up to so many under each of its 64 keys costs less than 2,016 rows for it.
@@ -227,6 +229,8 @@ def _without(moved: DataFrame, odd: DataFrame) -> DataFrame:
 
 #: A shingle that more nodes hold among their first is common: it comes last in the order of shingles.
 COMMON = 64
+#: Common shingles that are put in order at most (16 bytes each, in every task), and rows of copies that tasks are sent at most.
+MOST_COMMON, MOST_COPIES = 1 << 20, 2_000_000
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -238,45 +242,153 @@ def first_of(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def _described(k: int, similarity: float):
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
+    for batch in batches:
+        words = [py_lower_words(t.as_py()) for t in batch.column("text")]
+        nodes = np.array([xxhash.xxh64_intdigest(b" ".join(w), 7) for w in words], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(nodes), pa.array(map(len, words), pa.int64())], names=["doc_id", "h", "fp", "words"])
+
+
+@dataclass
+class Order:
+    """The one order of all shingles: those not named by their hash, then the common ones by how many nodes hold them."""
+
+    common: np.ndarray
+    counts: np.ndarray
+    similarity: float
+
+    def first(self, text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A text's shingles, and those of them that come first; both are empty without words."""
+        h = shingle_hashes(text, k)
+        ranked = h
+        if len(h) and len(self.common):
+            at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+            ranked = h[np.argsort(np.where(self.common[at] == h, self.counts[at], 0), kind="stable")]
+        return h, ranked[: first_of(len(h), self.similarity)] if len(h) else h
+
+
+def _hints(order: Order, k: int):
+    """(key) of an eighth of the first shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        for batch in batches:
+            firsts = [order.first(t.as_py(), k)[1] for t in batch.column("text")]
+            keys = np.concatenate([f[f % np.uint64(8) == 0] for f in firsts] + [np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    return run
+
+
+def _beside(order: Order, some: np.ndarray, k: int):
+    """(key) of all shingles of the texts that have one of some among their first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text"):
+                h, firsts = order.first(t.as_py(), k)
+                if np.isin(firsts, some).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["key"])
+
+    return run
+
+
+def _dealt(shared, k: int, n_ranges: int):
+    """A task's first shingles by range: 4 bytes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, held, n = shared.value, [], 0
+
+        def given():
+            h = np.sort(np.concatenate(held))
+            found, starts = np.unique(ranges_of(h, n_ranges), return_index=True)
+            parts = [x.tobytes() for x in np.split(_low(h, n_ranges), starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(parts, pa.binary())], names=["range", "keys"])
+
         for batch in batches:
             pa.default_memory_pool().release_unused()
-            nodes, sizes, firsts = [], [], []
             for t in batch.column("text"):
-                w = py_lower_words(t.as_py())
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(w), 7))
-                held = np.unique(np.frombuffer(shingle_digests(w, k), ">i8").astype(np.int64))
-                sizes.append(len(held))
-                firsts.append(held[: first_of(len(held), similarity)].tobytes() if w else None)
-            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], names=["doc_id", "h", "fp", "n", "firsts"])
+                held.append(order.first(t.as_py(), k)[1])
+                n += len(held[-1])
+                if n > max(1 << 18, 64 * n_ranges):
+                    yield given()
+                    held, n = [], 0
+        if n:
+            yield given()
 
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, n, key) for each of a node's hashes, of which the last column holds 8 bytes each; in parts, since texts can be long."""
+def _low(h: np.ndarray, n_ranges: int) -> np.ndarray:
+    """The 32 bits of each hash below those of its range."""
+    return (h >> np.uint64(32 - n_ranges.bit_length() + 1)).astype(np.uint32)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range to a row per range: the keys found twice or more."""
+    now, held = None, []
+
+    def row():
+        keys, n = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
+        keys = keys[n > 1]
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([keys.tobytes()], pa.binary())], names=["range", "n", "keys"])
+
     for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.slice(at, 512)
-            held = part.column(2).to_pylist()
-            each = [len(x) // 8 for x in held]
-            columns = [np.repeat(part.column(i).to_numpy(), each) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.frombuffer(b"".join(held), np.int64))], names=["fp", "n", "key"])
+        for r, keys in zip(batch.column("range").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+            if r != now:
+                if held:
+                    yield row()
+                now, held = r, []
+            held.append(keys)
+    if held:
+        yield row()
 
 
-KEYED = "fp long, n long, key long"
+def _places(low: np.ndarray, bits: int) -> np.ndarray:
+    return positions(low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), bits)
+
+
+def _bits(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for keys in batch.column("keys"):
+                part = np.zeros(size // 8, np.uint8)
+                put(part, _places(np.frombuffer(keys.as_buffer(), np.uint32), size))
+                out.append(part.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("range"), pa.array(out, pa.binary())], names=["range", "bits"])
+
+    return run
+
+
+def _met(shared, k: int):
+    """(fp, n, key) of the first shingles that the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, packed = shared.value
+        n_ranges, size = packed.shape
+        for batch in batches:
+            pa.default_memory_pool().release_unused()
+            sizes, found = [], []
+            for t in batch.column("text"):
+                h, firsts = order.first(t.as_py(), k)
+                at, row = _places(_low(firsts, n_ranges), size * 8), ranges_of(firsts, n_ranges)[:, None]
+                held = ((packed[row, at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+                sizes.append(len(h))
+                found.append(firsts[held])
+            each = [len(f) for f in found]
+            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(py_lower_words(t.as_py())), 7) for t in batch.column("text")], np.uint64).view(np.int64)
+            columns = [np.repeat(nodes, each), np.repeat(np.array(sizes, np.int64), each), np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["fp", "n", "key"])
+
+    return run
 
 
 def _shingled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pa.default_memory_pool().release_unused()
-            sets = [shingle_hashes(t.as_py(), k) for t in batch.column("text")]
-            columns = [batch.column("fp"), pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([shingle_hashes(t.as_py(), k).tobytes() for t in batch.column("text")], pa.binary())], names=["fp", "shingles"])
 
     return run
 
@@ -292,32 +404,39 @@ def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, fps: DataFrame, k: int) -> DataFrame:
-    """(fp, n, shingles) of the nodes fps, one row or more each."""
+    """(fp, shingles) of the nodes fps, one row or more each."""
     wanted = stored(nodes.select("fp", "h").join(few(fps, FEW_KEYS), "fp", "left_semi"), "similar-wanted")
-    return docs.select("h", "text").join(few(wanted, FEW_KEYS), "h").mapInArrow(_shingled(k), "fp long, n long, shingles binary")
-
-
-def first_keys(docs: DataFrame, nodes: DataFrame, k: int, similarity: float, common: int = COMMON) -> DataFrame:
-    """(fp, n, key): the first shingles of every node, in one order for all: by how many nodes hold them, if common, then by hash."""
-    keys = stored(nodes.select("fp", "n", "firsts").mapInArrow(_keyed, KEYED), "similar-keys")
-    held = lambda rows: stored(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > common), "similar-common")
-    with_any = lambda some: stored(keys.join(few(some.select("key"), FEW_KEYS), "key", "left_semi").select("fp").distinct(), "similar-reordered")
-    all_of = lambda fps: stored(_sets(docs, nodes, fps, k).dropDuplicates(["fp"]).mapInArrow(_keyed, KEYED), "similar-shingles")
-    some = held(keys)
-    if not some.limit(1).count():
-        return keys
-    # Nodes with common shingles hold others that are as common, which would be first in their place.
-    held_there = all_of(with_any(some))
-    often = held(held_there)
-    discard(held_there)
-    moved = with_any(often)
-    every = all_of(moved)
-    ranked = every.join(few(often, FEW_KEYS), "key", "left").withColumn("i", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("c", F.lit(0)), "key")))
-    again = ranked.where(F.expr(f"i <= n - {_rest('n', similarity)}")).select("fp", "n", "key")
-    out = stored(keys.join(few(moved, FEW_KEYS), "fp", "left_anti").unionByName(again), "similar-keys")
-    discard(every)
-    discard(keys)
-    return out
+    return docs.select("h", "text").join(few(wanted, FEW_KEYS), "h").mapInArrow(_shingled(k), "fp long, shingles binary")
+
+
+def first_keys(texts: DataFrame, n_first: int, k: int, similarity: float, common: int = COMMON) -> DataFrame:
+    """(fp, n, key): the first shingles of every text that others begin with too, and a few more.
+
+    The order is chosen first, after shingles that are common; whatever it is, no pair is lost.  Then tasks are sent a filter of the
+    keys that are held twice, of 8 bits for each up to MAX_BITS.
+    """
+    spark = texts.sparkSession
+    often = lambda rows: rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > common).orderBy(F.desc("c"), "key").limit(MOST_COMMON).collect()
+    order = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64), similarity)
+    some = np.array([r.key for r in often(texts.mapInArrow(_hints(order, k), "key long"))], np.int64).view(np.uint64)
+    if len(some):
+        # Texts with common shingles hold others that are as common, which would be first in their place.
+        rows = often(texts.mapInArrow(_beside(order, some, k), "key long"))
+        keys, counts = np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
+        by = np.argsort(keys)
+        order = Order(keys[by], counts[by], similarity)
+    n_ranges = min(MOST_RANGES, power_of_two(-(-n_first // RANGE_LINES)))
+    sent = spark.sparkContext.broadcast(order)
+    dealt = texts.mapInArrow(_dealt(sent, k, n_ranges), "range int, keys binary")
+    twice = stored(dealt.repartitionById(n_ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(_repeated, "range int, n long, keys binary"), "similar-repeated")
+    most = twice.agg(F.max("n")).first()[0] or 0
+    bits = max(8, min(MAX_BITS // n_ranges, power_of_two(BITS_PER_LINE * most)))
+    packed = np.zeros((n_ranges, bits // 8), np.uint8)
+    for r in twice.mapInArrow(_bits(bits), "range int, bits binary").toLocalIterator():
+        packed[r.range] = np.frombuffer(r.bits, np.uint8)
+    discard(twice)
+    sent = spark.sparkContext.broadcast((order, packed))
+    return stored(texts.mapInArrow(_met(sent, k), "fp long, n long, key long"), "similar-keys")
 
 
 def _rest(n: str, similarity: float) -> str:
@@ -347,10 +466,17 @@ def similar_links(docs: DataFrame, described: DataFrame, k: int, similarity: flo
 
     docs have h, the hash of the text.
     """
-    nodes = stored(described.where("firsts is not null").groupBy("fp").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.min("firsts").alias("firsts")), "similar-nodes")
-    keys = first_keys(docs, nodes, k, similarity, common)
+    nodes = stored(described.where("words > 0").groupBy("fp").agg(F.min("h").alias("h"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("at"), F.max("words").alias("words")), "similar-nodes")
+    # One row of each node is looked at.  Copies that are too many to be sent only add keys that no second node holds.
+    copies = described.join(nodes.select("fp", "at"), "fp").where("not (doc_id <=> at.doc_id and h = at.h)").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    copies = stored(copies, "similar-copies")
+    single = copies.limit(MOST_COPIES + 1).count() <= MOST_COPIES
+    texts = docs.join(F.broadcast(copies), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_anti") if single else docs
+    n_first = nodes.agg(F.sum(F.expr(f"words - {_rest('words', similarity)}"))).first()[0] or 0
+    keys = first_keys(texts.select("text"), n_first, k, similarity, common)
     ends = keys.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).where("lo.fp < hi.fp")
-    shared = stored(keys.join(few(stored(ends, "similar-ends"), FEW_KEYS), "key").selectExpr("key", "fp", "n", "lo", "hi"), "similar-shared")
+    shared = stored(keys.join(few(stored(ends, "similar-ends"), FEW_KEYS), "key").selectExpr("key", "fp", "n", "lo", "hi").distinct(), "similar-shared")
+    discard(keys)
     sizes = F.expr(f"least(nu, nv) >= {similarity!r}D * greatest(nu, nv) - 1e-6D")
     # First each with the least and the greatest node under a key: what is many times alike is so connected in few comparisons.
     star = shared.select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.explode(F.array("lo", "hi")).alias("y")).where("x <> y.fp")
@@ -375,7 +501,7 @@ def keep_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     with scratch() as s:
         hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-        described = stored(hashed.mapInArrow(_described(k, similarity), f"doc_id {kind}, h long, fp long, n long, firsts binary"), "similar-described")
+        described = stored(hashed.mapInArrow(_described, f"doc_id {kind}, h long, fp long, words long"), "similar-described")
         found = similar_links(hashed, described, k, similarity)
         odd = s.keep(stored(unkept(described.select("doc_id", "h", "fp"), lambda nodes: found), "simhash-unkept"))
     return _without(moved, odd).withColumnsRenamed(back)
