@@ -39,13 +39,15 @@ def paper_account(spark, sf_dir: str) -> DataFrame:
     """Per customer: cash, market value, equity and unrealised profit of a paper account that bought the lines it accepted and sold those it returned.
 
     A purchase raises the average cost, a sale leaves it and is of no more than is held.  A part without a quote (every tenth) is valued at its average cost.
-    Trades of one customer and part are few, and are gone through in order within their array.
+    Trades of one customer and part are few, and are gone through in order within their array; those alike in day, order and line number
+    follow one another as they stand in the table: by file name, then by row.
     """
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    o = table(spark, sf_dir, "orders")
     price = F.coalesce(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")), F.lit(0.0))
     t = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     # Parts are taken as a hundred symbols, so that there is something to sell.
-    trade = F.struct(F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("sell"), F.col("l_quantity").alias("q"), price.alias("p"))
+    trade = F.struct(F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", "file", "row", (F.col("l_returnflag") == "R").alias("sell"), F.col("l_quantity").alias("q"), price.alias("p"))
     t = t.groupBy("o_custkey", (F.col("l_partkey") % 100).alias("symbol")).agg(F.array_sort(F.collect_list(trade)).alias("l"))
     zero = F.lit(0.0)
 
