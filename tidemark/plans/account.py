@@ -35,6 +35,17 @@ def option_expirations(spark, sf_dir: str) -> DataFrame:
     return e.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("expiry")).cast("long"))  # a row per expiry
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """A table's rows with their place in it, a number that goes by file name, then by row."""
+    files = sorted(df.inputFiles())
+    row = F.col("_metadata.row_index")
+    if len(files) < 2:
+        return df.select("*", row.alias("place"))
+    numbers = df.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _n long")  # a row per file
+    found = df.select("*", F.input_file_name().alias("_file"), row.alias("_row")).join(F.broadcast(numbers), "_file", "left")
+    return found.withColumn("place", F.shiftleft("_n", 40) + F.col("_row")).drop("_file", "_n", "_row")
+
+
 def paper_account(spark, sf_dir: str) -> DataFrame:
     """Per customer: cash, market value, equity and unrealised profit of a paper account that bought the lines it accepted and sold those it returned.
 
@@ -42,12 +53,11 @@ def paper_account(spark, sf_dir: str) -> DataFrame:
     Trades of one customer and part are few, and are gone through in order within their array; those alike in day, order and line number
     follow one another as they stand in the table: by file name, then by row.
     """
-    li = table(spark, sf_dir, "lineitem").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    o = table(spark, sf_dir, "orders")
+    li, o = placed(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders")
     price = F.coalesce(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")), F.lit(0.0))
     t = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     # Parts are taken as a hundred symbols, so that there is something to sell.
-    trade = F.struct(F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", "file", "row", (F.col("l_returnflag") == "R").alias("sell"), F.col("l_quantity").alias("q"), price.alias("p"))
+    trade = F.struct(F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", "place", (F.col("l_returnflag") == "R").alias("sell"), F.col("l_quantity").alias("q"), price.alias("p"))
     t = t.groupBy("o_custkey", (F.col("l_partkey") % 100).alias("symbol")).agg(F.array_sort(F.collect_list(trade)).alias("l"))
     zero = F.lit(0.0)
 
